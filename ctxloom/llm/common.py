@@ -127,6 +127,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingles(block: TextBlock, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `width` words, and their documents; a shorter text has one of all its words."""
+    words, n, at = block.hashes(block.starts, block.ends), block.n_words, block.doc_words[:-1]
+    size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(block.n_docs), size)
+    first = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + at[doc]
+    total = np.zeros(len(doc), np.uint64)
+    for k in range(width):
+        there = k < n[doc]
+        total = total * np.uint64(_BASE) + np.where(there, words[np.where(there, first + k, 0)], np.uint64(0)) if len(words) else total
+    return mix(total), doc
+
+
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _TABLES: list[np.ndarray] = []
