@@ -1,17 +1,35 @@
-"""The operators as stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame."""
+"""The operators as stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame.
+
+All but the last return the columns of documents, and rows as they came.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import decontam, jaccard_join, langid, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the repetition rules keep."""
+    """The documents that the repetition rules keep; null and empty texts go."""
     return quality.keep(docs)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is determined; learned from the documents that came here."""
+    return langid.keep(docs)
+
+
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no item of the benchmark table."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack(docs)
