@@ -9,6 +9,9 @@ from ctxloom.llm.common import materialise
 
 STAGES = [
     ("quality rules", stages.quality_rules),
+    ("language ID", stages.language_id),
+    ("n-gram Jaccard join", stages.jaccard_dedup),
+    ("benchmark decontamination", stages.decontamination),
     ("packing", stages.packed),
 ]
 
