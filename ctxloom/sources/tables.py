@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-LIFECYCLE = T.StructType.fromDDL("kind string, status string, provenance_ids array<string>, supersedes_ids array<string>, contradiction_ids array<string>, expires_at timestamp, confidence double")
-MEMORY = T.StructType.fromDDL("schema_version int, id string, type string, tags array<string>, content string, score double, component_data string").add("memory", LIFECYCLE)
-FEEDBACK = T.StructType.fromDDL("component_id string, component_type string, score double, ts timestamp")
+LIFECYCLE = "kind string, status string, provenance_ids array<string>, supersedes_ids array<string>, contradiction_ids array<string>, expires_at timestamp, confidence double"
+MEMORY = f"schema_version int, id string, type string, tags array<string>, content string, score double, component_data string, memory struct<{LIFECYCLE}>"
+FEEDBACK = "component_id string, component_type string, score double, ts timestamp"
 
 
 def read_memory(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
