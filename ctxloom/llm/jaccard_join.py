@@ -228,5 +228,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without a word are a class for each text. Of rows that repeat a doc_id one stays.
     """
     keep = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = docs.join(keep.withColumnRenamed("doc_id", "__kept_doc_id"), F.col("doc_id").eqNullSafe(F.col("__kept_doc_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
