@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized_hash
+from ..functions.text import normalize, normalized_hash
+from .filters import overdue
 
 #: The grammar and vocabularies of reusable features.
 FEATURE = r"^[a-z][a-z0-9_-]*:[a-z0-9][a-z0-9_-]*$"
@@ -100,3 +101,50 @@ def comparable(manifests: DataFrame, fields: list[str]) -> DataFrame:
     both = left.join(right, "repetition").where("left_arm < right_arm")
     differing = F.array_compact(F.array(*[F.when(~F.col(f"_left_{f}").eqNullSafe(F.col(f"_right_{f}")), F.lit(f)) for f in fields]))
     return both.select("repetition", "left_arm", "right_arm", differing.alias("differing"), (F.size(differing) == 0).alias("valid"))
+
+
+def violations(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks."""
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
+
+
+def gold_leak(texts: Column, gold: Column, keys: Column, forbidden: list[str]) -> Column:
+    """Whether a visible text holds the gold answer, or a metadata key is a forbidden one (both normalised)."""
+    wanted = normalize(gold)
+    told = F.exists(texts, lambda t: F.contains(normalize(t), wanted)) & (wanted != "")
+    return told | F.exists(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(forbidden))
+
+
+def annotation_coverage(successful: DataFrame, marks: DataFrame, criteria: list[str]) -> DataFrame:
+    """alias, violation: successful aliases without marks, marks without success, other criteria than the rubric's."""
+    wanted = F.array(*map(F.lit, criteria))
+    seen = marks.groupBy("alias").agg(F.collect_set("criterion_id").alias("_c"))
+    both = successful.withColumn("_s", F.lit(1)).join(seen, "alias", "full_outer")
+    odd = (F.size(F.array_except("_c", wanted)) > 0) | (F.size(F.array_except(wanted, F.col("_c"))) > 0)
+    why = F.when(F.col("_c").isNull(), "not_annotated").when(F.col("_s").isNull(), "not_successful").when(odd, "criteria")
+    return both.withColumn("violation", why).where("violation is not null").select("alias", "violation")
+
+
+def agent_stats(goals: DataFrame, as_of: Column) -> DataFrame:
+    late = overdue(F.col("deadline"), as_of)
+    return goals.groupBy("agent_id").agg(F.count("*").alias("total_goals"), F.count_if(F.col("status") == "active").alias("active_goals"), F.count_if(F.col("status") == "completed").alias("completed_goals"), F.count_if(late).alias("overdue_goals"))
+
+
+def integrity_report(log: DataFrame) -> DataFrame:
+    return log.groupBy("record_type").agg(F.count("*").alias("n"), F.count("reason").alias("violations"))
+
+
+def resolve_aliases(marks: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marks with their unit, marks of unknown aliases)."""
+    known = units.select("alias", "unit_id")
+    return marks.join(known, "alias"), marks.join(known, "alias", "left_anti")
+
+
+def blind_export(outcomes: DataFrame, units: DataFrame, visible: list[str]) -> DataFrame:
+    """Successful outcomes by alias with the visible columns alone; units and conditions don't show."""
+    return outcomes.where(F.col("state") == "success").join(units.select("unit_id", "alias"), "unit_id").select("alias", *visible)
+
+
+def design(cells: DataFrame, draws: int) -> DataFrame:
+    """Every cell with every draw, each a unit."""
+    return cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("unit_id", F.concat_ws("-", F.col("cell").cast("string"), F.col("draw").cast("string")))

@@ -64,3 +64,36 @@ def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
         more = now.where(F.col("n") > step).join(values.select(*by, "value"), by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").alias("ways")).withColumnRenamed("sum", "total")
         now = more.unionByName(now.where(F.col("n") <= step))
     return now
+
+
+def validity_gate(units: DataFrame, least_valid: int, least_per_cell: int) -> DataFrame:
+    """One row: valid units in all, the fewest of a cell, and whether scores may be looked at."""
+    cells = units.groupBy("cell_id").agg(F.count_if("valid").alias("v"))
+    return cells.agg(F.sum("v").alias("valid"), F.min("v").alias("fewest"), ((F.sum("v") >= least_valid) & (F.min("v") >= least_per_cell)).alias("execution_valid"))
+
+
+def family_effects(values: DataFrame, planned: int, threshold: float) -> DataFrame:
+    """family, observed and worst-case deltas to both comparators, and material_pass, of values (family, arm, score).
+
+    In the worst case a missing draw of the correct arm scores 0 and one of a comparator 1.
+    """
+    arms = {}
+    for arm in ("correct", "withheld", "stale"):
+        own = F.when(F.col("arm") == arm, F.col("score"))
+        arms[arm] = (F.sum(own), F.count(own), F.avg(own))
+    per = values.groupBy("family").agg(*[c.alias(f"{n}_{arm}") for arm, cs in arms.items() for n, c in zip(("sum", "n", "mean"), cs, strict=True)])
+    out = per
+    for arm in ("withheld", "stale"):
+        out = out.withColumn(f"observed_{arm}", F.col("mean_correct") - F.col(f"mean_{arm}"))
+        out = out.withColumn(f"worst_{arm}", (F.col("sum_correct") - F.col(f"sum_{arm}") - (planned - F.col(f"n_{arm}"))) / planned)
+    enough = F.col("n_correct") == planned
+    for name in ("observed_withheld", "observed_stale", "worst_withheld", "worst_stale"):
+        enough = enough & (F.col(name) >= threshold)
+    return out.select("family", "observed_withheld", "observed_stale", "worst_withheld", "worst_stale", enough.alias("material_pass"))
+
+
+def verdict(families: DataFrame) -> DataFrame:
+    """One row from families (passes, critical): how many pass, and what follows."""
+    n, stop = F.count_if("passes"), F.bool_or("critical")
+    what = F.when(stop, "stop_or_redesign_once").when(n >= 2, "continue").when(n == 1, "narrow").otherwise("stop_or_redesign_once")
+    return families.agg(n.alias("passing"), stop.alias("safety_stop"), what.alias("verdict"))

@@ -90,3 +90,13 @@ def stale(df: DataFrame, info: dict[str, str], text: Column) -> DataFrame:
     for name, value in info.items():
         bad = bad | ~F.col(name).eqNullSafe(F.lit(value))
     return df.withColumn("stale", bad)
+
+
+def reembed(df: DataFrame, text: str, dimension: int = 32, provider=feature_hash) -> DataFrame:
+    """Rows marked stale get new vectors; the others pass by."""
+    new = embed(df.where("stale").drop("embedding"), text, dimension, provider).drop("error")
+    return df.where("not stale").unionByName(new.select(*df.columns))
+
+
+def status(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("rows"), F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("missing"))

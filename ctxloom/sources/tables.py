@@ -81,3 +81,13 @@ def append_evidence(log: DataFrame, records: DataFrame) -> DataFrame:
     last = log.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last"))
     rows = records.withColumn("payload_hash", record_hash(F.col("payload_json"))).withColumn("_n", F.row_number().over(Window.orderBy(*keys)))
     return rows.join(F.broadcast(last)).withColumn("sequence", F.col("last") + F.col("_n")).drop("_n", "last")
+
+
+def decode(payload: Column, field: str, default: Column) -> Column:
+    """A field of a JSON payload; a missing or broken payload, or a missing field, gives the default."""
+    return F.coalesce(F.from_json(payload, "map<string, string>", {"mode": "PERMISSIVE"})[field], default)
+
+
+def replace(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All rows of the keys that `new` has are replaced by its rows."""
+    return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

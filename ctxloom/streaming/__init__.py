@@ -1,0 +1 @@
+"""Structured Streaming forms of feedback averages, memory upserts and event checks."""

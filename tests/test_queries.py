@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ctxloom.plans import queries
+from ctxloom.plans import more_queries as queries
 from ctxloom.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
