@@ -9,7 +9,7 @@ from ..functions import scores, text
 from ..operators import audit, consolidate, filters, learn, rank, report, research, scoring, select, stats, vectors
 from ..sources import tables
 from . import pipelines, views
-from .queries import ORACLES, QUERIES, SQL_HOST, SQL_PAIRS, SQL_REWARDS, SQL_TRAJECTORIES, _log, _rewards, _vectors, packed, query, sql_class, sql_words
+from .queries import ORACLES, QUERIES, SQL_HOST, SQL_PAIRS, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_words
 from .views import AS_OF_S, Views, with_views
 
 # research
@@ -199,7 +199,7 @@ def e4_embedding_status(v: Views) -> DataFrame:
     return vectors.status(df)
 
 
-@query()
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 0 THEN 32 ELSE 1 END AS INT) AS dimension FROM documents")
 def e3_reembed_stale(v: Views) -> DataFrame:
     df = v.table("documents").select("doc_id", "text", F.array(F.lit(0.0).cast("float")).alias("embedding"), (F.col("doc_id") % 7 == 0).alias("stale"))
     return vectors.reembed(df, "text").select("doc_id", F.size("embedding").alias("dimension"))
@@ -377,7 +377,24 @@ def p5_full_context(v: Views) -> DataFrame:
 # composites
 
 
-@query()
+def sql_pack(live: str, rest: str) -> str:
+    """The fold of budget packing over `live` (query_id, id, rank, k, tokens, token_budget), and rows that it never sees."""
+    fits = "l.tokens <= l.token_budget - f.used"
+    return f"""fold AS (SELECT query_id, id, rank, k, tokens, CASE WHEN tokens <= token_budget THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= token_budget THEN 'included' ELSE 'over_budget' END AS reason FROM {live} WHERE k = 1
+  UNION ALL SELECT l.query_id, l.id, l.rank, l.k, l.tokens, f.used + CASE WHEN {fits} THEN l.tokens ELSE 0 END, CASE WHEN {fits} THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END FROM fold f JOIN {live} l ON l.query_id = f.query_id AND l.k = f.k + 1)
+ SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"""
+
+
+SQL_IMPORTANCE = f"(SELECT m.*, m.score + 0.7 * coalesce(a.average, 0) + 0.3 * coalesce(t.average, 0) AS importance FROM memory m LEFT JOIN (SELECT component_id AS id, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) a ON a.id = m.id LEFT JOIN (SELECT component_type AS type, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) t ON t.type = m.type)"
+
+
+@query(f"""WITH RECURSIVE memory AS ({views.duck(views.MEMORY)}), requests AS ({views.duck(views.REQUESTS)}), feedback AS ({views.duck(views.FEEDBACK)}),
+ cand AS MATERIALIZED (SELECT r.query_id, r.token_budget, m.id, m.seq, m.importance, m.content, CASE WHEN m.type IN ('LongTermMemoryComponent', 'AgentSessionComponent') THEN pow(0.5, ({AS_OF_S} - m.ts_s) / 86400.0 / 30) ELSE 0 END AS recency,
+  CASE WHEN expires_s <= {AS_OF_S} THEN 'lifecycle_expired' WHEN status <> 'active' THEN 'lifecycle_' || status WHEN tag3 <> 'long' THEN 'tag_filter' ELSE 'eligible' END AS reason FROM requests r, {SQL_IMPORTANCE} m),
+ near AS MATERIALIZED (SELECT query_id, id, relevance FROM {SQL_RELEVANCE}),
+ ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, seq) AS rank FROM (SELECT c.*, coalesce(n.relevance, 0) AS relevance, len({sql_words('c.content')}) AS tokens, round(0.70 * coalesce(n.relevance, 0) + 0.25 * least(1.0, greatest(0.0, importance)) + 0.05 * recency, 12) AS total FROM cand c LEFT JOIN near n ON n.query_id = c.query_id AND n.id = c.id WHERE reason = 'eligible')),
+ live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ranked WHERE relevance >= 0.05),
+ {sql_pack('live', "SELECT query_id, id, CAST(rank AS INT), false, 'below_relevance_threshold', CAST(tokens AS INT) FROM ranked WHERE relevance < 0.05 UNION ALL SELECT query_id, id, NULL, false, reason, NULL FROM cand WHERE reason <> 'eligible'")}""")
 def p1_retrieve(v: Views) -> DataFrame:
     asked = v.requests().withColumn("include_tags", F.array(F.lit("long"))).withColumn("min_relevance", F.lit(0.05))
     return pipelines.retrieve(v.memory(), asked, v.feedback(), v.as_of).drop("content")
