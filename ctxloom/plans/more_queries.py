@@ -9,7 +9,7 @@ from ..functions import scores, text
 from ..operators import audit, consolidate, filters, learn, rank, report, research, scoring, select, stats, vectors
 from ..sources import tables
 from . import pipelines, views
-from .queries import ORACLES, QUERIES, SQL_HOST, SQL_PAIRS, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_words
+from .queries import ORACLES, QUERIES, SQL_HOST, SQL_PAIRS, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_terms, sql_words
 from .views import AS_OF_S, Views, with_views
 
 # research
@@ -339,6 +339,14 @@ def j18_design(v: Views) -> DataFrame:
 # selection
 
 
+def sql_pack(live: str, rest: str) -> str:
+    """The fold of budget packing over `live` (query_id, id, rank, k, tokens, token_budget), and rows that it never sees."""
+    fits = "l.tokens <= l.token_budget - f.used"
+    return f"""fold AS (SELECT query_id, id, rank, k, tokens, CASE WHEN tokens <= token_budget THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= token_budget THEN 'included' ELSE 'over_budget' END AS reason FROM {live} WHERE k = 1
+  UNION ALL SELECT l.query_id, l.id, l.rank, l.k, l.tokens, f.used + CASE WHEN {fits} THEN l.tokens ELSE 0 END, CASE WHEN {fits} THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END FROM fold f JOIN {live} l ON l.query_id = f.query_id AND l.k = f.k + 1)
+ SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"""
+
+
 def _bundle(v: Views) -> tuple[DataFrame, DataFrame]:
     d = v.table("documents")
     cases = v.table("benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("f"), F.col("item_id") % 4).alias("family_id"), F.col("text").alias("prompt"), F.lit(400).alias("token_budget"))
@@ -349,12 +357,24 @@ def _bundle(v: Views) -> tuple[DataFrame, DataFrame]:
     return cases, made.join(cases.select("case_id", (F.col("case_id") % 40).alias("_k")), "_k").drop("_k")
 
 
-@query()
+SQL_BUNDLE = f"(SELECT *, CASE WHEN len(q) = 0 OR len(m) = 0 THEN 0 ELSE least(1.0, len(list_intersect(q, m)) / sqrt(len(q) * len(m)) + CASE WHEN contains(lower(text), lower(prompt)) THEN 0.15 ELSE 0 END) END AS relevance FROM (SELECT b.item_id AS query_id, 'x' || d.doc_id AS id, d.doc_id AS pos, d.text, b.text AS prompt, len({sql_words('d.text')}) AS tokens, 400 AS token_budget, {sql_terms('b.text')} AS q, {sql_terms('d.text')} AS m FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40))"
+
+
+def sql_decisions(ranked: str, rest: str) -> str:
+    """Decisions of ranked rows (with k), in the columns of a selection."""
+    body = sql_pack("live", rest)
+    return f"WITH RECURSIVE live AS MATERIALIZED ({ranked}), {body.replace(' SELECT query_id, id, CAST(rank AS INT) AS rank, reason', ' SELECT query_id AS case_id, id AS item_id, reason')}"
+
+
+@query(sql_decisions(f"SELECT *, rank AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, pos) AS rank FROM {SQL_BUNDLE}) WHERE rank <= 5", f"SELECT query_id, id, false, 'max_components', CAST(tokens AS INT) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, pos) AS rank FROM {SQL_BUNDLE}) WHERE rank > 5"))
 def p5_similarity_top_k(v: Views) -> DataFrame:
     return select.select(*_bundle(v), "similarity_top_k")
 
 
-@query()
+SQL_STATIC = f"(SELECT *, CASE WHEN most = 1 THEN 0.5 ELSE (d - 1) / (most - 1) END AS importance FROM (SELECT *, max(d) OVER (PARTITION BY query_id) AS most FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY (pos % 10) / 10 + CASE WHEN pos % 3 = 0 THEN 0.5::DOUBLE ELSE 0 END) AS d FROM {SQL_BUNDLE} WHERE pos % 31 > 0)))"
+
+
+@query(sql_decisions(f"SELECT *, rank AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round((relevance * 0.7 + importance * 0.3) / 1.0, 12) DESC, pos) AS rank FROM {SQL_STATIC})", f"SELECT query_id, id, false, 'processing_error', CAST(tokens AS INT) FROM {SQL_BUNDLE} WHERE pos % 31 = 0"))
 def p5_static_policy(v: Views) -> DataFrame:
     return select.select(*_bundle(v), "static_policy", weights={"confidence": 1.0, "scope:bounded": 0.5})
 
@@ -377,14 +397,6 @@ def p5_full_context(v: Views) -> DataFrame:
 # composites
 
 
-def sql_pack(live: str, rest: str) -> str:
-    """The fold of budget packing over `live` (query_id, id, rank, k, tokens, token_budget), and rows that it never sees."""
-    fits = "l.tokens <= l.token_budget - f.used"
-    return f"""fold AS (SELECT query_id, id, rank, k, tokens, CASE WHEN tokens <= token_budget THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= token_budget THEN 'included' ELSE 'over_budget' END AS reason FROM {live} WHERE k = 1
-  UNION ALL SELECT l.query_id, l.id, l.rank, l.k, l.tokens, f.used + CASE WHEN {fits} THEN l.tokens ELSE 0 END, CASE WHEN {fits} THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END FROM fold f JOIN {live} l ON l.query_id = f.query_id AND l.k = f.k + 1)
- SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"""
-
-
 SQL_IMPORTANCE = f"(SELECT m.*, m.score + 0.7 * coalesce(a.average, 0) + 0.3 * coalesce(t.average, 0) AS importance FROM memory m LEFT JOIN (SELECT component_id AS id, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) a ON a.id = m.id LEFT JOIN (SELECT component_type AS type, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) t ON t.type = m.type)"
 
 
