@@ -155,18 +155,33 @@ def _host_and_path(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(url: str | None, found: list[tuple[int, str]]) -> tuple[str, str, bytes, list[int]]:
+    """Host, path, a key of both and all lines, and the lines' hashes."""
+    host, path = _host_and_path(url)
+    digests = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for _, x in found]
+    whole = hashlib.blake2b("\0".join((host, path)).encode("utf-8", "surrogatepass") + b"".join(digests), digest_size=16)
+    return host, path, whole.digest(), [int.from_bytes(x, "big", signed=True) for x in digests]
+
+
+def _outline(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page the key and the hashes of its lines alone."""
+    for frame in frames:
+        rows = [_key(url, blocks(html.as_py())) for url, html in zip(frame.column(1).to_pylist(), frame.column(2), strict=True)]
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "key", "hashes"])
+
+
+def _candidates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page the lines that markup leaves: an article's, or else the body's, with their places among all lines."""
     for frame in frames:
-        columns: list[list] = [[] for _ in range(6)]
+        rows = []
         for url, html in zip(frame.column(1).to_pylist(), frame.column(2), strict=True):
-            found, (host, path) = blocks(html.as_py()), _host_and_path(url)
-            lines = [text for _, text in found]
-            digests = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines]
-            key = hashlib.blake2b("\0".join((host, path)).encode("utf-8", "surrogatepass") + b"".join(digests), digest_size=16).digest()
-            for column, value in zip(columns, (host, path, key, lines, [zone for zone, _ in found], [int.from_bytes(x, "big", signed=True) for x in digests]), strict=True):
-                column.append(value)
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "path", "key", "lines", "zones", "hashes"])
+            found = blocks(html.as_py())
+            article = any(zone == MAIN for zone, _ in found)
+            kept = [(at, text) for at, (zone, text) in enumerate(found) if zone == (MAIN if article else BODY)]
+            rows.append((_key(url, found)[2], [text for _, text in kept], [at for at, _ in kept], article, len(found)))
+        kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*frame.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["page_id", "url", "key", "lines", "places", "article", "n_lines"])
 
 
 def neighbours(urls: DataFrame) -> DataFrame:
@@ -206,15 +221,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. A page without another of its host shares nothing.
     Pages of equal URL and lines count as one in pairing, so copies don't delete each other. Null
-    URLs are a host of their own.
+    URLs are a host of their own. Pages are parsed twice: pairing and aligning need only hashes of
+    lines, and texts are shuffled once, without the lines that markup rules out.
     """
     small_batches(pages.sparkSession, 256)
-    parsed = materialise(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, "page_id long, url string, host string, path string, key binary, lines array<string>, zones array<int>, hashes array<long>"), "blocks")
-    distinct = parsed.select("key", "hashes").dropDuplicates(["key"])
-    pairs = neighbours(parsed.select("host", "path", "key").distinct())
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    outlines = materialise(rows.mapInArrow(_outline, "host string, path string, key binary, hashes array<long>"), "outlines")
+    distinct = outlines.select("key", "hashes").dropDuplicates(["key"])
+    pairs = neighbours(outlines.select("host", "path", "key").distinct())
     aligned = pairs.join(distinct, "key").join(distinct.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select("key", "hashes", "theirs").mapInArrow(_align, "key binary, shared array<boolean>")
-    rows = parsed.join(aligned, "key", "left")
-    stays = F.expr(f"case when array_contains(zones, {MAIN}) then filter(lines, (x, i) -> zones[i] = {MAIN}) else filter(lines, (x, i) -> zones[i] = {BODY} and not coalesce(shared[i], false)) end")
-    text = F.array_join(stays, "\n")
+    found = rows.mapInArrow(_candidates, "page_id long, url string, key binary, lines array<string>, places array<int>, article boolean, n_lines long").join(aligned, "key", "left")
+    text = F.array_join(F.expr("filter(lines, (x, i) -> article or not coalesce(shared[places[i]], false))"), "\n")
     shared = F.coalesce(F.expr("size(filter(shared, x -> x))"), F.lit(0)).cast("long")
-    return rows.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("shared").isNull(), 0).otherwise(shared).alias("n_shared"))
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_lines", F.when(F.col("shared").isNull(), 0).otherwise(shared).alias("n_shared"))
