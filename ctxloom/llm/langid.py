@@ -38,8 +38,8 @@ FAMILIES = {
 #: Rows of each language that the machines are fitted on, about; a bound, whatever the table's size.
 SAMPLE_PER_LANGUAGE = 600
 FOLDS, DIM = 5, 1 << 13
-#: A document is kept by keep() when its language is this probable.
-MIN_SCORE = 0.5
+#: keep() keeps a document whose language is this probable; below it, neither family nor language is clear.
+MIN_SCORE = 0.3
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
