@@ -122,7 +122,7 @@ def overlap(part: list[str], passage: list[str]) -> float:
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The items in as many indexes as their number and bytes ask for; each is bounded."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
     for k in range(passes):
@@ -134,7 +134,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, score (share of the item's own BM25), question_overlap, answer_overlap.
 
     One row for each document and item that it holds. Null and empty texts on either side match
-    nothing; repeated documents match each for itself, and equal items both.
+    nothing; repeated documents match each for itself, items of equal text with other ids too; a
+    repeated row of the benchmark counts once.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -61,33 +61,33 @@ def band_hashes(block: TextBlock, bands: int, rows: int, width: int) -> np.ndarr
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, root of an edge list (a, b): the least node of each connected component.
+    """node, root of an edge list (a, b): the least node of each connected component; nodes are binary.
 
-    Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each step is
-    written to the shared folder. Nodes without an edge don't appear.
+    Large-star and small-star steps (Kiveris et al., 2014) until all components are stars; each
+    round is written to the shared folder. Nodes without an edge don't appear.
     """
+
     def star(df: DataFrame, large: bool) -> DataFrame:
         both = df.select("a", "b").union(df.select(F.col("b"), F.col("a"))).toDF("u", "v")
         if not large:
             both = both.where("v < u")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        # another key than the aggregate's, so that both sides are shuffled for the join alone and AQE can split a node with very many neighbours
+        key = F.concat("u", F.lit(b"\0")).alias("k")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(key, F.col("u").alias("w"), "m")
+        joined = both.select(key, "u", "v").join(least.select("k", "m"), "k")
         if large:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
+        own = least.select(F.col("w").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(own).where("a <> b").distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether every node has one edge upwards or is a root."""
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = mark(now)
-    while True:
+    while not stars(now):
         now = materialise(star(star(now, True), False), name)
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

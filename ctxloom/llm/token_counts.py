@@ -58,17 +58,10 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_O
 
 
 def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of real flat files. One file is read in one task and must fit in it (2 GB at most)."""
-
-    def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for file, content in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
-                data = content.as_buffer()
-                for block, at in enumerate(range(0, data.size, block_bytes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data.slice(at, min(block_bytes, data.size - at)).to_pybytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "names"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+    """Blocks of real flat files. One file is read in one task and must fit in it (1 GB or so)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").where("length(content) > 0")
+    cut = f"transform(sequence(0, (length(content) - 1) div {block_bytes}), k -> substring(content, cast(k * {block_bytes} + 1 as int), {block_bytes}))"
+    return files.select("file", F.posexplode(F.expr(cut)).alias("block", "data")).select("file", F.col("block").cast("long"), "data", F.lit(None).cast("array<long>").alias("names"))
 
 
 def separator_scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:
