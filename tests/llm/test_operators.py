@@ -108,8 +108,10 @@ def test_bands_reach_the_recall():
 
 
 def test_components(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 9), (7, 7)], "a long, b long")
-    assert {tuple(r) for r in jaccard_join.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (4, 4), (5, 4)}
+    pairs = [(1, 2), (2, 3), (5, 4), (3, 9), (7, 7), *((i, i + 1) for i in range(20, 40)), *((50, i) for i in range(60, 80))]
+    edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary")
+    expected = {(1, 1), (2, 1), (3, 1), (9, 1), (4, 4), (5, 4), *((i, 20) for i in range(20, 41)), *((i, 50) for i in (50, *range(60, 80)))}
+    assert {tuple(x[0] for x in r) for r in jaccard_join.components(edges).collect()} == expected
 
 
 def test_language(spark):
