@@ -60,9 +60,11 @@ def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
     sizes = values.groupBy(*by).agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     now = sizes.select(*by, "n", F.lit(0).cast("long").alias("total"), F.lit(1).cast("long").alias("ways"))
-    for step in range(most):
-        more = now.where(F.col("n") > step).join(values.select(*by, "value"), by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").alias("ways")).withColumnRenamed("sum", "total")
-        now = more.unionByName(now.where(F.col("n") <= step))
+    own = values.join(sizes, by).select(*by, "n", F.col("value").cast("long").alias("value"))
+    none = sizes.select(*by, "n", F.lit(0).cast("long").alias("value"))
+    for step in range(most):  # a group that has had its draws adds nothing, so that each step stands once in the plan
+        drawn = own.where(F.col("n") > step).unionByName(none.where(F.col("n") <= step)).drop("n")
+        now = now.join(drawn, by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").alias("ways")).withColumnRenamed("sum", "total")
     return now
 
 
@@ -88,7 +90,7 @@ def family_effects(values: DataFrame, planned: int, threshold: float) -> DataFra
         out = out.withColumn(f"worst_{arm}", (F.col("sum_correct") - F.col(f"sum_{arm}") - (planned - F.col(f"n_{arm}"))) / planned)
     enough = F.col("n_correct") == planned
     for name in ("observed_withheld", "observed_stale", "worst_withheld", "worst_stale"):
-        enough = enough & (F.col(name) >= threshold)
+        enough = enough & (F.col(name) >= threshold - 1e-9)
     return out.select("family", "observed_withheld", "observed_stale", "worst_withheld", "worst_stale", enough.alias("material_pass"))
 
 

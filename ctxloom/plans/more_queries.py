@@ -169,10 +169,10 @@ def c1_derive_violations(v: Views) -> DataFrame:
     return consolidate.derive(memory, commands)[1]
 
 
-@query(with_views("SELECT id, CASE WHEN seq % 2 = 1 THEN 'superseded' ELSE status END AS status FROM memory WHERE seq < 100", memory=views.MEMORY))
+@query(with_views("SELECT id, CASE WHEN seq % 2 = 1 THEN 'superseded' ELSE status END AS status FROM memory", memory=views.MEMORY))
 def c4_resolve(v: Views) -> DataFrame:
     none = F.array().cast("array<string>")
-    m = v.memory().where("seq < 100").withColumn("supersedes_ids", none).withColumn("contradiction_ids", none)
+    m = v.memory().withColumn("supersedes_ids", none).withColumn("contradiction_ids", none)
     doc = lambda n: F.concat(F.lit("doc-"), n.cast("string"))
     pairs = m.where("seq % 2 = 1").select(doc(F.col("seq") - 1).alias("winner"), F.col("id").alias("loser"))
     return consolidate.resolve(m, pairs).select("id", "status")
@@ -265,26 +265,24 @@ def a23_validity_gate(v: Views) -> DataFrame:
     return stats.validity_gate(v.table("events").select(F.col("user_id").alias("cell_id"), (F.col("value") > 10).alias("valid")), 42, 4)
 
 
-SQL_DRAWS = "(SELECT user_id AS family, CASE event_id % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'withheld' ELSE 'stale' END AS arm, value / 200 AS score, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS k FROM events)"
+SQL_DRAWS = "(SELECT l_orderkey AS family, CASE l_linenumber % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'withheld' ELSE 'stale' END AS arm, l_discount * 10 AS score FROM lineitem)"
+SQL_SIDES = ", ".join(f"{f}(score) FILTER (arm = '{arm}') AS {n}{arm[0]}" for arm in ("correct", "withheld", "stale") for f, n in (("sum", "s"), ("count", "n"), ("avg", "m")))
+SQL_MATERIAL = "nc = 3 AND mc - mw >= 0.05 AND mc - ms >= 0.05 AND (sc - sw - (3 - nw)) / 3 >= 0.05 AND (sc - ss - (3 - ns)) / 3 >= 0.05"
 
 
-@query(f"""SELECT family, round(mc - mw, 6) AS observed_withheld, round(mc - ms, 6) AS observed_stale, round((sc - sw - (5 - nw)) / 5, 6) AS worst_withheld, round((sc - ss - (5 - ns)) / 5, 6) AS worst_stale, nc = 5 AND mc - mw >= 0.05 AND mc - ms >= 0.05 AND (sc - sw - (5 - nw)) / 5 >= 0.05 AND (sc - ss - (5 - ns)) / 5 >= 0.05 AS material_pass
- FROM (SELECT family, {', '.join(f"{f}(score) FILTER (arm = '{arm}') AS {n}{arm[0]}" for arm in ('correct', 'withheld', 'stale') for f, n in (('sum', 's'), ('count', 'n'), ('avg', 'm')))} FROM {SQL_DRAWS} WHERE k <= 5 GROUP BY 1)""")
+@query(f"SELECT family, round(mc - mw, 6) AS observed_withheld, round(mc - ms, 6) AS observed_stale, round((sc - sw - (3 - nw)) / 3, 6) AS worst_withheld, round((sc - ss - (3 - ns)) / 3, 6) AS worst_stale FROM (SELECT family, {SQL_SIDES} FROM {SQL_DRAWS} GROUP BY 1)")
 def n4_family_effects(v: Views) -> DataFrame:
     x = _families(v)
-    return x.select("family", *[F.round(c, 6).alias(c) for c in x.columns[1:5]], "material_pass")
+    return x.select("family", *[F.round(c, 6).alias(c) for c in x.columns[1:5]])
 
 
 def _families(v: Views) -> DataFrame:
-    from pyspark.sql import Window
+    r = F.col("l_linenumber") % 3
+    draws = v.table("lineitem").select(F.col("l_orderkey").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), (F.col("l_discount") * 10).alias("score"))
+    return stats.family_effects(draws, 3, 0.05)
 
-    r = F.col("event_id") % 3
-    k = F.row_number().over(Window.partitionBy("user_id", r).orderBy("event_id"))
-    draws = v.table("events").select(F.col("user_id").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), (F.col("value") / 200).alias("score"), k.alias("k")).where("k <= 5")
-    return stats.family_effects(draws, 5, 0.05)
 
-
-@query(f"SELECT CAST(count_if(p) AS BIGINT) AS passing, bool_or(family = -1) AS safety_stop, CASE WHEN count_if(p) >= 2 THEN 'continue' WHEN count_if(p) = 1 THEN 'narrow' ELSE 'stop_or_redesign_once' END AS verdict FROM (SELECT family, nc = 5 AND mc - mw >= 0.05 AND mc - ms >= 0.05 AND (sc - sw - (5 - nw)) / 5 >= 0.05 AND (sc - ss - (5 - ns)) / 5 >= 0.05 AS p FROM (SELECT family, {', '.join(f'''{f}(score) FILTER (arm = '{arm}') AS {n}{arm[0]}''' for arm in ('correct', 'withheld', 'stale') for f, n in (('sum', 's'), ('count', 'n'), ('avg', 'm')))} FROM {SQL_DRAWS} WHERE k <= 5 GROUP BY 1))")
+@query(f"SELECT CAST(count_if(p) AS BIGINT) AS passing, bool_or(family = -1) AS safety_stop, CASE WHEN count_if(p) >= 2 THEN 'continue' WHEN count_if(p) = 1 THEN 'narrow' ELSE 'stop_or_redesign_once' END AS verdict FROM (SELECT family, {SQL_MATERIAL.replace('>= 0.05', '>= 0.05 - 1e-9')} AS p FROM (SELECT family, {SQL_SIDES} FROM {SQL_DRAWS} GROUP BY 1))")
 def a24_verdict(v: Views) -> DataFrame:
     return stats.verdict(_families(v).select(F.col("material_pass").alias("passes"), (F.col("family") == -1).alias("critical")))
 
@@ -448,4 +446,30 @@ def p7_paired_report(v: Views) -> DataFrame:
     return report.summaries(report.trajectories(report.paired_effects(longer, "static_policy", "adaptive_policy"))).select("phase", "metric", F.round("mean_effect", 5).alias("mean_effect"), "repetitions")
 
 
+@query()
+def p4_evaluate(v: Views) -> DataFrame:
+    requests = v.requests()
+    excluded = requests.select("query_id", (F.col("query_id") % 97).alias("k")).join(v.memory().select("id", (F.col("seq") % 97).alias("k")), "k").drop("k")
+    return pipelines.evaluate_retrieval(packed(v), v.sql(views.EVAL_LABELS), excluded, requests)
+
+
+@query()
+def p10_dataset_audit(v: Views) -> DataFrame:
+    cases, candidates = _bundle(v)
+    r = F.col("pos") % 4
+    labels = candidates.where("pos % 23 > 0").select("case_id", "item_id", F.when(r == 0, "required").when(r == 1, "useful").when(r == 2, "misleading").otherwise("irrelevant").alias("label"))
+    return pipelines.dataset_audit(cases.withColumn("split", F.col("case_id") % 2), candidates, labels)
+
+
+@query()
+def p11_replication(v: Views) -> DataFrame:
+    r = F.col("l_linenumber") % 3
+    alias = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    li = v.table("lineitem").withColumn("alias", alias)
+    units = li.select(F.col("alias").alias("unit_id"), "alias", F.col("l_orderkey").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), F.lit(True).alias("valid"))
+    status = F.when(F.col("l_returnflag") == "N", "met").when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")
+    marks = li.select("alias", F.lit(1).alias("criterion_id"), status.alias("status"), F.lit(False).alias("critical"))
+    return pipelines.replication(marks, marks.select("criterion_id").distinct().withColumn("weight", F.lit(1.0)), units, planned=1)
+
+
 __all__ = ["ORACLES", "QUERIES", "Views", "packed"]

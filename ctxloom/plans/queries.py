@@ -407,11 +407,11 @@ def e2_stale_vectors(v: Views) -> DataFrame:
 # consolidation
 
 
-@query(with_views("SELECT 'merged-' || type AS new_id, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content FROM memory WHERE seq % 50 = 5 GROUP BY type", memory=views.MEMORY))
+@query(with_views("SELECT 'merged-' || type AS new_id, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content FROM memory GROUP BY type", memory=views.MEMORY))
 def c2_merge(v: Views) -> DataFrame:
     m = v.memory()
     ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x.id)
-    commands = m.where("seq % 50 = 5").groupBy("type").agg(ids.alias("source_ids")).select(F.concat(F.lit("merged-"), "type").alias("new_id"), F.lit(None).cast("string").alias("content"), "source_ids", F.lit(True).alias("supersede"))
+    commands = m.groupBy("type").agg(ids.alias("source_ids")).select(F.concat(F.lit("merged-"), "type").alias("new_id"), F.lit(None).cast("string").alias("content"), "source_ids", F.lit(True).alias("supersede"))
     return consolidate.derive(m, commands)[0].select("new_id", "content")
 
 
@@ -610,31 +610,43 @@ def w9_nearest_rank(v: Views) -> DataFrame:
     return stats.nearest_rank(v.table("events").select("event_type", "value"), ["event_type"], "value", 0.9)
 
 
-SQL_UNITS = "(SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id % 2 = 0 AS treated, CAST(round(value) AS BIGINT) AS score FROM events)"
+# the lines of an order are a small group by nature
+SQL_UNITS = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i, l_linenumber % 2 = 0 AS treated, CAST(l_quantity AS BIGINT) AS score FROM lineitem)"
 
 
 def _units(v: Views) -> DataFrame:
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return v.table("events").select("user_id", n.alias("index"), (F.col("event_id") % 2 == 0).alias("treated"), F.round("value").cast("long").alias("score")).where("index < 8")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    return v.table("lineitem").select("l_orderkey", n.alias("index"), (F.col("l_linenumber") % 2 == 0).alias("treated"), F.col("l_quantity").cast("long").alias("score"))
 
 
-@query(f"SELECT user_id, round(count(*) FILTER (total >= seen) / count(*), 9) AS p, count(*) AS combinations FROM (SELECT g.user_id, g.seen, g.mask, sum(CASE WHEN (g.mask >> u.i) & 1 = 1 THEN u.score ELSE 0 END) AS total FROM (SELECT user_id, n, k, seen, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM (SELECT user_id, count(*) AS n, sum(CAST(treated AS INT)) AS k, sum(CASE WHEN treated THEN score ELSE 0 END) AS seen FROM {SQL_UNITS} WHERE i < 8 GROUP BY 1)) g JOIN {SQL_UNITS} u ON u.user_id = g.user_id AND u.i < 8 WHERE bit_count(g.mask) = g.k GROUP BY 1, 2, 3) GROUP BY 1")
+@query(f"SELECT l_orderkey, round(count(*) FILTER (total >= seen) / count(*), 9) AS p, count(*) AS combinations FROM (SELECT g.l_orderkey, g.seen, g.mask, sum(CASE WHEN (g.mask >> u.i) & 1 = 1 THEN u.score ELSE 0 END) AS total FROM (SELECT l_orderkey, n, k, seen, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM (SELECT l_orderkey, count(*) AS n, sum(CAST(treated AS INT)) AS k, sum(CASE WHEN treated THEN score ELSE 0 END) AS seen FROM {SQL_UNITS} GROUP BY 1)) g JOIN {SQL_UNITS} u ON u.l_orderkey = g.l_orderkey WHERE bit_count(g.mask) = g.k GROUP BY 1, 2, 3) GROUP BY 1")
 def n2_permutation_p(v: Views) -> DataFrame:
-    return stats.permutation_p(_units(v), ["user_id"]).withColumn("p", F.round("p", 9))
+    return stats.permutation_p(_units(v), ["l_orderkey"]).withColumn("p", F.round("p", 9))
 
 
 @query()
 def n1_bootstrap(v: Views) -> DataFrame:
-    values = _units(v).select("user_id", "index", F.col("score").cast("double").alias("value"))
-    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 200), ["user_id"], "mean", 0.975)
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    values = v.table("events").select("user_id", place.alias("index"), "value")
+    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975)
+
+
+def sql_sums(most: int) -> str:
+    """Sums of resamples, one draw at a time, for groups of up to `most`."""
+    steps = [f"u AS (SELECT l_orderkey, i, score // 25 AS value FROM {SQL_UNITS})", "s0 AS (SELECT l_orderkey, count(*) AS n, CAST(0 AS BIGINT) AS total, CAST(1 AS HUGEINT) AS ways FROM u GROUP BY 1)"]
+    for k in range(1, most + 1):
+        steps.append(f"s{k} AS (SELECT s.l_orderkey, s.n, s.total + u.value AS total, sum(s.ways) AS ways FROM s{k - 1} s JOIN u ON u.l_orderkey = s.l_orderkey WHERE s.n >= {k} GROUP BY 1, 2, 3 UNION ALL SELECT * FROM s{k - 1} WHERE n < {k})")
+    return "WITH " + ", ".join(steps) + f" SELECT l_orderkey, CAST(total AS BIGINT) AS total, CAST(ways AS BIGINT) AS ways FROM s{most} WHERE n <= {most}"
 
 
-@query(f"WITH RECURSIVE u AS (SELECT user_id, i, score % 7 AS value FROM {SQL_UNITS} WHERE i < 5), s AS (SELECT user_id, count(*) AS n FROM u GROUP BY 1), f AS (SELECT user_id, n, 0 AS step, CAST(0 AS HUGEINT) AS total FROM s UNION ALL SELECT f.user_id, f.n, f.step + 1, f.total + u.value FROM f JOIN u ON u.user_id = f.user_id WHERE f.step < f.n) SELECT user_id, CAST(total AS BIGINT) AS total, count(*) AS ways FROM f WHERE step = n GROUP BY 1, 2")
+@query(sql_sums(15))
 def n3_resampled_means(v: Views) -> DataFrame:
-    values = _units(v).where("index < 5").select("user_id", "index", (F.col("score") % 7).alias("value"))
-    return stats.resampled_means(values, ["user_id"]).select("user_id", "total", "ways")
+    values = _units(v).select("l_orderkey", "index", F.floor(F.col("score") / 25).alias("value"))
+    return stats.resampled_means(values, ["l_orderkey"]).where("n <= 15").select("l_orderkey", "total", "ways")
 
 
 # audits
