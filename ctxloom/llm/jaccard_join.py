@@ -67,18 +67,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     round is written to the shared folder. Nodes without an edge don't appear.
     """
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        both = df.select("a", "b").union(df.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        if not large:
-            both = both.where("v < u")
+    def edges_of(df: DataFrame) -> DataFrame:
+        return df.select("a", "b").union(df.select(F.col("b"), F.col("a"))).toDF("u", "v")
+
+    def large_star(df: DataFrame) -> DataFrame:
         # another key than the aggregate's, so that both sides are shuffled for the join alone and AQE can split a node with very many neighbours
         key = F.concat("u", F.lit(b"\0")).alias("k")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(key, F.col("u").alias("w"), "m")
-        joined = both.select(key, "u", "v").join(least.select("k", "m"), "k")
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        own = least.select(F.col("w").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(own).where("a <> b").distinct()
+        both = edges_of(df)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(key, "m")
+        return both.where("v > u").select(key, "v").join(least, "k").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+    def small_star(df: DataFrame) -> DataFrame:
+        down = edges_of(df).where("v < u")
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        joined = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return joined.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
     def stars(df: DataFrame) -> bool:
         """Whether every node has one edge upwards or is a root."""
@@ -87,7 +90,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     while not stars(now):
-        now = materialise(star(star(now, True), False), name)
+        now = materialise(small_star(large_star(now)), name)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
