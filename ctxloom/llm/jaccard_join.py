@@ -166,6 +166,20 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, re
     without a word have no n-gram and no link; equal ones share a class, as null ones do. Repeated
     rows are copies. Only doc_id and text are read.
     """
+    sketches, found = _classes(docs, similarity, width, recall)
+    classes = found.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    found = found.join(classes, "root")
+    zero = F.lit(0).cast("long")
+    out = sketches.select("doc_id", "key").join(found, "key")
+    return out.select("doc_id", "class_id", "text_id", F.coalesce("docs", zero).alias("n_links"), F.coalesce("texts", zero).alias("n_text_links"), (F.col("copies") - 1).alias("n_copies"))
+
+
+def _text_key():
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("null"))))
+
+
+def _classes(docs: DataFrame, similarity: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows by doc_id and text key, and of each text its least doc_id, copies, links and the root of its class."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = bands_and_rows(similarity, recall)
@@ -180,7 +194,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, re
                 some = block.n_words > 0
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h if s else None for h, s in zip(hashes, some, strict=True)], pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
-    key = F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("null"))))
+    key = _text_key()
     sketches = materialise(columns.select("doc_id", key.alias("key"), "text").mapInArrow(sketch, "doc_id long, key binary, bands array<long>"), "sketches")
     texts = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "texts")
     hashed = sketches.select("key", F.posexplode("bands").alias("band", "hash")).distinct()
@@ -189,12 +203,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, re
     linked = _links(columns, key, texts, components(edges, "candidates"), similarity, width)
     counts = linked.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(linked.select(F.col("key").alias("a"), F.col("tie").alias("b")), "classes")
-    found = texts.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = found.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    found = found.join(classes, "root")
-    zero = F.lit(0).cast("long")
-    out = sketches.select("doc_id", "key").join(found, "key")
-    return out.select("doc_id", "class_id", "text_id", F.coalesce("docs", zero).alias("n_links"), F.coalesce("texts", zero).alias("n_text_links"), (F.col("copies") - 1).alias("n_copies"))
+    return sketches, texts.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _links(columns: DataFrame, key, texts: DataFrame, groups: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -226,10 +235,15 @@ def _links(columns: DataFrame, key, texts: DataFrame, groups: DataFrame, similar
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each class the row with the least doc_id, with all its columns.
+    """The documents without near duplicates: of each class exactly one row, that of the least doc_id, with all its columns.
 
-    Rows without a word are a class for each text. Of rows that repeat a doc_id one stays.
+    Null ids come last, and of equal ids the least text key stays. Rows without a word are a class
+    for each text. Rows of one id, or of none, with texts of several classes are kept for each.
     """
-    keep = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "__kept_doc_id"), F.col("doc_id").eqNullSafe(F.col("__kept_doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = _classes(docs, SIMILARITY, WIDTH, RECALL)[1]
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull(), "text_id", "key")).alias("least"))
+    # a long as a string is never empty, so the empty one stands for null
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    keep = least.select(F.col("least.key").alias("__key"), F.coalesce(F.col("least.text_id").cast("string"), F.lit("")).alias("__name"))
+    kept = docs.withColumn("__key", _text_key()).withColumn("__name", name).join(keep, ["__key", "__name"], "left_semi")
+    return kept.dropDuplicates(["__key", "__name"]).select(*docs.columns)

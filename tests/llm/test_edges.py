@@ -100,3 +100,14 @@ def test_pipeline_equals_its_parts(spark):
     bad = {r["doc_id"] for r in decontam.matches(kept, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
     expected = {r["doc_id"] for r in kept.collect()} - bad
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == expected
+
+
+def test_dedup_keeps_one_row_of_each_class_whatever_its_id(spark):
+    from collections import Counter
+
+    many = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
+    near = many[0] + " end"
+    rows = [(None, many[0]), (None, near), (None, many[1]), (None, many[2]), (None, many[2]), (7, many[3]), (7, many[4]), (8, many[3]), (9, many[5]), (9, near), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    out = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()]
+    assert Counter(out) == Counter([(9, near), (None, many[1]), (None, many[2]), (7, many[3]), (7, many[4]), (9, many[5]), (None, None), (None, "")])
