@@ -4,7 +4,9 @@ Every training document is cut into overlapping passages, so long that each item
 and every passage is a query. An item's postings hold its BM25 impacts as shares of the score that
 it gives itself. Items stand in blocks with the largest impact of each term: a block whose bound
 for a passage is below the threshold is skipped, and all items of the others are scored. What is
-above the threshold is verified on n-grams of the item's question and answer.
+above the threshold is verified on the item's question and answer: the share of their n-grams in
+the passage or, as one changed word kills several n-grams, that of words left by the least word
+edits to any span of it.
 """
 
 from __future__ import annotations
@@ -13,16 +15,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, keep_rows, small_batches
+from .common import chunks, keep_rows, materialise, small_batches
 
 K1, B = 1.2, 0.75
-#: Least BM25 score, as a share of the item's own; least overlaps of question and answer n-grams.
+#: Least BM25 score, as a share of the item's own; least overlaps of question and answer.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.5
 NGRAM = 5
 ITEMS_PER_BLOCK = 16
@@ -45,22 +48,33 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class Whole:
+    """What scores need to know of all items: their number, words in all and of the longest, and of each term the items with it."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Impacts and block maxima of some items."""
+    """Impacts and block maxima of some items; `whole` describes all items where these are a part."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None) -> None:
         kept = [(key, words, text) for key, text in items if text and (words := _TERM.findall(text.lower()))]
         kept.sort(key=lambda x: (len(x[1]), str(x[0])))
         self.keys = [key for key, _, _ in kept]
         self.words = [words for _, words, _ in kept]
         self.parts = [split(words, text) for _, words, text in kept]
-        self.longest = max([LEAST_PASSAGE, *map(len, self.words)])
+        if whole is None:
+            whole = Whole(len(kept), sum(map(len, self.words)), max(map(len, self.words), default=0), Counter(t for w in self.words for t in set(w)))
+        self.longest = max(LEAST_PASSAGE, whole.longest)
         self.term = {t: i for i, t in enumerate(sorted({t for w in self.words for t in w}))}
-        n, average = len(kept), sum(map(len, self.words)) / max(1, len(kept))
-        df = Counter(t for w in self.words for t in set(w))
-        self.blocks = -(-n // ITEMS_PER_BLOCK)
+        n, average, df = whole.n, whole.words / max(1, whole.n), whole.df
+        self.blocks = -(-len(kept) // ITEMS_PER_BLOCK)
         self.impact = np.zeros((len(self.term), self.blocks * ITEMS_PER_BLOCK), np.float32)
-        self.own = np.zeros(n)
+        self.own = np.zeros(len(kept))
         for i, words in enumerate(self.words):
             for t, tf in Counter(words).items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
@@ -105,7 +119,7 @@ class Index:
                 row = int(np.searchsorted(base, here, "right")) - 1
                 first = (here - int(base[row])) * size
                 last = first + 2 * size if here - base[row] < windows[row] - 1 else len(words[row])
-                question, answer = (overlap(part, words[row][first:last]) for part in self.parts[item])
+                question, answer = overlaps(*self.parts[item], words[row][first:last])
                 if question >= QUESTION and answer >= ANSWER:
                     found = (row, item, first, float(scores[w, i]), question, answer)
                     if (row, item) not in out or found[3:] > out[row, item][3:]:
@@ -113,21 +127,66 @@ class Index:
         return list(out.values())
 
 
+def distance(part: list[str], passage: list[str]) -> int:
+    """Least word edits between a part and any span of the passage (bit-parallel, Myers 1999)."""
+    n = len(part)
+    places: dict[str, int] = {}
+    for i, word in enumerate(part):
+        places[word] = places.get(word, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n - 1
+    up, down, score, best = full, 0, n, n
+    for word in passage:
+        equal = places.get(word, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = (down | ~(across | up)) & full, up & across
+        score += bool(more & top) - bool(less & top)
+        best = min(best, score)
+        more, less = more << 1 & full, less << 1 & full
+        vertical = equal | down
+        up, down = (less | ~(vertical | more)) & full, more & vertical
+    return best
+
+
 def overlap(part: list[str], passage: list[str]) -> float:
-    """Share of a part's n-grams that stand in the passage."""
+    """Share of a part's n-grams that stand in the passage, or of its words that the least edits leave if it has an n-gram's length."""
     own = grams(part, NGRAM)
     n = min(NGRAM, len(part))
-    return len(own & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(own) if own else 0.0
+    share = len(own & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(own) if own else 0.0
+    return max(share, 1 - distance(part, passage) / len(part)) if share < 1 and len(part) >= NGRAM else share
+
+
+def overlaps(question: list[str], answer: list[str], passage: list[str]) -> tuple[float, float]:
+    """Both parts' overlaps; beside its own a part has what it adds to the other's edits where both stand together."""
+    found = overlap(question, passage), overlap(answer, passage)
+    if found[0] >= QUESTION and found[1] >= ANSWER or max(found[0] / QUESTION, found[1] / ANSWER) < 1:
+        return found
+    both = distance(question + answer, passage)
+    return tuple(max(f, 1 - (both - distance(other, passage)) / len(part)) for f, part, other in zip(found, (question, answer), (answer, question), strict=True))
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The items in as many indexes as their number and bytes ask for; each is bounded."""
+    """The items in as many indexes as their number and bytes ask for; each is bounded, and all score by the counts of all items."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+    if passes == 1:
+        yield Index([(r["item_id"], r["text"]) for r in items.collect()])
+        return
+
+    def terms(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for part, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                if words := _TERM.findall(text.lower()):
+                    own = list(set(words))
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int64()), pa.array(own, pa.string()), pa.array([len(words)] + [None] * (len(own) - 1), pa.int64())], names=["part", "term", "words"])
+
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    seen = materialise(items.select("part", "text").mapInArrow(terms, "part long, term string, words long"), "item_terms")
+    totals = [x or 0 for x in seen.agg(F.count("words"), F.sum("words"), F.max("words")).first()]
+    counts = materialise(seen.groupBy("term").agg(F.count("*").alias("df")), "item_counts")
     for k in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        yield Index([(r["item_id"], r["text"]) for r in some.collect()])
+        df = {r["term"]: r["df"] for r in counts.join(seen.where(F.col("part") == k).select("term"), "term", "left_semi").collect()}
+        yield Index([(r["item_id"], r["text"]) for r in items.where(F.col("part") == k).collect()], Whole(*totals, df))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

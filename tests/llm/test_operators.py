@@ -150,6 +150,36 @@ def test_decontamination_equals_scoring_every_passage(docs):
             assert hit == ((row, item) in found)
 
 
+def test_decontamination_survives_one_changed_word():
+    import pyarrow as pa
+
+    one = "the pale otter carried seven copper lanterns across the frozen harbour before dawn broke again"
+    two = "where did the old miller hide the silver key during the long winter storm\nbelow hearthstone"
+    index, around = decontam.Index([(1, one), (2, two), *((n, " ".join(f"q{n}x{k}" for k in range(20))) for n in range(3, 40))]), " ".join(f"filler{i}" for i in range(50))
+    for item, text in ((1, one), (2, two)):
+        words = text.split()
+        for i in range(len(words)):
+            for edited in ([*words[:i], "changed", *words[i + 1 :]], [*words[:i], "added", *words[i:]], [*words[:i], *words[i + 1 :]]):
+                found = index.search(pa.array([f"{around} {' '.join(edited)} {around}"]))
+                assert [index.keys[x[1]] for x in found] == [item], edited
+    # the question with another answer, and the item's words in another order, are no match
+    shuffled = np.random.default_rng(5).permutation(one.split())
+    assert not index.search(pa.array([f"{around} {two.splitlines()[0]} above rafters {around}", " ".join(shuffled)]))
+
+
+def test_decontamination_scores_by_all_items_in_every_pass(spark, monkeypatch):
+    rows = [(n, f"common words of item {n} and its own word{n} twice word{n}" + " more" * (n % 7)) for n in range(30)]
+    # without a word that all items have, whose share of the score depends on their number
+    items, texts = spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame([(n, t.removeprefix("common ")) for n, t in rows], "doc_id long, text string")
+
+    def found():
+        return sorted(tuple(round(x, 5) for x in r) for r in decontam.matches(texts, items).collect())
+
+    whole = found()
+    monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 7)
+    assert len(whole) >= 30 and found() == whole
+
+
 def test_sharding(spark, docs):
     out = run(spark, "op5_sharding")
     for r in out.itertuples():
