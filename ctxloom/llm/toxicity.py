@@ -2,7 +2,9 @@
 
 Terms are learned from labelled documents: words, and word beginnings that go on in several ways,
 that stand almost only in toxic ones. A word is looked up in the trie exactly, by its beginning, or
-by an automaton that allows one edit (insertion, deletion, substitution or swap of neighbours).
+by an automaton that allows one edit (insertion, deletion, substitution or swap of neighbours) in
+a term or in the stem that a word begins with; in those of four letters only the last two kinds,
+at half the weight. Words that clean documents of the sample use are no misspellings.
 Every hit is weighed by its window of words: signs of quotation (quotation marks around it, words
 of reporting) against signs of abuse (other hits, address, exclamation). A logistic model fitted on
 the labelled sample turns the sums into a probability.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, crc_fold, shingles, small_batches
+from .common import TextBlock, crc_fold, materialise, shingles, small_batches
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows of either class that are learned from, about; a bound, whatever the tables' size.
@@ -28,6 +30,10 @@ SAMPLE_PER_CLASS = 4000
 #: A term must stand in so many toxic sample documents (or such a share of them), and in so few others for each of them.
 MIN_SUPPORT, MIN_SHARE, MAX_CLEAN_SHARE = 5, 0.01, 0.1
 MIN_STEM, MAX_STEM, MIN_FUZZY = 4, 24, 5
+#: Shorter terms of this length may have a letter changed or two swapped, and a hit weighs this much.
+MIN_SHORT, SHORT_WEIGHT = 4, 0.5
+#: Whole words are terms from this length on; a word in so many clean sample documents is no misspelling.
+MIN_WORD, MIN_KNOWN = 2, 2
 WINDOW = 8
 THRESHOLD = 0.7
 
@@ -39,28 +45,39 @@ QUOTES = "\"“”„«»‘‹›"
 _WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 
 
+#: Marks a stem's node in the trie, where any ending is accepted; longer than a character.
+ANY = "any"
+
+
+def _cut(word: str) -> list[str]:
+    """The word without each of its characters."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 @dataclass
 class Lexicon:
-    """Whole terms in a trie, and stems that any ending may follow."""
+    """Whole terms, and stems that any ending may follow, in a trie; `known` words are no misspellings."""
 
     terms: set[str]
     stems: set[str]
     trie: dict = field(default_factory=dict)
+    known: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        for term in self.terms:
-            node = self.trie
-            for char in term:
-                node = node.setdefault(char, {})
-            node[""] = term
+        for mark, kind in (("", self.terms), (ANY, self.stems)):
+            for term in kind:
+                node = self.trie
+                for char in term:
+                    node = node.setdefault(char, {})
+                node[mark] = term
         self.lengths = sorted({len(x) for x in self.stems})
-        fuzzy = [x for x in self.terms if len(x) >= MIN_FUZZY]
-        self.heads, self.tails = {x[:2] for x in fuzzy}, {x[-2:] for x in fuzzy}
-        self.sizes = {len(x) + d for x in fuzzy for d in (-1, 0, 1)}
+        # two words one edit apart are equal after at most one character is cut from each
+        self.cut_terms = {y for x in self.terms if len(x) >= MIN_SHORT for y in (x, *_cut(x))}
+        self.cut_stems = {y for x in self.stems if len(x) >= MIN_SHORT for y in (x, *_cut(x))}
         self.memo: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        """0: no hit, 1: exact, 2: stem, 3: one edit away."""
+        """0: no hit, 1: exact, 2: stem, 3: one edit away, 4: one edit away from four letters."""
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) > 400_000:
@@ -73,21 +90,32 @@ class Lexicon:
             return 1
         if any(word[:n] in self.stems for n in self.lengths):
             return 2
-        # one edit leaves the first two or the last two characters of a term of five or more
-        if len(word) in self.sizes and (word[:2] in self.heads or word[-2:] in self.tails) and self.near(word):
-            return 3
+        if word not in self.known and self._maybe_near(word) and (term := self.near(word)):
+            return 3 if len(term) >= MIN_FUZZY else 4
         return 0
 
+    def _maybe_near(self, word: str) -> bool:
+        if len(word) < MIN_SHORT:
+            return False
+        if word in self.cut_terms or not self.cut_terms.isdisjoint(_cut(word)):
+            return True
+        return any(word[: n - 1] in self.cut_stems or not self.cut_stems.isdisjoint(_cut(word[:n])) or not self.cut_stems.isdisjoint(_cut(word[: n + 1])) for n in self.lengths)
+
     def near(self, word: str) -> str | None:
-        """A term of MIN_FUZZY characters or more within one edit: the automaton's states are rows of edit distances."""
+        """A term within one edit of the word, or a stem of one of its beginnings, if one of MIN_FUZZY characters then that; the automaton's states are rows of edit distances."""
         first = list(range(len(word) + 1))
         todo = [(self.trie, first, None, "")]
+        short = None
         while todo:
             node, row, above, last = todo.pop()
             for char, child in node.items():
-                if char == "":
-                    if row[-1] <= 1 and len(child) >= MIN_FUZZY:
-                        return child
+                if char == "" or char == ANY:
+                    size = len(child)
+                    if size >= MIN_FUZZY:
+                        if row[-1] <= 1 or char == ANY and min(row) <= 1:
+                            return child
+                    elif size >= MIN_SHORT and (len(word) == size or char == ANY and len(word) > size) and row[size] <= 1:
+                        short = child
                     continue
                 new = [row[0] + 1]
                 for i, own in enumerate(word, 1):
@@ -97,7 +125,7 @@ class Lexicon:
                     new.append(best)
                 if min(new) <= 1 or min(row) <= 1:
                     todo.append((child, new, row, char))
-        return None
+        return short
 
 
 def signals(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
@@ -118,8 +146,9 @@ def signals(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, fl
             quoted = 2.0 * (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) + sum(w in REPORTING for w in around)
             abuse = sum(map(bool, kinds[a:i] + kinds[i + 1 : b])) + sum(w in ADDRESS for w in around) + ("!" in right)
             share = quoted / (1 + quoted + abuse)
-            out[kinds[i] - 1] += 1 - share
-            out[3] += share
+            weight = 1.0 if kinds[i] < 4 else SHORT_WEIGHT
+            out[min(kinds[i], 3) - 1] += weight * (1 - share)
+            out[3] += weight * share
     return tuple(out)
 
 
@@ -162,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                 for word in set(_WORD.findall(text.lower())):
                     longest = min(len(word), MAX_STEM)
                     here = [word[:n] for n in range(MIN_STEM, longest + 1)]
-                    if longest == len(word) >= MIN_STEM:
+                    if longest == len(word) >= MIN_WORD:
                         here.append(word + "$")
                     found.update(here)
                 seen[label == 1].update(found)
@@ -171,11 +200,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.string()), pa.array([seen[1][x] for x in starts], pa.int64()), pa.array([seen[0][x] for x in starts], pa.int64())], names=["start", "bad", "good"])
 
     small_batches(spark)
-    starts = _distinct(sample).mapInArrow(count, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    starts = materialise(_distinct(sample).mapInArrow(count, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "starts")
     bad_docs, good_docs = max(1, min(per_class, counts.get(1, 0))), max(1, min(per_class, sum(n for k, n in counts.items() if k != 1)))
-    found = starts.where((F.col("bad") >= max(MIN_SUPPORT, MIN_SHARE * bad_docs)) & (F.col("good") / good_docs <= MAX_CLEAN_SHARE * F.col("bad") / bad_docs)).toArrow().to_pylist()
+    precise = F.col("good") / good_docs <= MAX_CLEAN_SHARE * F.col("bad") / bad_docs
+    found = starts.where((F.col("bad") >= max(MIN_SUPPORT, MIN_SHARE * bad_docs)) & precise).toArrow().to_pylist()
     lexicon = choose({r["start"]: r["bad"] for r in found})
 
+    def close(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in frame.column(0).to_pylist() if lexicon.kind(w := x[:-1]) > 2], pa.string())], names=["word"])
+
+    clean = starts.where(F.col("start").endswith("$") & (F.col("good") >= MIN_KNOWN) & ~precise).select("start")
+    lexicon = Lexicon(lexicon.terms, lexicon.stems, known={r["word"] for r in clean.mapInArrow(close, "word string").collect()})
+
     def measure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             x = np.array([signals(t, lexicon) for t in frame.column(0).to_pylist()]).reshape(-1, 4)

@@ -250,6 +250,26 @@ def test_quotation_weighs_less_than_abuse():
     assert abuse[0] > 1.5 > 0.5 > quoted[0] and quoted[3] > 0.5
 
 
+def test_automaton_finds_misspelled_stems_and_four_letter_terms():
+    lexicon = toxicity.Lexicon({"scum"}, {"idiot", "moro"}, known={"scuba", "idiom"})
+    assert [lexicon.kind(w) for w in ("idiot", "idiots", "idiotic", "scum")] == [2, 2, 2, 1]
+    # one edit inside the stem, at its start, and a swap, each with endings
+    assert [lexicon.kind(w) for w in ("idoits", "idjot", "diotic", "xidiots", "idiiotically", "idit")] == [3] * 6
+    # four letters: substitutions and swaps alone; with any ending after a stem, none after a term
+    assert [lexicon.kind(w) for w in ("scun", "scmu", "mxrons", "omronic")] == [4] * 4
+    assert [lexicon.kind(w) for w in ("scu", "sscum", "scuba", "idiom", "idol", "mrons", "table")] == [0] * 7
+    # what the filter passes by the automaton doesn't accept either
+    draw = np.random.default_rng(4)
+    for stem in ("idiots", "scum", "moronic"):
+        for _ in range(300):
+            word = list(stem)
+            for _ in range(draw.integers(1, 3)):
+                i = int(draw.integers(0, len(word)))
+                word[i : i + int(draw.integers(0, 2))] = ["a", "i", "o", "m", "t"][int(draw.integers(0, 5))]
+            word = "".join(word)
+            assert lexicon._maybe_near(word) or lexicon.near(word) is None or len(word) < 4
+
+
 def test_html(spark):
     pages = pq.read_table(f"{FOLDER}/pages.parquet").to_pandas().set_index("page_id").html
     for r in run(spark, "op7_html_extraction").itertuples():
