@@ -52,19 +52,26 @@ def permutation_p(values: DataFrame, by: list[str]) -> DataFrame:
     return chosen.groupBy(*by).agg((F.count_if(F.col("total") >= F.col("seen")) / F.count("*")).alias("p"), F.count("*").alias("combinations"))
 
 
+#: Counts of resamples, and the largest n whose n^n they hold.
+WAYS, MOST_RESAMPLED = "decimal(38,0)", 26
+
+
 def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
     """Histogram of the sums of all n^n resamples of each group (by, index, value): by, total, ways.
 
-    Sums are added one draw at a time, so that rows grow with distinct sums and not with n^n.
+    Sums are added one draw at a time, so that rows grow with distinct sums and not with n^n. ways
+    has 38 digits; a group of more than MOST_RESAMPLED rows has more ways than that and is an error.
     """
     sizes = values.groupBy(*by).agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
-    now = sizes.select(*by, "n", F.lit(0).cast("long").alias("total"), F.lit(1).cast("long").alias("ways"))
+    if most > MOST_RESAMPLED:
+        raise OverflowError(f"a group of {most} rows has more resamples than 38 digits count; at most {MOST_RESAMPLED} rows")
+    now = sizes.select(*by, "n", F.lit(0).cast("long").alias("total"), F.lit(1).cast(WAYS).alias("ways"))
     own = values.join(sizes, by).select(*by, "n", F.col("value").cast("long").alias("value"))
     none = sizes.select(*by, "n", F.lit(0).cast("long").alias("value"))
     for step in range(most):  # a group that has had its draws adds nothing, so that each step stands once in the plan
         drawn = own.where(F.col("n") > step).unionByName(none.where(F.col("n") <= step)).drop("n")
-        now = now.join(drawn, by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").alias("ways")).withColumnRenamed("sum", "total")
+        now = now.join(drawn, by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").cast(WAYS).alias("ways")).withColumnRenamed("sum", "total")
     return now
 
 

@@ -147,3 +147,33 @@ def test_text_edges(spark):
     assert one(spark, text.token_count(F.col("t")), t="a b") == 2
     assert one(spark, text.slugify(F.col("t")), t="!!") == "research-project"
     assert one(spark, text.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"), 1.0), t="") == 1.0
+
+
+def test_resampled_means_of_groups_beyond_a_long(spark):
+    from collections import Counter
+
+    from ctxloom.operators import stats
+
+    groups = {1: [0, 1, 3], 2: [k % 3 for k in range(18)]}
+    rows = [(g, i, x) for g, own in groups.items() for i, x in enumerate(own)]
+    out = stats.resampled_means(spark.createDataFrame(rows, "g long, index long, value long"), ["g"]).collect()
+    for g, own in groups.items():
+        sums = Counter({0: 1})
+        for _ in own:
+            new = Counter()
+            for total, ways in sums.items():
+                for x in own:
+                    new[total + x] += ways
+            sums = new
+        assert {r["total"]: int(r["ways"]) for r in out if r["g"] == g} == sums
+    with pytest.raises(OverflowError):
+        stats.resampled_means(spark.createDataFrame([(1, i, 0) for i in range(27)], "g long, index long, value long"), ["g"])
+
+
+def test_resampled_means_query_keeps_large_orders(spark, monkeypatch):
+    from ctxloom.plans import queries
+
+    units = spark.createDataFrame([(1, i, 25 * (i % 2)) for i in range(17)], "l_orderkey long, index long, score long")
+    monkeypatch.setattr(queries, "_units", lambda v: units)
+    out = queries.QUERIES["n3_resampled_means"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 18 and sum(int(r["ways"]) for r in out) == 17**17
