@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,16 +45,38 @@ def inverted_lists(vectors: DataFrame, lists: int = 16, seed: int = 7):
 
 
 def ivf_top(queries: DataFrame, vectors: DataFrame, n: int, lists: int = 16, probes: int = 4) -> DataFrame:
-    """Approximate search: rows join the queries that probe their list, then rank exactly."""
+    """The n most similar rows, as by brute force: rows join the queries that probe their list, then rank exactly.
+
+    A query's nearest lists come first. Of the others it probes those that can hold a better row than
+    its n-th so far: a list's rows lie within its radius (an angle) around its centre.
+    """
     from pyspark.ml.functions import array_to_vector
 
     model = inverted_lists(vectors, lists)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    centre = F.array(*[F.array(*map(F.lit, c)) for c in centres])
     rows = model.transform(vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))).drop("features").withColumnRenamed("prediction", "list")
-    near = F.array(*[F.struct((-cosine(F.col("embedding"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
-    asked = queries.select("query_id", F.col("embedding").alias("_q"), F.explode(F.slice(F.array_sort(near), 1, probes)).alias("p")).select("query_id", "_q", "p.list")
-    scored = rows.join(asked, "list").where("id <> query_id").withColumn("similarity", F.round(F.coalesce(cosine(F.col("_q"), F.col("embedding")), F.lit(0.0)), 9))
-    return top_k(scored.select("query_id", "id", "similarity"), n, ["query_id"], "similarity", "id")
+
+    def angle(a: Column, b: Column) -> Column:
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b))))
+
+    # a vector without a direction has similarity 0 to all, so that its list is never ruled out
+    radii = rows.groupBy("list").agg(F.max(F.coalesce(angle(F.col("embedding"), F.get(centre, F.col("list"))), F.lit(math.pi))).alias("radius"))
+    radius = {r["list"]: r["radius"] for r in radii.collect()}
+    near = F.array(*[F.struct(F.coalesce(angle(F.col("embedding"), F.array(*map(F.lit, c))), F.lit(0.0)).alias("d"), F.lit(i).alias("list"), F.lit(float(radius.get(i, 0.0))).alias("radius")) for i, c in enumerate(centres)])
+    ordered = queries.select("query_id", F.col("embedding").alias("_q"), F.array_sort(near).alias("_near"))
+
+    def scored(asked: DataFrame) -> DataFrame:
+        found = rows.join(asked, "list").where("id <> query_id").withColumn("similarity", F.round(F.coalesce(cosine(F.col("_q"), F.col("embedding")), F.lit(0.0)), 9))
+        return found.select("query_id", "id", "similarity")
+
+    first = top_k(scored(ordered.select("query_id", "_q", F.explode(F.slice("_near", 1, probes)).alias("p")).select("query_id", "_q", "p.list")), n, ["query_id"], "similarity", "id").drop("rank")
+    least = first.groupBy("query_id").agg(F.when(F.count("*") >= n, F.min("similarity")).otherwise(-2.0).alias("_least"))
+    rest = ordered.select("query_id", "_q", F.explode(F.slice("_near", probes + 1, lists)).alias("p")).join(least, "query_id", "left")
+    bound = F.cos(F.greatest(F.lit(0.0), F.col("p.d") - F.col("p.radius")))
+    # the slack is above the rounding of angles and of similarities
+    rest = rest.where((bound >= F.coalesce("_least", F.lit(-2.0)) - 1e-6) | (F.col("p.radius") >= math.pi)).select("query_id", "_q", "p.list")
+    return top_k(first.unionByName(scored(rest)), n, ["query_id"], "similarity", "id")
 
 
 def feature_hash(texts: pd.Series, dimension: int) -> pd.Series:

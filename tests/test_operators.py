@@ -1,5 +1,6 @@
 """Semantics that the tables don't show, on hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,20 @@ def test_resampled_means_query_keeps_large_orders(spark, monkeypatch):
     monkeypatch.setattr(queries, "_units", lambda v: units)
     out = queries.QUERIES["n3_resampled_means"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 18 and sum(int(r["ways"]) for r in out) == 17**17
+
+
+def test_ivf_search_equals_brute_force(spark):
+    from ctxloom.plans import queries
+
+    folder = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r[0] for r in e]), np.array([r[1] for r in e], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for r in queries.QUERIES["j14_ivf_top"](spark, folder).collect():
+        out.setdefault(r["query_id"], []).append((r["similarity"], r["id"]))
+    assert set(out) == {i for i in ids.tolist() if i % 50 == 0}
+    for q, found in out.items():
+        own = v @ v[ids == q][0]
+        true = sorted(own[ids != q], reverse=True)[:10]
+        assert np.allclose(sorted((s for s, _ in found), reverse=True), true, atol=1e-6)
