@@ -5,6 +5,7 @@ A *word* is a maximal run of bytes other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Ranges of so many bytes are hashed by a cryptographic function.
+LONG_RANGE = 256
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,11 +37,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound an Arrow batch by rows, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def crc_fold(column, modulus: int):
     """crc32 of a value's text, modulo a number of folds."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % modulus
@@ -55,15 +53,25 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
+def slices(frames: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of the text in `column`.
+
+    Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so that a task
+    holds one batch and the work on one slice. A text is never cut: one longer than `limit` is a
+    slice of its own, whose work takes some 50 to 100 bytes of memory for each of its bytes.
+    """
+    for frame in frames:
+        for a, b in chunks(frame.column(column), limit):
+            yield frame.slice(a, b - a)
+
+
 def keep_rows(docs: DataFrame, keeps: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose text `keeps` is true for; it gets blocks of texts."""
     at = docs.columns.index("text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for a, b in chunks(frame.column(at)):
-                part = frame.slice(a, b - a)
-                yield part.filter(pa.array(keeps(part.column(at)), pa.bool_()))
+        for part in slices(frames, at):
+            yield part.filter(pa.array(keeps(part.column(at)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -114,10 +122,22 @@ class TextBlock:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-        powers, inverse = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * powers[: len(self.data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        return range_hashes(self.data, starts, ends)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of `data`: polynomials modulo 2^64 of short ones, BLAKE2b of long ones.
+
+    A polynomial modulo 2^64 meets for certain long strings (Thue-Morse words of 2^11 bytes and
+    more) whatever its base; under LONG_RANGE bytes it has no such pairs.
+    """
+    powers, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
+    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts >= LONG_RANGE):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, chunks, crc_fold, keep_rows, mix, small_batches
+from .common import TextBlock, crc_fold, keep_rows, mix, slices
 
 #: Families of ISO 639-1 codes; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -156,11 +156,10 @@ def learn(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: in
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
     def sparse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for a, b in chunks(frame.column(1)):
-                x = features(TextBlock(frame.column(1).slice(a, b - a)))
-                at = [np.flatnonzero(row) for row in x]
-                yield pa.RecordBatch.from_arrays([frame.column(0).slice(a, b - a), pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array([row[i] for row, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "at", "value"])
+        for part in slices(frames, 1):
+            x = features(TextBlock(part.column(1)))
+            at = [np.flatnonzero(row) for row in x]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array([row[i] for row, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "at", "value"])
 
     rows = sample.mapInArrow(sparse, "lang string, at array<smallint>, value array<float>").toArrow()
     x = np.zeros((rows.num_rows, DIM), np.float32)
@@ -174,26 +173,27 @@ def identify(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language:
 
     Only text decides a prediction. Null texts and texts without a letter are `und` with score 0;
     if no row has a language to learn from, all are. Repeated rows are predicted each for itself.
+    Of classes that tie the first in alphabetical order is taken.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, families, per_language))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for a, b in chunks(frame.column(2)):
-                part = frame.slice(a, b - a)
-                langs, score = model.value.predict(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+        for part in slices(frames, 2):
+            langs, score = model.value.predict(part.column(2))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is determined with `min_score` at least, with all their columns."""
+    """The documents whose language is determined with `min_score` at least, with all their columns.
+
+    Null texts and texts without a letter go; if no row has a language to learn from, all go.
+    Each of several equal rows is kept or goes for itself.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs))
 
     def sure(texts: pa.Array) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .encode import VOCABULARY, encoder
 
 WINDOW = 1024
@@ -73,7 +73,7 @@ def _pieces(vocabulary: str, window: int, limit: int):
             made += 1
             rows.extend((*x, unit, at, total, still_open) for at, x in items)
 
-        for frame in frames:
+        for frame in slices(frames, 1):
             for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
                 ids = encode(text.as_py())
                 ids.append(0)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, chunks, keep_rows, mix, small_batches
+from .common import TextBlock, keep_rows, mix, slices
 
 #: Fixed by the contract of the base rules.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -117,9 +117,8 @@ def figures(texts: pa.Array) -> list[np.ndarray]:
 
 def measure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in OUT.split(", ")]
-    for frame in frames:
-        for a, b in chunks(frame.column(1)):
-            yield pa.RecordBatch.from_arrays([frame.column(0).slice(a, b - a), *map(pa.array, figures(frame.column(1).slice(a, b - a)))], names=names)
+    for part in slices(frames, 1):
+        yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, figures(part.column(1)))], names=names)
 
 
 def dup_lines(block: TextBlock) -> np.ndarray:
@@ -148,11 +147,13 @@ def quality(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail. Repeated rows and clashing extra columns don't
     matter: only doc_id and text are read, row by row. Work is a map over the table.
     """
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, OUT)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    small_batches(docs.sparkSession)
+    """The documents that the rules keep, with all their columns.
+
+    Null and empty texts go, as they have no words. Each of several equal rows is kept or goes for
+    itself, whatever its other columns hold; an empty table gives an empty one.
+    """
     return keep_rows(docs, lambda texts: figures(texts)[-1])

@@ -39,30 +39,28 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard(df: DataFrame, key: str, shards: int, order: list[str] = (), parts: int | None = None) -> DataFrame:
-    """Adds `shard`, `grown_shard` (with one shard more) and `slot`, gapless from 0 in each shard.
+    """All columns, then `shard`, `grown_shard` (with one shard more) and `slot`, gapless from 0 in each shard.
 
     The key is hashed by xxhash64 of its text, so equal keys share a shard; null keys share one
     too. Slots are dealt in two steps, so that no shard meets in one task: rows get a number
     inside a fine part of their shard (by another hash of `key` and `order`), and the parts' sizes
     are summed ahead of them. Rows that are equal in key and `order` may swap their slots.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A table that has one of the three columns is an error.
     """
+    if clash := {"shard", "grown_shard", "slot"} & set(df.columns):
+        raise ValueError(f"the table has columns of these names: {sorted(clash)}")
     spark = df.sparkSession
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
-
-    def placed(columns: DataFrame) -> DataFrame:
-        out = columns.withColumn("_key", F.xxhash64(text))
-        out = out.withColumn("shard", jump_shard(F.col("_key"), shards)).withColumn("grown_shard", jump_shard(F.col("_key"), shards + 1))
-        return out.withColumn("_part", F.pmod(F.xxhash64(F.lit(1), text, *[F.col(c) for c in order]), F.lit(parts)).cast("int"))
-
-    rows = placed(df)
-    sizes = rows.groupBy("shard", "_part").count()
-    ahead = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_part").orderBy(F.col("_key"), *[F.col(c) for c in [key, *order]])
-    numbered = rows.withColumn("_n", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_n")).drop("_n", "_start", "_part", "_key")
+    hashed, part = F.xxhash64(text), F.pmod(F.xxhash64(F.lit(1), text, *[F.col(c) for c in order]), F.lit(parts)).cast("int")
+    placed = df.select(F.struct("*").alias("row"), hashed.alias("key"), F.struct(key, *order).alias("order"), part.alias("part"))
+    placed = placed.select("*", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard"))
+    sizes = placed.groupBy("shard", "part").count()
+    ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "part").orderBy("key", "order")
+    numbered = placed.withColumn("n", F.row_number().over(inside) - 1).join(starts, ["shard", "part"])
+    return numbered.select("row.*", "shard", "grown_shard", (F.col("start") + F.col("n")).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, files_per_shard: int = 8) -> None:

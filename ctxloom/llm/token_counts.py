@@ -9,6 +9,7 @@ all that is needed to stitch documents that cross blocks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .encode import END_OF_DOCUMENT, VOCABULARY, encoder
 
 BLOCK_BYTES = 1 << 20
@@ -42,7 +43,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_O
         def out(data: bytes, upto: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([upto], pa.list_(pa.int64()))], names=["file", "block", "data", "names"])
 
-        for frame in frames:
+        for frame in slices(frames, 1):
             for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
                 buffer += np.frombuffer(ids_of(text.as_py()), np.uint32).astype("<u2").tobytes()
                 buffer += end.to_bytes(2, "little")
@@ -57,11 +58,30 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_O
     return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, BLOCKS), "tokens")
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of real flat files. One file is read in one task and must fit in it (1 GB or so)."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").where("length(content) > 0")
-    cut = f"transform(sequence(0, (length(content) - 1) div {block_bytes}), k -> substring(content, cast(k * {block_bytes} + 1 as int), {block_bytes}))"
-    return files.select("file", F.posexplode(F.expr(cut)).alias("block", "data")).select("file", F.col("block").cast("long"), "data", F.lit(None).cast("array<long>").alias("names"))
+def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, blocks_per_row: int = 64) -> DataFrame:
+    """Blocks of real flat files, of any size: Spark lists the files, and tasks read ranges of their bytes.
+
+    The ranges are read by pyarrow.fs, so the paths must be of a store that it knows (file, hdfs, s3,
+    gs, abfs). An empty file has no block.
+    """
+    step = block_bytes * blocks_per_row
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    spans = files.select("file", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("span")).repartition("file", "span")
+
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for file, span in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                with store.open_input_file(place) as source:
+                    for block in range(span * blocks_per_row, (span + 1) * blocks_per_row):
+                        if block * block_bytes >= source.size():
+                            break
+                        data = source.read_at(block_bytes, block * block_bytes)
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "names"])
+
+    return spans.mapInArrow(read, BLOCKS)
 
 
 def separator_scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:

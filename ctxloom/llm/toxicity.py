@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, crc_fold, materialise, shingles, small_batches
+from .common import TextBlock, crc_fold, materialise, shingles, slices
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows of either class that are learned from, about; a bound, whatever the tables' size.
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, found = (Counter(), Counter()), set()
-        for frame in frames:
+        for frame in slices(frames, 0):
             for text, label in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 for word in set(_WORD.findall(text.lower())):
                     longest = min(len(word), MAX_STEM)
@@ -199,7 +199,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         starts = [*seen[0], *(x for x in seen[1] if x not in seen[0])]
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.string()), pa.array([seen[1][x] for x in starts], pa.int64()), pa.array([seen[0][x] for x in starts], pa.int64())], names=["start", "bad", "good"])
 
-    small_batches(spark)
     starts = materialise(_distinct(sample).mapInArrow(count, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "starts")
     bad_docs, good_docs = max(1, min(per_class, counts.get(1, 0))), max(1, min(per_class, sum(n for k, n in counts.items() if k != 1)))
     precise = F.col("good") / good_docs <= MAX_CLEAN_SHARE * F.col("bad") / bad_docs
@@ -214,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     lexicon = Lexicon(lexicon.terms, lexicon.stems, known={r["word"] for r in clean.mapInArrow(close, "word string").collect()})
 
     def measure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in slices(frames, 0):
             x = np.array([signals(t, lexicon) for t in frame.column(0).to_pylist()]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([frame.column(1), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c", "d"])
 
@@ -230,7 +229,7 @@ def _distinct(sample: DataFrame) -> DataFrame:
     """One text of those that share their smallest shingle hash, so that copies don't make their words terms."""
 
     def key(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in slices(frames, 0):
             block = TextBlock(frame.column(0))
             hashes, doc = shingles(block)
             least = np.full(block.n_docs, np.iinfo(np.uint64).max, np.uint64)
@@ -270,10 +269,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(docs, labels, per_class))
-    small_batches(spark)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in slices(frames, 2):
             x = np.array([signals(t.as_py(), model.value.lexicon) for t in frame.column(2)]).reshape(-1, 4)
             score = model.value.score(x)
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *(pa.array(c) for c in x.T)], names=["doc_id", "held_out", "score", "predicted", "exact", "stem", "misspelled", "quoted"])
