@@ -3,8 +3,9 @@
 A page is cut into blocks of text with the zone that its markup puts them in: boilerplate elements,
 the body, or an article. Pages are sorted by host and path; each is paired with the neighbour whose
 path shares the longer beginning, and the two pages' lines are aligned by their longest common
-subsequence. Shared lines of the body are deleted. The check after it is exact: where the markup
-names an article its lines stay, shared or not, and lines of boilerplate elements go.
+subsequence. Shared lines are deleted, on pages with an article as on those without. The check after
+it is exact and corrects the differencing where markup is certain: lines inside an article stay
+though a copy shares them, and lines of boilerplate elements go though no neighbour has them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, slices
 
 BOILERPLATE, BODY, MAIN = 0, 1, 2
 
@@ -165,23 +166,22 @@ def _key(url: str | None, found: list[tuple[int, str]]) -> tuple[str, str, bytes
 
 def _outline(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page the key and the hashes of its lines alone."""
-    for frame in frames:
+    for frame in slices(frames, 2):
         rows = [_key(url, blocks(html.as_py())) for url, html in zip(frame.column(1).to_pylist(), frame.column(2), strict=True)]
         kinds = (pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "key", "hashes"])
 
 
 def _candidates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page the lines that markup leaves: an article's, or else the body's, with their places among all lines."""
-    for frame in frames:
+    """Of each page the lines that no boilerplate element holds, with their places among all lines and whether an article holds them."""
+    for frame in slices(frames, 2):
         rows = []
         for url, html in zip(frame.column(1).to_pylist(), frame.column(2), strict=True):
             found = blocks(html.as_py())
-            article = any(zone == MAIN for zone, _ in found)
-            kept = [(at, text) for at, (zone, text) in enumerate(found) if zone == (MAIN if article else BODY)]
-            rows.append((_key(url, found)[2], [text for _, text in kept], [at for at, _ in kept], article, len(found)))
-        kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*frame.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["page_id", "url", "key", "lines", "places", "article", "n_lines"])
+            kept = [(text, at, zone == MAIN) for at, (zone, text) in enumerate(found) if zone != BOILERPLATE]
+            rows.append((_key(url, found)[2], *(list(c) for c in zip(*kept, strict=True)), len(found)) if kept else (_key(url, found)[2], [], [], [], len(found)))
+        kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*frame.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["page_id", "url", "key", "lines", "places", "main", "n_lines"])
 
 
 def neighbours(urls: DataFrame) -> DataFrame:
@@ -221,16 +221,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. A page without another of its host shares nothing.
     Pages of equal URL and lines count as one in pairing, so copies don't delete each other. Null
-    URLs are a host of their own. Pages are parsed twice: pairing and aligning need only hashes of
-    lines, and texts are shuffled once, without the lines that markup rules out.
+    URLs are a host of their own; of two neighbours with as long a common path the one before is the
+    pair. Pages are parsed twice: pairing and aligning need only hashes of lines, and texts are
+    shuffled once, without the lines of boilerplate elements.
     """
-    small_batches(pages.sparkSession, 256)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     outlines = materialise(rows.mapInArrow(_outline, "host string, path string, key binary, hashes array<long>"), "outlines")
     distinct = outlines.select("key", "hashes").dropDuplicates(["key"])
     pairs = neighbours(outlines.select("host", "path", "key").distinct())
     aligned = pairs.join(distinct, "key").join(distinct.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select("key", "hashes", "theirs").mapInArrow(_align, "key binary, shared array<boolean>")
-    found = rows.mapInArrow(_candidates, "page_id long, url string, key binary, lines array<string>, places array<int>, article boolean, n_lines long").join(aligned, "key", "left")
-    text = F.array_join(F.expr("filter(lines, (x, i) -> article or not coalesce(shared[places[i]], false))"), "\n")
+    found = rows.mapInArrow(_candidates, "page_id long, url string, key binary, lines array<string>, places array<int>, main array<boolean>, n_lines long").join(aligned, "key", "left")
+    text = F.array_join(F.expr("filter(lines, (x, i) -> main[i] or not coalesce(shared[places[i]], false))"), "\n")
     shared = F.coalesce(F.expr("size(filter(shared, x -> x))"), F.lit(0)).cast("long")
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_lines", F.when(F.col("shared").isNull(), 0).otherwise(shared).alias("n_shared"))
