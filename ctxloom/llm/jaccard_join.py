@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join: MinHash banding, then verification on full n-gram sets.
 
 Bands and rows follow from the similarity and the recall wanted at it. Texts are first reduced to
-one of each kind (equal bytes). Their band hashes are shuffled, and texts that share a bucket are
-joined to the bucket's first; the components of these stars are the candidate groups. Every group
+one of each kind (equal bytes). Their band hashes are shuffled. Texts of a small bucket are compared
+by short signatures (a byte of each of SIGNATURE hashes) and joined where these are alike enough
+that the pair may reach the similarity, so that chance meetings join nothing; texts of a larger
+bucket are joined to its first. The components of these edges are the candidate groups. Every group
 is cut into blocks of a fixed number of texts, and each pair of blocks is verified in one task from
 the sets themselves, so that no task and no row grows with a group. Links are counted there, and
 only a spanning forest of them leaves the task; its components are the classes.
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, chunks, materialise, mix, shingles, small_batches
+from .common import TextBlock, materialise, mix, shingles, slices
 
 SIMILARITY, WIDTH = 0.8, 5
 RECALL = 0.9999
 #: A pair of half the similarity may be a candidate with this probability.
-STRAY = 0.25
+STRAY = 0.05
 BLOCK = 256
+#: Buckets of so many texts are compared by signatures. A pair at the similarity falls this far short
+#: of it in SIGNATURE hashes with a probability under 1e-6 (five standard deviations).
+SMALL, SIGNATURE, SHORT_OF = 16, 120, 0.2
 #: Entries of a dense block while sets are intersected.
 DENSE = 4_000_000
 
@@ -41,23 +46,60 @@ def bands_and_rows(similarity: float = SIMILARITY, recall: float = RECALL, stray
     return best
 
 
-def band_hashes(block: TextBlock, bands: int, rows: int, width: int) -> np.ndarray:
-    """bands x documents; documents without a word have all ones."""
+def band_hashes(block: TextBlock, bands: int, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """bands x documents, and documents x SIGNATURE bytes; documents without a word have all ones."""
     hashes, doc = shingles(block, width)
     first = np.searchsorted(doc, np.arange(block.n_docs))
     filled = np.diff(np.append(first, len(doc))) > 0
-    out = np.full((bands, block.n_docs), np.iinfo(np.uint64).max, np.uint64)
+    out, signature = np.full((bands, block.n_docs), np.iinfo(np.uint64).max, np.uint64), np.full((block.n_docs, SIGNATURE), 255, np.uint8)
     if not filled.any():
-        return out
+        return out, signature
     at = first[filled]
     for band in range(bands):
         total = np.full(filled.sum(), band, np.uint64)
         for row in range(rows):
             seed = np.uint64((0x9E3779B97F4A7C15 * (2 * (band * rows + row) + 1)) & (2**64 - 1))
             least = np.minimum.reduceat((hashes ^ seed) * (seed | np.uint64(1)) >> np.uint64(16), at)
+            if band * rows + row < SIGNATURE:
+                signature[filled, band * rows + row] = mix(least).astype(np.uint8)
             total = mix(total * np.uint64(31) + least)
         out[band, filled] = total
-    return out
+    return out, signature
+
+
+def _alike(similarity: float):
+    """Rows (members: key and signature of the texts of a small bucket) to edges between those that may reach the similarity."""
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            lists = frame.column(0)
+            at, members = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            keys = members.field("key").to_pylist()
+            signature = np.frombuffer(b"".join(members.field("signature").to_pylist()), np.uint8).reshape(len(keys), SIGNATURE)
+            a, b = [], []
+            for first, end in zip(at[:-1], at[1:], strict=True):
+                own = signature[first:end]
+                same = (own[:, None, :] == own[None, :, :]).mean(2)
+                near = (same - 1 / 256) / (1 - 1 / 256) >= similarity - SHORT_OF
+                for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+                    a.append(keys[first + i])
+                    b.append(keys[first + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return compare
+
+
+def _candidates(sketches: DataFrame, similarity: float) -> DataFrame:
+    """a, b: edges whose components hold together all texts that may have the similarity."""
+    own = sketches.where("bands is not null").select("key", "bands", "signature").dropDuplicates(["key"])
+    hashed = own.select("key", F.posexplode("bands").alias("band", "hash"))
+    buckets = hashed.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    members = materialise(hashed.join(buckets, ["band", "hash"]).select("key", "band", "hash", "b", "n"), "members")
+    large = members.where((F.col("n") > SMALL) & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
+    # at most SMALL texts meet in a row
+    small = members.where(F.col("n") <= SMALL).select("key", "band", "hash").join(own.select("key", "signature"), "key")
+    small = small.groupBy("band", "hash").agg(F.collect_list(F.struct("key", "signature")).alias("members"))
+    return large.union(small.select("members").mapInArrow(_alike(similarity), "a binary, b binary"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -71,8 +113,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return df.select("a", "b").union(df.select(F.col("b"), F.col("a"))).toDF("u", "v")
 
     def large_star(df: DataFrame) -> DataFrame:
-        # another key than the aggregate's, so that both sides are shuffled for the join alone and AQE can split a node with very many neighbours
-        key = F.concat("u", F.lit(b"\0")).alias("k")
+        key = _apart("u")
         both = edges_of(df)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(key, "m")
         return both.where("v > u").select(key, "v").join(least, "k").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -167,39 +208,43 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, re
     rows are copies. Only doc_id and text are read.
     """
     sketches, found = _classes(docs, similarity, width, recall)
-    classes = found.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    found = found.join(classes, "root")
+    classes = found.groupBy("root").agg(F.min("text_id").alias("class_id")).select(_apart("root"), "class_id")
+    found = found.withColumn("k", _apart("root")).join(classes, "k")
     zero = F.lit(0).cast("long")
     out = sketches.select("doc_id", "key").join(found, "key")
     return out.select("doc_id", "class_id", "text_id", F.coalesce("docs", zero).alias("n_links"), F.coalesce("texts", zero).alias("n_text_links"), (F.col("copies") - 1).alias("n_copies"))
 
 
+def _apart(column: str):
+    """The column as another key than an aggregate's, so that a join shuffles both sides for itself and AQE can split a hot key."""
+    return F.concat(column, F.lit(b"\0")).alias("k")
+
+
 def _text_key():
     return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("null"))))
 
 
+def sketch(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+    """doc_id, key (of the text), bands and signature of each row; the last two of texts with a word."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(frames, 2):
+            block = TextBlock(part.column(2))
+            hashes, signature = band_hashes(block, bands, rows, width)
+            some = block.n_words > 0
+            lists = [h if s else None for h, s in zip(hashes.T.view(np.int64), some, strict=True)]
+            marks = [x.tobytes() if s else None for x, s in zip(signature, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "key", "bands", "signature"])
+
+    return docs.select(F.col("doc_id").cast("long"), _text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, signature binary")
+
+
 def _classes(docs: DataFrame, similarity: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """Rows by doc_id and text key, and of each text its least doc_id, copies, links and the root of its class."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    bands, rows = bands_and_rows(similarity, recall)
-    columns = docs.select(F.col("doc_id").cast("long"), "text")
-
-    def sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for a, b in chunks(frame.column(2)):
-                part = frame.slice(a, b - a)
-                block = TextBlock(part.column(2))
-                hashes = band_hashes(block, bands, rows, width).T.view(np.int64)
-                some = block.n_words > 0
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h if s else None for h, s in zip(hashes, some, strict=True)], pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-
-    key = _text_key()
-    sketches = materialise(columns.select("doc_id", key.alias("key"), "text").mapInArrow(sketch, "doc_id long, key binary, bands array<long>"), "sketches")
+    columns, key = docs.select(F.col("doc_id").cast("long"), "text"), _text_key()
+    sketches = materialise(sketch(columns, *bands_and_rows(similarity, recall), width), "sketches")
     texts = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "texts")
-    hashed = sketches.select("key", F.posexplode("bands").alias("band", "hash")).distinct()
-    buckets = hashed.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "b")
-    edges = hashed.join(buckets, ["band", "hash"]).select(F.col("key").alias("a"), "b")
+    edges = _candidates(sketches, similarity)
     linked = _links(columns, key, texts, components(edges, "candidates"), similarity, width)
     counts = linked.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(linked.select(F.col("key").alias("a"), F.col("tie").alias("b")), "classes")
@@ -208,29 +253,28 @@ def _classes(docs: DataFrame, similarity: float, width: int, recall: float) -> t
 
 def _links(columns: DataFrame, key, texts: DataFrame, groups: DataFrame, similarity: float, width: int) -> DataFrame:
     """key, texts, docs, tie for each text and unit in which it has links."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).select(_apart("root"), "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = groups.join(sizes, "root").join(texts.withColumnRenamed("key", "node"), "node")
+    members = groups.withColumn("k", _apart("root")).join(sizes, "k").join(texts.withColumnRenamed("key", "node"), "node")
     members = members.select(F.col("node").alias("key"), "root", "text_id", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     own = columns.withColumn("key", key).withColumnRenamed("doc_id", "text_id")
     picked = own.join(members, (own.text_id.eqNullSafe(members.text_id)) & (own.key == members.key)).select(members.key, "root", "copies", "blocks", "block", "text")
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for a, b in chunks(frame.column(5)):
-                part = frame.slice(a, b - a)
-                hashes, doc = shingles(TextBlock(part.column(5)), width)
-                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                packed = [np.unique(hashes[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(packed, pa.binary())], names=["key", "root", "copies", "blocks", "block", "items"])
-
-    packed = picked.mapInArrow(sets, "key binary, root binary, copies long, blocks int, block int, items binary")
+        for part in slices(frames, 5):
+            hashes, doc = shingles(TextBlock(part.column(5)), width)
+            at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            packed = [np.unique(hashes[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(packed, pa.binary())], names=["key", "root", "copies", "blocks", "block", "items"])
+
+    packed = materialise(picked.mapInArrow(sets, "key binary, root binary, copies long, blocks int, block int, items binary"), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = packed.select("key", "root", "copies", "items", "block", other)
     # side tells the two blocks of a unit apart; a block with itself has -1, so that its pairs count there alone
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     unit = F.concat(F.hex("root"), F.lit("-"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other"))
-    dealt = units.select(unit.alias("unit"), "key", "copies", side.alias("side"), "items").repartition("unit").sortWithinPartitions("unit")
+    # by ranges of a hash, so that large units and many small ones are dealt evenly
+    dealt = units.select(F.xxhash64(unit).alias("deal"), unit.alias("unit"), "key", "copies", side.alias("side"), "items").repartitionByRange("deal", "unit").sortWithinPartitions("deal", "unit").drop("deal")
     return materialise(dealt.mapInArrow(_verify(similarity, width), "key binary, texts long, docs long, tie binary"), "links")
 
 
