@@ -1,10 +1,12 @@
-"""Benchmark decontamination: a BM25 index of test items, searched with block-max WAND bounds.
+"""Benchmark decontamination: an inverted BM25 index of test items, searched with block-max WAND.
 
 Every training document is cut into overlapping passages, so long that each item lies whole in one,
-and every passage is a query. An item's postings hold its BM25 impacts as shares of the score that
-it gives itself. Items stand in blocks with the largest impact of each term: a block whose bound
-for a passage is below the threshold is skipped, and all items of the others are scored. What is
-above the threshold is verified on the item's question and answer: the share of their n-grams in
+and every passage is a query. A term's postings are its items in order with their BM25 impacts, as
+shares of the score that the item gives itself; each run of ITEMS_PER_BLOCK items has the largest
+impact of the term in it, and so has the whole list. Many passages are searched at once: those whose
+lists' largest impacts together are below the threshold have no pivot and end there; of the others
+the blocks whose largest impacts together reach it are the pivots, and only in these are postings
+read and scored. What is above the threshold is verified on the item's question and answer: the share of their n-grams in
 the passage or, as one changed word kills several n-grams, that of words left by the least word
 edits to any span of it.
 """
@@ -22,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, keep_rows, materialise, small_batches
+from .common import keep_rows, materialise, slices
 
 K1, B = 1.2, 0.75
 #: Least BM25 score, as a share of the item's own; least overlaps of question and answer.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.5
 NGRAM = 5
 ITEMS_PER_BLOCK = 16
-#: Bounds of one broadcast index; more items take more passes over the documents.
-ITEMS_PER_PASS, BYTES_PER_PASS = 2048, 8_000_000
+#: Bounds of one broadcast index; more items take more passes over the documents. A posting takes 8
+#: bytes and stands for a word of its item, so an index takes some 3 bytes for each of its texts'.
+ITEMS_PER_PASS, BYTES_PER_PASS = 100_000, 16_000_000
 LEAST_PASSAGE = 64
 
 _TERM = re.compile(r"[^\W_]+")
@@ -72,16 +75,41 @@ class Index:
         self.longest = max(LEAST_PASSAGE, whole.longest)
         self.term = {t: i for i, t in enumerate(sorted({t for w in self.words for t in w}))}
         n, average, df = whole.n, whole.words / max(1, whole.n), whole.df
-        self.blocks = -(-len(kept) // ITEMS_PER_BLOCK)
-        self.impact = np.zeros((len(self.term), self.blocks * ITEMS_PER_BLOCK), np.float32)
-        self.own = np.zeros(len(kept))
+        terms, items, impacts = [], [], []
         for i, words in enumerate(self.words):
+            found = []
             for t, tf in Counter(words).items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                self.impact[self.term[t], i] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
-            self.own[i] = self.impact[:, i].sum()
-            self.impact[:, i] /= self.own[i]
-        self.most = self.impact.reshape(len(self.term), self.blocks, ITEMS_PER_BLOCK).max(2)
+                found.append((self.term[t], idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))))
+            own = sum(x for _, x in found)
+            terms += [t for t, _ in found]
+            items += [i] * len(found)
+            impacts += [x / own for _, x in found]
+        self.postings = Postings(np.array(terms, np.int64), np.array(items, np.int64), np.array(impacts), len(self.term))
+        blocks = self.postings.places // ITEMS_PER_BLOCK
+        self.block_most = Postings(self.postings.owner(), blocks, self.postings.values, len(self.term))
+        self.most = self.block_most.largest()
+
+    def scores(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, score) of all that reach the threshold; the terms of each window stand together, windows ascending."""
+        least = THRESHOLD - 1e-5
+        reach = np.bincount(window, self.most[term])[window] >= least  # all lists at their largest
+        window, term = window[reach], term[reach]
+        at, block, bound = self.block_most.of(term)
+        pivot, bound = _sums(window[at], block, bound)
+        pivot = pivot[:, bound >= least]
+        if not pivot.shape[1]:
+            return (np.zeros(0, np.int64),) * 3
+        # the terms of windows with a pivot, and of their postings those in a pivot's block
+        inside = np.isin(window, pivot[0])
+        window, term = window[inside], term[inside]
+        at, item, impact = self.postings.of(term)
+        blocks = int(pivot[1].max()) + 1
+        code = window[at] * blocks + np.minimum(item // ITEMS_PER_BLOCK, blocks - 1)
+        read = np.isin(code, pivot[0] * blocks + pivot[1]) & (item // ITEMS_PER_BLOCK < blocks)
+        found, score = _sums(window[at[read]], item[read], impact[read])
+        good = score >= least
+        return found[0, good], found[1, good], score[good]
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, float, float, float]]:
         """(row, item, first word, score share, question overlap, answer overlap) of verified matches, each row's best passage."""
@@ -101,32 +129,53 @@ class Index:
             fits = (ids >= 0) & (k >= 0) & (k < windows[doc])
             entries.append((base[doc[fits]] + k[fits]) * len(self.term) + ids[fits])
         codes = np.unique(np.concatenate(entries))
-        if not len(codes):
-            return []
-        window, term = codes // len(self.term), codes % len(self.term)
-        starts = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-        bound = np.add.reduceat(self.most[term], starts, axis=0)
-        ends = np.append(starts[1:], len(window))
         out: dict[tuple[int, int], tuple] = {}
-        for block in np.flatnonzero((bound >= THRESHOLD - 1e-5).any(0)):
-            open_ = np.flatnonzero(bound[:, block] >= THRESHOLD - 1e-5)
-            size_ = ends[open_] - starts[open_]
-            at = np.repeat(starts[open_] - np.cumsum(size_) + size_, size_) + np.arange(size_.sum())
-            items = slice(block * ITEMS_PER_BLOCK, (block + 1) * ITEMS_PER_BLOCK)
-            scores = np.add.reduceat(self.impact[term[at], items], np.cumsum(size_) - size_, axis=0)
-            for w, i in zip(*np.nonzero(scores >= THRESHOLD - 1e-5), strict=True):
-                here, item = int(window[starts[open_[w]]]), int(i) + block * ITEMS_PER_BLOCK
-                row = int(np.searchsorted(base, here, "right")) - 1
-                first = (here - int(base[row])) * size
-                last = first + 2 * size if here - base[row] < windows[row] - 1 else len(words[row])
-                question, answer = overlaps(*self.parts[item], words[row][first:last])
-                if question >= QUESTION and answer >= ANSWER:
-                    found = (row, item, first, float(scores[w, i]), question, answer)
-                    if (row, item) not in out or found[3:] > out[row, item][3:]:
-                        out[row, item] = found
+        for here, item, score in zip(*(x.tolist() for x in self.scores(codes // len(self.term), codes % len(self.term))), strict=True):
+            row = int(np.searchsorted(base, here, "right")) - 1
+            first = (here - int(base[row])) * size
+            last = first + 2 * size if here - base[row] < windows[row] - 1 else len(words[row])
+            question, answer = overlaps(*self.parts[item], words[row][first:last])
+            if question >= QUESTION and answer >= ANSWER:
+                found = (row, item, first, score, question, answer)
+                if (row, item) not in out or found[3:] > out[row, item][3:]:
+                    out[row, item] = found
         return list(out.values())
 
 
+class Postings:
+    """For each term, ascending places (items or blocks) with the largest value given for each."""
+
+    def __init__(self, terms: np.ndarray, places: np.ndarray, values: np.ndarray, n_terms: int) -> None:
+        order = np.lexsort((-values, places, terms))
+        terms, places, values = terms[order], places[order], values[order]
+        first = np.ones(len(terms), bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (places[1:] != places[:-1])
+        self.places, self.values = places[first].astype(np.int32), values[first].astype(np.float32)
+        self.at = np.searchsorted(terms[first], np.arange(n_terms + 1))
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+    def largest(self) -> np.ndarray:
+        out = np.zeros(len(self.at) - 1)
+        np.maximum.at(out, self.owner(), self.values)
+        return out
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All postings of the terms: which of `terms`, place, value."""
+        size = self.at[terms + 1] - self.at[terms]
+        which = np.repeat(np.arange(len(terms)), size)
+        place = np.arange(len(which)) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
+        return which, self.places[place].astype(np.int64), self.values[place].astype(np.float64)
+
+
+def _sums(first: np.ndarray, second: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by pairs: 2 x pairs, and sums."""
+    width = int(second.max()) + 1 if len(second) else 1
+    codes, which = np.unique(first * width + second, return_inverse=True)
+    return np.stack([codes // width, codes % width]), np.bincount(which, values, len(codes))
+
+
 def distance(part: list[str], passage: list[str]) -> int:
     """Least word edits between a part and any span of the passage (bit-parallel, Myers 1999)."""
     n = len(part)
@@ -194,21 +243,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item that it holds. Null and empty texts on either side match
     nothing; repeated documents match each for itself, items of equal text with other ids too; a
-    repeated row of the benchmark counts once.
+    repeated row of the benchmark counts once. Of passages that hold an item equally well the first
+    is given.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     out = None
     for made in indexes(benchmark):
         index = spark.sparkContext.broadcast(made)
 
         def run(frames: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for frame in frames:
-                for a, b in chunks(frame.column(1)):
-                    part = frame.slice(a, b - a)
-                    if found := index.value.search(part.column(1)):
-                        rows, items, *rest = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array([index.value.keys[i] for i in items], pa.int64()), pa.array(rest[0], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:])], names=["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
+            for part in slices(frames, 1):
+                if found := index.value.search(part.column(1)):
+                    rows, items, *rest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array([index.value.keys[i] for i in items], pa.int64()), pa.array(rest[0], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:])], names=["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
 
         here = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double")
         out = here if out is None else out.unionByName(here)
@@ -216,9 +263,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns.
+
+    Null and empty texts hold none and stay. Each of several equal rows is kept or goes for itself.
+    A benchmark without an item with a word leaves all documents.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     for made in indexes(benchmark):
         index = spark.sparkContext.broadcast(made)
 
