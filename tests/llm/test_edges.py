@@ -34,7 +34,7 @@ OPERATORS = {
     "toxicity": lambda s, d: toxicity.toxicity(d, labels(s)),
     "quality": lambda s, d: quality.quality(d),
     "score": lambda s, d: lm.score(d),
-    "shard": lambda s, d: sharding.shard(d.select("doc_id", "text"), "doc_id", 16),
+    "shard": lambda s, d: sharding.shard(d.drop("shard", "slot"), "doc_id", 16),
 }
 
 
@@ -45,6 +45,11 @@ def test_odd_rows(spark, name):
     assert OPERATORS[name](spark, empty(spark)).count() == 0
 
 
+def test_sharding_refuses_clashing_columns(spark):
+    with pytest.raises(ValueError, match="shard"):
+        sharding.shard(made(spark), "doc_id", 16)
+
+
 def test_values_of_odd_rows(spark):
     n = token_counts.token_counts(made(spark)).toPandas().groupby("doc_id").n_tokens.first()
     assert n[1] == n[2] == 0 and n[4] > 100000
@@ -77,7 +82,7 @@ def test_pages_of_odd_rows(spark):
     schema = "page_id long, url string, html string, key string, lines string"
     rows = [(1, None, None), (2, "", ""), (3, "http://[bad", "<p>x"), (4, "http://a.b/", "<article><p>A<p>B</article><p>C"), (4, "http://a.b/", "<article><p>A<p>B</article><p>C"), (None, "http://a.b/c", "plain &lt; text <script>no")]
     out = html_extract.extract(spark.createDataFrame([(*r, "k", "l") for r in rows], schema)).toPandas()
-    assert sorted(out.text) == sorted(["", "", "x", "A\nB", "A\nB", "plain < text"])
+    assert sorted(out.text) == sorted(["", "", "x", "A\nB\nC", "A\nB\nC", "plain < text"])
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
 
 

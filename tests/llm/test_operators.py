@@ -37,8 +37,7 @@ def test_ids_equal_those_of_tokenizers(docs):
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
-    texts = [*docs.values(), "", " a  b\n\n c\t", "<|endoftext|>", "naïve ½ 東京 🙂"]
+    texts = [*docs.values(), "", " a  b\n\n c\t", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "naïve ½ 東京 🙂"]
     for text, theirs in zip(texts, other.encode_batch(texts, add_special_tokens=False), strict=True):
         assert list(encode.encoder().ids(text)) == theirs.ids
 
@@ -102,6 +101,16 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     check_links(jaccard_join.join(df).toPandas(), made)
 
 
+def test_jaccard_join_of_weak_neighbours(spark):
+    """A chain of texts, each like the next by 0.5 or so: no candidate groups, so no work that grows with the chain."""
+    words = [f"w{i}" for i in range(2000)]
+    made = {d: " ".join(words[d * 20 : d * 20 + 60]) for d in range(90)}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    check_links(jaccard_join.join(df).toPandas(), made)
+    sketches = jaccard_join.sketch(df, *jaccard_join.bands_and_rows(), 5)
+    assert jaccard_join._candidates(sketches, 0.8).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_and_rows()
     assert 1 - (1 - 0.8**rows) ** bands >= jaccard_join.RECALL
@@ -139,13 +148,16 @@ def test_decontamination_equals_scoring_every_passage(docs):
     index = decontam.Index(items)
     texts = [" ".join(docs[d].split()[:400]) for d in list(docs)[:40]] + [x for _, x in items[:5]]
     found = {(row, item) for row, item, *_ in index.search(pa.array(texts))}
+    impact = np.zeros((len(index.term), len(index.keys)))
+    impact[index.postings.owner(), index.postings.places] = index.postings.values
+    assert np.allclose(impact.sum(0), 1)
     for row, text in enumerate(texts):
         words, size = re.findall(r"[^\W_]+", text.lower()), index.longest
         for item in range(len(index.keys)):
             hit = False
             for k in range(max(1, -(-len(words) // size) - 1)):
                 passage = words[k * size :] if k == max(1, -(-len(words) // size) - 1) - 1 else words[k * size : (k + 2) * size]
-                score = sum(index.impact[index.term[t], item] for t in set(passage) if t in index.term)
+                score = sum(impact[index.term[t], item] for t in set(passage) if t in index.term)
                 hit |= score >= decontam.THRESHOLD and decontam.overlap(index.parts[item][0], passage) >= decontam.QUESTION and decontam.overlap(index.parts[item][1], passage) >= decontam.ANSWER
             assert hit == ((row, item) in found)
 
@@ -281,8 +293,32 @@ def test_html(spark):
 def test_html_differencing_deletes_shared_lines_without_markup(spark):
     rows = [(i, f"http://a.b/x/{i}", f"<body><div>Site name</div><p>Own text {i} &amp;  more</p><div class='cookie-notice'>Yes?</div><div>All rights reserved</div>") for i in range(3)]
     rows.append((9, "http://c.d/x", "<body><div>Site name</div>"))
+    rows += [(10 + i, f"http://e.f/x/{i}", f"<body><div>Site name</div><article><p>Teaser {i}</p></article><p>Main text {i}</p><div>All rights reserved</div>") for i in range(2)]
     out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1] == "Own text 1 & more" and out[2] == "Own text 2 & more" and out[9] == "Site name"
+    assert out[10] == "Teaser 0\nMain text 0"
+
+
+def test_html_differencing_finds_articles_in_pages_of_one_template(spark):
+    """The tables' articles in pages without article, class or boilerplate elements, whose sites repeat their own lines."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas()
+    rows, truth, plain = [], {}, 0
+    for r in pages.itertuples():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [html_lib.unescape(re.sub(r"<[^>]+>", "", x)) for x in re.split(r"<br>|</?p>|</?h1>", article)]
+        truth[r.page_id] = Counter(" ".join(x.split()) for x in parts if x.strip())
+        site = r.page_id % 5
+        template = [f"<div>{word} of site {site}</div>" for word in ("Home", "News", "About us", "Contact", "Imprint", "All rights reserved")]
+        plain += len(template)
+        rows.append((r.page_id, f"http://site{site}.example.org/{r.url.split('/', 3)[-1]}", "<html><body>" + "".join(template[:4]) + article + "".join(template[4:])))
+    right = given_ = wanted = 0
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        lines = Counter(r["text"].split("\n") if r["text"] else [])
+        right += (lines & truth[r["page_id"]]).total()
+        given_ += lines.total()
+        wanted += truth[r["page_id"]].total()
+    # without alignment every template line would be given: precision wanted / (wanted + plain), about 0.66
+    assert wanted / (wanted + plain) < 0.8 and right / given_ > 0.99 and right / wanted > 0.95
 
 
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
@@ -334,9 +370,22 @@ def test_quality(spark, docs):
                 seen.add(line)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(repeated))
         assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
+        lengths = repeats(w) if len(w) < 400 else None
+        if lengths:
+            spans = {x for i, k in enumerate(lengths) if k >= quality.MIN_REPEAT for x in range(i, i + k)}
+            longest = max([k for k in lengths if k >= 8], default=0)
+            assert r.kept == (not r.base_failed and len(spans) <= quality.MAX_COVERED * len(w) and longest <= max(quality.MAX_LONGEST, quality.MAX_LONGEST_SHARE * len(w)))
         assert not (r.kept and r.base_failed)
 
 
+def test_line_and_word_hashes_tell_thue_morse_strings_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    out = quality.quality(spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}"), (3, " ".join([a] * 10 + [b] * 10))], "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert list(out.n_dup_lines) == [0, 1, 0]
+    assert jaccard_join.join(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).toPandas().n_links.sum() == 0
+
+
 def test_lm(spark, docs):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {d: [*WORD.findall(t.translate(lower)), "\n"] for d, t in docs.items()}
@@ -351,19 +400,68 @@ def test_lm(spark, docs):
     assert out.score[out.held_out].sum() > out.base_score[out.held_out].sum()
 
 
+def tree_by_brute_force(texts, train):
+    """Scores of texts by the branches alone, without a crown: contexts of 1 to 3 words, longest kept suffix first."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [[*WORD.findall(t.translate(lower)), "\n"] for t in texts]
+    count = Counter(w for t, own in zip(tokens, train, strict=True) if own for w in t)
+    bottom = sum(count.values()) + 0.1 * (len(count) + 1)
+    after = defaultdict(Counter)
+    for t, own in zip(tokens, train, strict=True):
+        for i in range(len(t) if own else 0):
+            for k in range(1, min(3, i) + 1):
+                after[tuple(t[i - k : i])][t[i]] += 1
+    kept = {}
+
+    def p(context, word):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (count[word] + 0.1) / bottom
+        follow = after[context]
+        return (follow[word] + len(follow) * p(context[1:], word)) / (sum(follow.values()) + len(follow))
+
+    for context in sorted(after, key=len):
+        t = sum(after[context].values())
+        bits = sum(n * math.log2(n / t / p(context[1:], w)) for w, n in after[context].items())
+        if t >= lm.LEAST and bits > (len(after[context]) + 1) * math.log2(t) / 2:
+            kept[context] = True
+    return [sum(math.log10(p(tuple(t[max(0, i - 3) : i]), w)) for i, w in enumerate(t)) for t in tokens]
+
+
+def test_lm_equals_a_suffix_tree_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MIN_CONTEXT", 2.0)  # no crown
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 60)
+    draw = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in np.cumsum(draw.integers(0, 4, draw.integers(0, 60))) % 12) for _ in range(60)]
+    out = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).toPandas().set_index("doc_id")
+    expected = tree_by_brute_force(texts, [crc(i, 10) != 0 for i in range(60)])
+    assert list(out.score[list(range(60))]) == pytest.approx(expected, rel=1e-5)
+    assert out.score.sum() > out.base_score.sum() + 100
+
+
+def test_lm_gains_on_texts_it_has_not_seen(spark):
+    out = queries.queries()["op9_lm_scoring"](spark, "/root/testdata/sf0.01").toPandas()
+    held = out[out.held_out]
+    assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.5  # log10 a token
+
+
 def test_lm_distributions_sum_to_one(spark):
-    text = "a b c a b d " * 300
-    df = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")
-    out = lm.score(df).toPandas()
-    assert (out.score > out.base_score * 0.5).all()
-    size, root = 4, np.array([0.1, 0.2, 0.3, 0.4])
+    size, root = 6, np.array([0.1, 0.2, 0.3, 0.4])
     codes = np.array([2, 3, 2, 3, 3, 1] * 400, np.int32)
     frame = spark.createDataFrame([(False, codes.tolist())], "held_out boolean, codes array<int>")
-    tree = lm.fit_tree(frame, root, len(codes))
-    assert len(tree.parent) > 1
-    for before in ([2], [3], [2, 3], [3, 2], [1, 2]):
-        total = sum(root[a] * 10 ** tree.gain(np.array([*before, a]))[-1] for a in range(size))
-        assert total == pytest.approx(1)
+    crown = lm.fit_crown(frame, root, len(codes))
+    assert len(crown.parent) > 1
+    for before in ([2, 0, 0], [3, 0, 0], [3, 2, 0], [2, 3, 3], [2, 1, 0]):
+        before = [np.full(4, x) for x in before]
+        assert sum(root * 10 ** crown.gain(before, np.arange(4))) == pytest.approx(1)
+    # branches: the last `size` tokens ask for each symbol after the same context
+    draw = np.random.default_rng(2)
+    symbols = np.concatenate([draw.integers(1, size, 500), np.arange(size)])
+    before = [np.append(draw.integers(1, 3, 500), [b] * size) for b in (1, 2, 1)]
+    p, learned = np.full(len(symbols), 1 / size), np.arange(len(symbols)) < 500
+    ratio = lm.branch_ratios(before, symbols, np.ones(len(symbols), np.int64), learned, p, size)
+    assert (ratio[500:] != 1).any() and (p * ratio)[500:].sum() == pytest.approx(1)
 
 
 def test_packing(spark, docs):
