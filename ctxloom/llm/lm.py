@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -46,10 +47,11 @@ END = "\n"
 #: Counts a task holds before it sums them up, and distinct words before it passes the sums on.
 HELD_ROWS, HELD_WORDS = 1_000_000, 300_000
 #: Words that make up so much of all tokens are symbols of their own and looked up in the tasks; at most 1 / FREQUENT.
-FREQUENT = 1.25e-6
+FREQUENT = 1e-6
 CLASSES = 4096
 BUCKET_TOKENS = 2_000_000
-TEXT_BYTES = 4 << 20
+#: Tokens that a task holds before it deals them out, and bytes of text or symbols that it works on at once.
+HELD_TOKENS, TEXT_BYTES = 1_000_000, 4 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -148,15 +150,13 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def preceding(symbols: np.ndarray) -> list[np.ndarray]:
     """The symbols 1 to DEPTH places before each; 0 beyond its text's start. A text begins after each end (symbol 1)."""
-    n = len(symbols)
-    first = np.ones(n, bool)
-    first[1:] = symbols[:-1] == 1
-    since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    out = []
-    for level in range(1, DEPTH + 1):
-        before = np.zeros(n, np.int64)
-        before[level:] = symbols[: n - level] if level < n else 0
-        out.append(np.where(since >= level, before, 0))
+    n, before, out = len(symbols), symbols, []
+    for _ in range(DEPTH):
+        shifted = np.zeros(n, np.int64)
+        shifted[1:] = before[:-1]
+        shifted[1:][symbols[:-1] == 1] = 0  # the first symbol of a text has none before it, and so on
+        before = shifted
+        out.append(before)
     return out
 
 
@@ -174,12 +174,18 @@ def coarse(codes: np.ndarray, size: int) -> np.ndarray:
     return np.where(codes < size, codes, 0).astype(np.int64)
 
 
+def sequences_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after the other, and where each text begins; the last place is their number."""
+    at = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1] // 4
+    return np.frombuffer(codes.buffers()[2], "<i4")[at[0] : at[-1]], at.astype(np.int64) - at[0]
+
+
 def count_contexts(sequences: DataFrame, size: int, level: int, wanted: np.ndarray | None) -> DataFrame:
     """context, symbol, n: what follows contexts of so many symbols in training texts; wanted: their suffixes to count after."""
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            symbols = coarse(frame.column(0).flatten().to_numpy(), size)
+        for frame in slices(frames, 0, TEXT_BYTES):
+            symbols = coarse(sequences_of(frame.column(0))[0], size)
             codes = context_codes(preceding(symbols), size)
             here = codes[level - 1] >= 0
             if wanted is not None:
@@ -253,26 +259,39 @@ def branch_ratios(before: list[np.ndarray], symbols: np.ndarray, level: np.ndarr
     level: length of each token's shortest context outside the crown; learned: whether it counts;
     p: its probability by the crown.
     """
-    q, open_ = p.copy(), np.arange(len(symbols))
-    packed = (before[0] * size + before[1]) * size + before[2]
+    ratio, q = np.ones(len(symbols)), p
+    places, context = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    learned = learned.astype(np.float64)
     for k in range(1, DEPTH + 1):
-        here = open_[(level[open_] <= k) & (before[k - 1][open_] > 0)]
-        _, context = np.unique(packed[here] // size ** (DEPTH - k), return_inverse=True)
-        t = np.bincount(context, learned[here])
-        often = t[context] >= LEAST
-        open_ = np.concatenate([open_[level[open_] > k], here[often]])
-        here, context = here[often], context[often]
-        if not len(here):
-            continue
-        pair, which = np.unique(context * size + symbols[here], return_inverse=True)
-        n = np.bincount(which, learned[here])
-        follow = np.bincount((pair // size)[n > 0], minlength=len(t))
-        n, own, total = n[which], learned[here], t[context]
-        bits = np.bincount(context, np.where(own, np.log2(np.maximum(n, 1) / (total * q[here])), 0), len(t))
+        # contexts of k symbols, of those of k - 1 that stand often enough; a token's first such context is its root
+        _, context = _groups(context * size + before[k - 1])
+        started, there = level <= k, before[k - 1] > 0
+        t = np.bincount(context, learned)
+        often = there & ((t[context] >= LEAST) | ~started)
+        if not often.all():
+            places, context, symbols, level, learned, q = (x[often] for x in (places, context, symbols, level, learned, q))
+            before, started = [x[often] for x in before], started[often]
+        if not len(places):
+            break
+        firsts, pair = _groups(context * size + symbols)
+        n = np.bincount(pair, learned)
+        follow = np.bincount(context[firsts][n > 0], minlength=len(t))
+        n, total = n[pair], t[context]
+        bits = np.bincount(context, np.where(learned > 0, np.log2(np.maximum(n, 1) / (np.maximum(total, 1) * q)), 0), len(t))
         kept = bits > (follow + 1) * np.log2(np.maximum(t, 1)) / 2
-        on, weight = kept[context], follow[context]
-        q[here[on]] = ((n + weight * q[here]) / (total + weight))[on]
-    return q / p
+        on, weight = np.flatnonzero(kept[context] & started), follow[context]
+        q = q.copy()
+        q[on] = (n[on] + weight[on] * q[on]) / (total[on] + weight[on])
+        ratio[places[on]] = q[on] / p[places[on]]
+    return ratio
+
+
+def _groups(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct code, and the number from 0 of the code at each place."""
+    number, distinct = pd.factorize(codes)
+    firsts = np.empty(len(distinct), np.int64)
+    firsts[number[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return firsts, number
 
 
 def branch_gains(sequences: DataFrame, crown: Crown, root: np.ndarray, total: int) -> DataFrame:
@@ -285,40 +304,39 @@ def branch_gains(sequences: DataFrame, crown: Crown, root: np.ndarray, total: in
     shared = sequences.sparkSession.sparkContext.broadcast((crown, root))
 
     def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crown = shared.value[0]
         held: list[tuple] = []
+        size, origin = 0, None
 
         def out() -> pa.RecordBatch:
             rows, learned, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             before = preceding(codes)
-            level = crown.root_level(before)
-            outside = np.flatnonzero(np.select([level == k for k in range(1, DEPTH + 1)], before, 0) > 0)
-            before, level = [b[outside] for b in before], level[outside]
-            key = np.zeros(len(level), np.uint64)
-            for k in range(DEPTH):
-                key = np.where(level > k, mix(key * np.uint64(31) + before[k].astype(np.uint64) + np.uint64(1)), key)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            level = shared.value[0].root_level(before)
+            outside = np.flatnonzero(np.choose(level, [0, *before, 0]) > 0)
+            level, codes, rows, learned, *before = (x[outside] for x in (level, codes, rows, learned, *before))
+            key = mix(before[0].astype(np.uint64))
+            for k in range(1, DEPTH):
+                deeper = level > k
+                key[deeper] = mix(key[deeper] * np.uint64(31) + before[k][deeper].astype(np.uint64))
+            bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            columns = [rows[outside] & (1 << 36) - 1, level + 4 * learned[outside], codes[outside], *before]
+            columns = [x[order].astype("<u4") for x in (rows & (1 << 36) - 1, level + 4 * learned, codes, *before)]
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(at))
-            blobs = [pack(*(c[order[at[i] : at[i + 1]]] for c in columns)) for i in some]
-            origin = int(rows[0]) >> 36
-            held.clear()
+            blobs = [pack(*(c[at[i] : at[i + 1]] for c in columns)) for i in some]
             return pa.RecordBatch.from_arrays([pa.array(some), pa.array([origin] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "origin", "tokens"])
 
-        size = 0
-        for frame in frames:
-            rows, n = frame.column(0).to_numpy(), pa.compute.list_value_length(frame.column(2)).to_numpy()
-            flat = frame.column(2).flatten().to_numpy().astype(np.int64)
-            learned = ~frame.column(1).to_numpy(zero_copy_only=False)
+        for frame in slices(frames, 2, TEXT_BYTES):
+            rows, learned = frame.column(0).to_numpy(), ~frame.column(1).to_numpy(zero_copy_only=False)
+            codes, at = sequences_of(frame.column(2))
+            n = np.diff(at)
             cuts = np.flatnonzero(np.diff(rows >> 36)) + 1
-            at = np.concatenate([[0], np.cumsum(n)])
             for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                if held and (size > BUCKET_TOKENS or held[0][0][0] >> 36 != rows[a] >> 36):
+                if held and (size > HELD_TOKENS or origin != rows[a] >> 36):
                     yield out()
                     size = 0
-                held.append((np.repeat(rows[a:b], n[a:b]), np.repeat(learned[a:b], n[a:b]), flat[at[a] : at[b]]))
+                origin = int(rows[a]) >> 36
+                held.append((np.repeat(rows[a:b], n[a:b]), np.repeat(learned[a:b], n[a:b]), codes[at[a] : at[b]]))
                 size += int(at[b] - at[a])
         if held:
             yield out()
@@ -426,21 +444,21 @@ def score(docs: DataFrame) -> DataFrame:
             codes = ids.fill_null(0).to_numpy() + 2
             codes[missing] = np.concatenate([np.zeros(0, np.int64), *(word_class(rare.slice(a, b - a)) for a, b in chunks(rare))]) + first_class
             codes = np.insert(codes, at[1:], 1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at + np.arange(len(at)), pa.int32()), pa.array(codes))
+            ends = pa.array((at + np.arange(len(at))) * 4, pa.int32())
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(codes)])
             rare_lists = pa.ListArray.from_arrays(pa.array(missed[at], pa.int32()), rare)
             rows = pa.array(row + np.arange(len(n)), pa.int64())
             row += len(n)
-            yield pa.RecordBatch.from_arrays([rows, frame.column(0), frame.column(1), lists, rare_lists], names=["row", "doc_id", "held_out", "codes", "rare"])
+            yield pa.RecordBatch.from_arrays([rows, frame.column(0), frame.column(1), packed, rare_lists], names=["row", "doc_id", "held_out", "codes", "rare"])
 
-    parts = materialise(rows.mapInArrow(first, "row long, doc_id long, held_out boolean, codes array<int>, rare array<string>"), "codes")
+    parts = materialise(rows.mapInArrow(first, "row long, doc_id long, held_out boolean, codes binary, rare array<string>"), "codes")
     crown = fit_crown(parts, crown_root, total)
     shared = spark.sparkContext.broadcast((crown, logs))
 
     def rate(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crown, logs = shared.value
-        for frame in frames:
-            flat = frame.column(3).flatten().to_numpy()
-            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(frame.column(3)).to_numpy())])
+        for frame in slices(frames, 3, TEXT_BYTES):
+            flat, at = sequences_of(frame.column(3))
             symbols = coarse(flat, crown.size)
             figures = ((flat < first_class) & (flat > (0 if ends else 1)), logs[flat], crown.gain(preceding(symbols), symbols))
             sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[at]) for x in figures]
