@@ -47,9 +47,9 @@ END = "\n"
 #: Counts a task holds before it sums them up, and distinct words before it passes the sums on.
 HELD_ROWS, HELD_WORDS = 1_000_000, 300_000
 #: Words that make up so much of all tokens are symbols of their own and looked up in the tasks; at most 1 / FREQUENT.
-FREQUENT = 1e-6
+FREQUENT = 7e-7
 CLASSES = 4096
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: Tokens that a task holds before it deals them out, and bytes of text or symbols that it works on at once.
 HELD_TOKENS, TEXT_BYTES = 1_000_000, 4 << 20
 

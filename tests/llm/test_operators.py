@@ -449,7 +449,7 @@ def test_lm_gains_on_texts_it_has_not_seen(spark):
 def test_lm_distributions_sum_to_one(spark):
     size, root = 6, np.array([0.1, 0.2, 0.3, 0.4])
     codes = np.array([2, 3, 2, 3, 3, 1] * 400, np.int32)
-    frame = spark.createDataFrame([(False, codes.tolist())], "held_out boolean, codes array<int>")
+    frame = spark.createDataFrame([(False, bytearray(codes.tobytes()))], "held_out boolean, codes binary")
     crown = lm.fit_crown(frame, root, len(codes))
     assert len(crown.parent) > 1
     for before in ([2, 0, 0], [3, 0, 0], [3, 2, 0], [2, 3, 3], [2, 1, 0]):
