@@ -121,7 +121,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     def small_star(df: DataFrame) -> DataFrame:
         down = edges_of(df).where("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        joined = down.select(_apart("u"), "v").join(least.select(_apart("u"), "m"), "k").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
     def stars(df: DataFrame) -> bool:
