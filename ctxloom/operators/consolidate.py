@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import active, expired
+from .rank import numbered
 
 
 def derive(memory: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,9 +64,13 @@ def active_view(memory: DataFrame, as_of: Column) -> DataFrame:
 
 
 def synthesis(claims: DataFrame, by: str = "project") -> DataFrame:
-    """One derived row for each project: its claims in order, the least confidence."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "text"))), lambda x: x.text)
-    return claims.groupBy(by).agg(F.array_join(rows, "\n\n").alias("content"), F.min("confidence").alias("confidence"), F.count("*").alias("n_claims"))
+    """The derived content of each project as one row for each of its claims: by, pos from 0, content, confidence (the least of all), n_claims.
+
+    A project's claims are as many as there are, so they are numbered by `seq` and stay rows.
+    """
+    totals = claims.groupBy(F.col(by).alias("_by")).agg(F.min("confidence").alias("confidence"), F.count("*").alias("n_claims"))
+    placed = numbered(claims.select(by, "seq", F.col("text").alias("content")), by, "seq", "pos")
+    return placed.join(totals, placed[by].eqNullSafe(totals["_by"])).select(by, "pos", "content", "confidence", "n_claims")
 
 
 def lineage(derived: DataFrame, memory: DataFrame) -> DataFrame:

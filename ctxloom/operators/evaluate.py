@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,8 @@ def stability(runs: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.avg(F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("ids", "_first")) / union)).alias("stability"))
 
 
-def averages(metrics: DataFrame) -> DataFrame:
+def averages(metrics: DataFrame, utility: Column | None = None) -> DataFrame:
+    """Means of all metrics and the number of cases; `utility`, a score of one case from its metrics, is averaged as well."""
     names = [c for c, kind in metrics.dtypes if kind == "double"]
-    return metrics.agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("cases"))
+    more = [F.avg(utility).alias("utility")] if utility is not None else []
+    return metrics.agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("cases"), *more)

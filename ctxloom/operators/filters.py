@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def tag_match(tags: Column, include: Column, mode: Column) -> Column:
-    """Any or all of the wanted tags; no wanted tags match all."""
-    return F.coalesce(F.size(include), F.lit(0)).__le__(0) | F.when(mode == "all", F.size(F.array_except(include, tags)) == 0).otherwise(F.arrays_overlap(tags, include))
+    """Any or all of the wanted tags; no wanted tags match all. A mode other than `any` and `all` is an error."""
+    wrong = F.raise_error(F.concat(F.lit("unknown tag mode: "), F.coalesce(mode, F.lit("null")))).cast("boolean")
+    found = F.when(mode == "all", F.size(F.array_except(include, tags)) == 0).when(mode == "any", F.arrays_overlap(tags, include)).otherwise(wrong)
+    return F.coalesce(F.size(include), F.lit(0)).__le__(0) | found
 
 
 def type_match(kind: Column, types: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from inspect import signature
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +32,35 @@ def top_k(df: DataFrame, k: int, by: list[str] = ("query_id",), score: str = "sc
     return rank(df, by, score, tie).where(F.col("rank") <= k)
 
 
+def numbered(df: DataFrame, by: str, order: str, name: str, span: int = 4096) -> DataFrame:
+    """Numbers from 0 in each group, by a whole number that orders it, however large a group is.
+
+    Two steps: rows are numbered inside spans of the order, and the spans' sizes are summed ahead of
+    them. Rows equal in `order` may swap their numbers.
+    """
+    dealt = df.withColumn("_span", F.floor(F.col(order) / span))
+    sizes = dealt.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_s")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_by").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_by", "_s", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_span").orderBy(order)) - 1)
+    found = inside.join(starts, inside[by].eqNullSafe(starts["_by"]) & inside["_span"].eqNullSafe(starts["_s"]))
+    return found.withColumn(name, F.col("_start") + F.col("_i")).drop("_span", "_by", "_s", "_start", "_i")
+
+
 def pool_rank(df: DataFrame, by: list[str], value: str, name: str = "normalised") -> DataFrame:
-    """Dense ranks of a pool on [0, 1]; one distinct value is 0.5."""
-    dense = F.dense_rank().over(Window.partitionBy(*by).orderBy(value))
-    ranked = df.withColumn("_d", dense)
-    most = F.max("_d").over(Window.partitionBy(*by))
-    return ranked.withColumn(name, F.when(most == 1, 0.5).otherwise((F.col("_d") - 1) / (most - 1))).drop("_d")
+    """Dense ranks of a pool on [0, 1]; one distinct value is 0.5.
+
+    Distinct values are ranked, and rows join theirs, so that a large pool isn't one task. Rows
+    without a value rank below all others.
+    """
+    pool = Window.partitionBy(*by)
+    distinct = df.select(*by, value).distinct().withColumn("_d", F.dense_rank().over(pool.orderBy(value)))
+    most = F.max("_d").over(pool)
+    places = distinct.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(value).alias("_value"), F.when(most == 1, 0.5).otherwise((F.col("_d") - 1) / (most - 1)).alias(name))
+    same = df[value].eqNullSafe(places["_value"])
+    for i, c in enumerate(by):
+        same = same & df[c].eqNullSafe(places[f"_by{i}"])
+    return df.join(places, same).drop("_value", *[f"_by{i}" for i in range(len(by))])
 
 
 def prefix_pack(df: DataFrame, budget: Column, tokens: str = "tokens", by: list[str] = ("query_id",), room: int = TRUNCATE_ROOM) -> DataFrame:
@@ -49,57 +73,73 @@ def prefix_pack(df: DataFrame, budget: Column, tokens: str = "tokens", by: list[
     return sums.withColumn("taken", taken).where("taken is not null").drop("_sum", "_before", "_misses")
 
 
-PACKED = "query_id long, id string, rank int, included boolean, reason string, tokens int, content string"
+def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: float | None = None, summarize: Callable[..., str] | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
+    """One decision per row of (query_id, id, rank, tokens, token_budget, relevance, min_relevance, required_miss): query_id, id, rank, included, reason, tokens, summary.
 
-
-def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: float | None = None, summarize: Callable[[str, int], str] | None = None) -> DataFrame:
-    """One decision per row of (query_id, id, rank, tokens, token_budget, relevance, min_relevance, required_miss, terms, content).
-
-    Rows that no state can save (a required term missed, too little relevance) are decided by one
-    expression. The rest is an order-dependent fold: rows of a query stand together by rank and are
-    read as a stream, so that a task holds the chosen rows of one query only. A row that doesn't
-    fit doesn't stop later, smaller ones.
+    An order-dependent fold: rows of a query stand together by rank and are read as a stream, so
+    that a task holds the state of one query only. Contents don't pass through it: `terms` are read
+    with `redundancy`, `content` and `query` with `summarize`, and `summary` is set where a
+    summary was included. A row that doesn't fit doesn't stop later, smaller ones. Rows that miss a
+    required term or have too little relevance are decided before any state. summarize(content,
+    room) or summarize(content, room, query) is cut to its room in words; with `count` it is counted
+    by that and not cut.
     """
     early = F.when(F.col("required_miss"), "required_term_miss").when(F.col("relevance") < F.col("min_relevance"), "below_relevance_threshold")
-    marked = ranked.withColumn("_early", early)
-    decided = marked.where("_early is not null").select("query_id", "id", "rank", F.lit(False).alias("included"), F.col("_early").alias("reason"), F.col("tokens").cast("int"), F.lit(None).cast("string").alias("content"))
+    asks = summarize is not None and len(signature(summarize).parameters) > 2
+
+    def shorter(content: str, room: int, query: str | None) -> tuple[str, int]:
+        made = summarize(content, room, query) if asks else summarize(content, room)
+        if count is None:
+            made = " ".join(made.split()[:room])
+        return made, len(made.split()) if count is None else count(made)
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, used, chosen, sets = None, 0, 0, []
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, chosen, sets = None, 0, 0, []
         for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.query_id != query:
-                    query, used, chosen, sets = r.query_id, 0, 0, []
-                tokens, content, reason = int(r.tokens), r.content, None
-                budget = None if pd.isna(r.token_budget) else int(r.token_budget)
-                own = set(r.terms) if redundancy is not None else ()
-                if redundancy is not None and any(_jaccard(own, x) >= redundancy for x in sets):
-                    reason = "redundant"
-                elif max_components is not None and chosen >= max_components:
-                    reason = "max_components"
-                elif budget is not None and tokens > budget - used:
-                    left = budget - used
-                    if left <= 0:
-                        reason = "budget_exhausted"
-                    elif summarize is None:
-                        reason = "over_budget"
-                    else:
-                        content = " ".join(summarize(content, left).split()[:left])
-                        tokens = len(content.split())
-                        if not content or tokens > left:
-                            reason = "summarization_failed_budget"
+            column = dict(zip(frame.schema.names, (c.to_pylist() for c in frame.columns), strict=True))
+            reasons, sizes, summaries = [], [], []
+            for i, (query, tokens, budget, reason) in enumerate(zip(column["query_id"], column["tokens"], column["token_budget"], column["early"], strict=True)):
+                if query != now:
+                    now, used, chosen, sets = query, 0, 0, []
+                summary, own = None, ()
                 if reason is None:
-                    used, chosen = used + tokens, chosen + 1
-                    sets.append(own)
-                    reason = "included" if content is r.content else "included_summarized"
-                included = reason.startswith("included")
-                out.append((r.query_id, r.id, r.rank, included, reason, tokens, content if included else None))
-            yield pd.DataFrame(out, columns=["query_id", "id", "rank", "included", "reason", "tokens", "content"])
-
-    columns = ["query_id", "id", "rank", "tokens", "token_budget", "terms", "content"]
-    rest = marked.where("_early is null").select(*columns).repartition("query_id").sortWithinPartitions("query_id", "rank")
-    return decided.unionByName(rest.mapInPandas(fold, PACKED))
+                    left = None if budget is None else budget - used
+                    own = set(column["terms"][i]) if redundancy is not None else ()
+                    if redundancy is not None and any(_jaccard(own, x) >= redundancy for x in sets):
+                        reason = "redundant"
+                    elif max_components is not None and chosen >= max_components:
+                        reason = "max_components"
+                    elif left is not None and tokens > left:
+                        if left <= 0:
+                            reason = "budget_exhausted"
+                        elif summarize is None:
+                            reason = "over_budget"
+                        else:
+                            summary, size = shorter(column["content"][i], left, column["query"][i] if asks else None)
+                            tokens = size
+                            reason = "included_summarized" if summary and size <= left else "summarization_failed_budget"
+                    else:
+                        reason = "included"
+                    if reason.startswith("included"):
+                        used, chosen = used + tokens, chosen + 1
+                        sets.append(own)
+                reasons.append(reason)
+                sizes.append(tokens)
+                summaries.append(summary if reason == "included_summarized" else None)
+            included = pa.array([x.startswith("included") for x in reasons])
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], included, pa.array(reasons, pa.string()), pa.array(sizes, pa.int32()), pa.array(summaries, pa.string())], names=["query_id", "id", "rank", "included", "reason", "tokens", "summary"])
+
+    more = ["terms"] * (redundancy is not None) + ["content"] * (summarize is not None) + ["query"] * asks
+    rows = ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early"), *more)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    packed = f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, included boolean, reason string, tokens int, summary string"
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, packed)
+
+
+def with_content(decisions: DataFrame, contents: DataFrame) -> DataFrame:
+    """Decisions with the content, or its summary, of what is included; contents (id, content) join for those rows alone."""
+    chosen = decisions.where("included and summary is null").select("query_id", "id").join(contents.select("id", "content"), "id")
+    return decisions.join(chosen, ["query_id", "id"], "left").withColumn("content", F.coalesce("summary", "content")).drop("summary")
 
 
 def _jaccard(a: set, b: set) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,28 +19,30 @@ SKIPPED = {"script", "style", "noscript", "svg"}
 LINES = {"p", "br", "li", "h1", "h2", "h3", "h4", "blockquote"}
 
 
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.text: list[str] = []
-        self.title: list[str] = []
-        self.hidden, self.in_title = 0, False
+OPENS, CLOSES, TEXT = 1, -1, 0
+
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in SKIPPED
-        self.in_title |= tag == "title"
-        if tag in LINES:
-            self.text.append("\n")
+class _Events(HTMLParser):
+    """A page as a flat list of (what happens, to which element or text)."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__()
+        self.found: list[tuple[int, str]] = []
+        self.handle_starttag = lambda tag, _: self.found.append((OPENS, tag))
+        self.handle_endtag = lambda tag: self.found.append((CLOSES, tag))
+        self.handle_data = lambda data: self.found.append((TEXT, data))
+        self.feed(html)
+        self.close()
 
-    def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in SKIPPED))
-        self.in_title &= tag != "title"
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.text.append(data)
-            if self.in_title:
-                self.title.append(data)
+def _title_and_text(html: str | None) -> tuple[str, str]:
+    """White space collapsed; how deep each event lies in elements that are left out is a running sum that never falls below 0."""
+    events = _Events(html or "").found
+    depths = accumulate((kind * (name in SKIPPED) if kind else 0 for kind, name in events), lambda depth, step: max(0, depth + step), initial=0)
+    titles = accumulate(events, lambda inside, e: e[0] == OPENS if e[0] and e[1] == "title" else inside, initial=False)
+    seen = [(kind, value, title) for (kind, value), depth, title in zip(events, islice(depths, 1, None), islice(titles, 1, None), strict=True) if kind == OPENS and value in LINES or kind == TEXT and not depth]
+    text = "".join("\n" if kind else value for kind, value, _ in seen)
+    return " ".join("".join(value for kind, value, title in seen if title and not kind).split()), " ".join(text.split())
 
 
 def html_to_text(pages: DataFrame, least: int = MIN_TEXT) -> DataFrame:
@@ -47,13 +50,7 @@ def html_to_text(pages: DataFrame, least: int = MIN_TEXT) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            titles, texts = [], []
-            for html in frame.column(2):
-                page = _Page()
-                page.feed(html.as_py() or "")
-                page.close()
-                titles.append(" ".join("".join(page.title).split()))
-                texts.append(" ".join("".join(page.text).split()))
+            titles, texts = zip(*(_title_and_text(html.as_py()) for html in frame.column(2)), strict=True) if len(frame) else ((), ())
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "title", "text"])
 
     out = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, title string, text string")

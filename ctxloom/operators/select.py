@@ -70,7 +70,7 @@ def select(cases: DataFrame, candidates: DataFrame, mode: str, *, weights: Mappi
             scored = safe.withColumn("score", F.round((F.col("relevance") * relevance_weight + F.col("importance") * importance_weight) / total, 12))
     ranked = rank.rank(scored.where("not unsafe"), ["case_id"], "score", "pos")
     top = ranked.where(F.col("rank") <= k) if mode == "similarity_top_k" else ranked
-    ready = top.join(cases.select("case_id", "token_budget"), "case_id").select(F.col("case_id").alias("query_id"), F.col("item_id").alias("id"), "rank", F.col("token_count").alias("tokens"), "token_budget", F.lit(1.0).alias("relevance"), F.lit(0.0).alias("min_relevance"), F.lit(False).alias("required_miss"), F.array().cast("array<string>").alias("terms"), F.lit("x").alias("content"))
+    ready = top.join(cases.select("case_id", "token_budget"), "case_id").select(F.col("case_id").alias("query_id"), F.col("item_id").alias("id"), "rank", F.col("token_count").alias("tokens"), "token_budget", F.lit(1.0).alias("relevance"), F.lit(0.0).alias("min_relevance"), F.lit(False).alias("required_miss"))
     packed = rank.pack(ready).select(F.col("query_id").alias("case_id"), F.col("id").alias("item_id"), "included", "reason", "tokens")
     left = [scored.where("unsafe").select("case_id", "item_id", F.lit("processing_error").alias("reason"), F.col("token_count").cast("int").alias("tokens"))]
     if mode == "similarity_top_k":

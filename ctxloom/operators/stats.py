@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Counts of resamples, and the largest n whose n^n they hold.
+WAYS, MOST_RESAMPLED = "decimal(38,0)", 26
+
+
 def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = ()) -> DataFrame:
     """tests (name, p) with Holm's adjusted p and rejection, which stops at the first failure."""
     order = Window.partitionBy(*by).orderBy("p", "name")
@@ -18,16 +22,16 @@ def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = ()) -> DataFrame
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """The ceil(p n)-th smallest value of each group."""
-    order, all_ = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(all_))
-    return ranked.where(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n") - 1e-12))).select(*by, F.col(value).alias("percentile"))
+    """The ceil(p n)-th smallest value of each group; values are counted before they meet."""
+    return weighted_nearest_rank(df.withColumn("_w", F.lit(1)), by, value, "_w", p, 1e-12)
 
 
-def weighted_nearest_rank(df: DataFrame, by: list[str], value: str, weight: str, p: float) -> DataFrame:
+def weighted_nearest_rank(df: DataFrame, by: list[str], value: str, weight: str, p: float, slack: float = 1e-9) -> DataFrame:
+    """The least value up to which a share of p of the group's weight lies; null values are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.withColumn("_c", F.sum(weight).over(order)).withColumn("_n", F.sum(weight).over(Window.partitionBy(*by)))
-    return sums.where(F.col("_c") >= p * F.col("_n") - 1e-9).groupBy(*by).agg(F.min(value).alias("percentile"))
+    sums = counts.withColumn("_c", F.sum("_w").over(order)).withColumn("_n", F.sum("_w").over(Window.partitionBy(*by)))
+    return sums.where(F.col("_c") >= p * F.col("_n") - slack).groupBy(*by).agg(F.min(value).alias("percentile"))
 
 
 def hex_mod(digest: Column, n: Column) -> Column:
@@ -45,15 +49,25 @@ def bootstrap(values: DataFrame, by: list[str], draws: int, domain: str = "boots
 
 
 def permutation_p(values: DataFrame, by: list[str]) -> DataFrame:
-    """Exact one-sided p of a difference of means for groups (by, index, treated, score as an integer); ties are extreme."""
-    sizes = values.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("treated").cast("int")).alias("k"), F.sum(F.when(F.col("treated"), F.col("score")).otherwise(0)).alias("seen"))
-    masks = sizes.select(*by, "n", "k", "seen", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n as int)) - 1)")).alias("mask")).where(F.bit_count("mask") == F.col("k"))
-    chosen = masks.join(values.select(*by, "index", "score"), by).groupBy(*by, "seen", "mask").agg(F.sum(F.when(F.expr("getbit(mask, cast(index as int)) = 1"), F.col("score")).otherwise(0)).alias("total"))
-    return chosen.groupBy(*by).agg((F.count_if(F.col("total") >= F.col("seen")) / F.count("*")).alias("p"), F.count("*").alias("combinations"))
-
+    """Exact one-sided p of a difference of means for groups (by, index, treated, score as an integer); ties are extreme.
 
-#: Counts of resamples, and the largest n whose n^n they hold.
-WAYS, MOST_RESAMPLED = "decimal(38,0)", 26
+    Ways to choose are counted by (chosen so far, their sum), one value at a time, so that rows grow
+    with distinct sums and not with 2^n. A group of more than 120 rows is an error: its counts can
+    have more than 38 digits.
+    """
+    sizes = values.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("treated").cast("int")).alias("k"), F.sum(F.when(F.col("treated"), F.col("score")).otherwise(0)).alias("seen"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most > 120:
+        raise OverflowError(f"a group of {most} rows has more choices than 38 digits count; at most 120 rows")
+    now = sizes.select(*by, "k", "seen", F.lit(0).alias("taken"), F.lit(0).cast("long").alias("total"), F.lit(1).cast(WAYS).alias("ways"))
+    for step in range(most):
+        here = values.where(F.col("index") == step).select(*by, F.col("score").cast("long").alias("score"))
+        both = now.join(here, by, "left").withColumn("_more", F.explode(F.when(F.col("score").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        taken, total = F.col("taken") + F.col("_more"), F.col("total") + F.coalesce("score", F.lit(0)) * F.col("_more")
+        now = both.where(taken <= F.col("k")).groupBy(*by, "k", "seen", taken.alias("_taken"), total.alias("_total")).agg(F.sum("ways").cast(WAYS).alias("ways")).withColumnRenamed("_taken", "taken").withColumnRenamed("_total", "total")
+    done = now.where(F.col("taken") == F.col("k")).groupBy(*by)
+    extreme = F.sum(F.when(F.col("total") >= F.col("seen"), F.col("ways")).otherwise(0))
+    return done.agg((extreme.cast("double") / F.sum("ways").cast("double")).alias("p"), F.sum("ways").cast("long").alias("combinations"))
 
 
 def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
@@ -75,6 +89,25 @@ def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
     return now
 
 
+def resampled_interval(left: DataFrame, right: DataFrame, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """by, low, high: percentiles of the difference of means (left - right) over all pairs of resamples of both groups.
+
+    left and right are values (by, index, value as an integer). Histograms of sums meet, not resamples;
+    a group without rows on one side gives none.
+    """
+    sums = []
+    for side, values in (("l", left), ("r", right)):
+        sums.append(resampled_means(values, by).select(*by, F.col("n").alias(f"n{side}"), F.col("total").alias(f"t{side}"), F.col("ways").cast("double").alias(f"w{side}")))
+    both = sums[0].join(sums[1], by)
+    # the difference on a whole-number scale, so that equal ones are one value
+    difference = F.col("tl") * F.col("nr") - F.col("tr") * F.col("nl")
+    spread = both.groupBy(*by, (F.col("nl") * F.col("nr")).alias("_scale"), difference.alias("_d")).agg(F.sum(F.col("wl") * F.col("wr")).alias("_w"))
+    share = spread.withColumn("_w", F.col("_w") / F.sum("_w").over(Window.partitionBy(*by)))
+    ends = [weighted_nearest_rank(share, by, "_d", "_w", p).withColumnRenamed("percentile", name) for name, p in (("low", low), ("high", high))]
+    scale = spread.groupBy(*by).agg(F.first("_scale").alias("_scale"))
+    return ends[0].join(ends[1], by).join(scale, by).select(*by, (F.col("low") / F.col("_scale")).alias("low"), (F.col("high") / F.col("_scale")).alias("high"))
+
+
 def validity_gate(units: DataFrame, least_valid: int, least_per_cell: int) -> DataFrame:
     """One row: valid units in all, the fewest of a cell, and whether scores may be looked at."""
     cells = units.groupBy("cell_id").agg(F.count_if("valid").alias("v"))

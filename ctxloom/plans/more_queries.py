@@ -9,7 +9,7 @@ from ..functions import scores, text
 from ..operators import audit, consolidate, filters, learn, rank, report, research, scoring, select, stats, vectors
 from ..sources import tables
 from . import pipelines, views
-from .queries import ORACLES, QUERIES, SQL_HOST, SQL_PAIRS, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_terms, sql_words
+from .queries import METRICS, ORACLES, QUERIES, SQL_HOST, SQL_HYBRID, SQL_PAIRS, SQL_RANKED, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_metrics, sql_terms, sql_words
 from .views import AS_OF_S, Views, with_views
 
 # research
@@ -337,12 +337,16 @@ def j18_design(v: Views) -> DataFrame:
 # selection
 
 
-def sql_pack(live: str, rest: str) -> str:
-    """The fold of budget packing over `live` (query_id, id, rank, k, tokens, token_budget), and rows that it never sees."""
+def sql_fold(live: str) -> str:
+    """The fold of budget packing over `live` (query_id, id, rank, k, tokens, token_budget)."""
     fits = "l.tokens <= l.token_budget - f.used"
     return f"""fold AS (SELECT query_id, id, rank, k, tokens, CASE WHEN tokens <= token_budget THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= token_budget THEN 'included' ELSE 'over_budget' END AS reason FROM {live} WHERE k = 1
-  UNION ALL SELECT l.query_id, l.id, l.rank, l.k, l.tokens, f.used + CASE WHEN {fits} THEN l.tokens ELSE 0 END, CASE WHEN {fits} THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END FROM fold f JOIN {live} l ON l.query_id = f.query_id AND l.k = f.k + 1)
- SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"""
+  UNION ALL SELECT l.query_id, l.id, l.rank, l.k, l.tokens, f.used + CASE WHEN {fits} THEN l.tokens ELSE 0 END, CASE WHEN {fits} THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END FROM fold f JOIN {live} l ON l.query_id = f.query_id AND l.k = f.k + 1)"""
+
+
+def sql_pack(live: str, rest: str) -> str:
+    """The fold, and rows that it never sees."""
+    return f"{sql_fold(live)} SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"
 
 
 def _bundle(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -398,46 +402,77 @@ def p5_full_context(v: Views) -> DataFrame:
 SQL_IMPORTANCE = f"(SELECT m.*, m.score + 0.7 * coalesce(a.average, 0) + 0.3 * coalesce(t.average, 0) AS importance FROM memory m LEFT JOIN (SELECT component_id AS id, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) a ON a.id = m.id LEFT JOIN (SELECT component_type AS type, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) t ON t.type = m.type)"
 
 
-@query(f"""WITH RECURSIVE memory AS ({views.duck(views.MEMORY)}), requests AS ({views.duck(views.REQUESTS)}), feedback AS ({views.duck(views.FEEDBACK)}),
- cand AS MATERIALIZED (SELECT r.query_id, r.token_budget, m.id, m.seq, m.importance, m.content, CASE WHEN m.type IN ('LongTermMemoryComponent', 'AgentSessionComponent') THEN pow(0.5, ({AS_OF_S} - m.ts_s) / 86400.0 / 30) ELSE 0 END AS recency,
-  CASE WHEN expires_s <= {AS_OF_S} THEN 'lifecycle_expired' WHEN status <> 'active' THEN 'lifecycle_' || status WHEN tag3 <> 'long' THEN 'tag_filter' ELSE 'eligible' END AS reason FROM requests r, {SQL_IMPORTANCE} m),
+def sql_ranked(filter_: str = "", least: float = 0, requests: str = views.REQUESTS, required: str = "false") -> str:
+    """CTEs up to `ranked` (all eligible rows) and `live` (those that reach the fold); filter_: WHEN clauses after the lifecycle's."""
+    return f"""WITH RECURSIVE memory AS ({views.duck(views.MEMORY)}), requests AS ({views.duck(requests)}), feedback AS ({views.duck(views.FEEDBACK)}),
+ cand AS MATERIALIZED (SELECT r.*, m.id, m.seq, m.importance, m.content, CASE WHEN m.type IN ('LongTermMemoryComponent', 'AgentSessionComponent') THEN pow(0.5, ({AS_OF_S} - m.ts_s) / 86400.0 / 30) ELSE 0 END AS recency,
+  CASE WHEN expires_s <= {AS_OF_S} THEN 'lifecycle_expired' WHEN status <> 'active' THEN 'lifecycle_' || status {filter_} ELSE 'eligible' END AS reason FROM requests r, {SQL_IMPORTANCE} m),
  near AS MATERIALIZED (SELECT query_id, id, relevance FROM {SQL_RELEVANCE}),
- ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, seq) AS rank FROM (SELECT c.*, coalesce(n.relevance, 0) AS relevance, len({sql_words('c.content')}) AS tokens, round(0.70 * coalesce(n.relevance, 0) + 0.25 * least(1.0, greatest(0.0, importance)) + 0.05 * recency, 12) AS total FROM cand c LEFT JOIN near n ON n.query_id = c.query_id AND n.id = c.id WHERE reason = 'eligible')),
- live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ranked WHERE relevance >= 0.05),
- {sql_pack('live', "SELECT query_id, id, CAST(rank AS INT), false, 'below_relevance_threshold', CAST(tokens AS INT) FROM ranked WHERE relevance < 0.05 UNION ALL SELECT query_id, id, NULL, false, reason, NULL FROM cand WHERE reason <> 'eligible'")}""")
+ ranked AS MATERIALIZED (SELECT *, CASE WHEN {required} THEN 'required_term_miss' WHEN relevance < {least} THEN 'below_relevance_threshold' END AS early, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, seq) AS rank FROM (SELECT c.*, {sql_terms('c.content')} AS terms, coalesce(n.relevance, 0) AS relevance, len({sql_words('c.content')}) AS tokens, round(0.70 * coalesce(n.relevance, 0) + 0.25 * least(1.0, greatest(0.0, importance)) + 0.05 * recency, 12) AS total FROM cand c LEFT JOIN near n ON n.query_id = c.query_id AND n.id = c.id WHERE reason = 'eligible')),
+ live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ranked WHERE early IS NULL)"""
+
+
+SQL_LEFT_OUT = "SELECT query_id, id, CAST(rank AS INT), false, early, CAST(tokens AS INT) FROM ranked WHERE early IS NOT NULL UNION ALL SELECT query_id, id, NULL, false, reason, NULL FROM cand WHERE reason <> 'eligible'"
+
+
+@query(f"""{sql_ranked("WHEN tag3 <> 'long' THEN 'tag_filter'", 0.05)}, {sql_pack('live', SQL_LEFT_OUT)}""")
 def p1_retrieve(v: Views) -> DataFrame:
     asked = v.requests().withColumn("include_tags", F.array(F.lit("long"))).withColumn("min_relevance", F.lit(0.05))
-    return pipelines.retrieve(v.memory(), asked, v.feedback(), v.as_of).drop("content")
+    return pipelines.retrieve(v.memory(), asked, v.feedback(), v.as_of).drop("summary")
 
 
-@query()
+@query(f"{sql_ranked()}, {sql_fold('live')} SELECT f.query_id, string_agg(m.content, chr(10) || chr(10) ORDER BY f.rank) AS context, CAST(sum(f.tokens) AS BIGINT) AS used_tokens FROM fold f JOIN memory m ON m.id = f.id WHERE f.reason = 'included' GROUP BY 1")
 def p1_context(v: Views) -> DataFrame:
-    return pipelines.context(pipelines.retrieve(v.memory(), v.requests(), v.feedback(), v.as_of))
+    found = pipelines.retrieve(v.memory(), v.requests(), v.feedback(), v.as_of, rejected=False)
+    return pipelines.context(found, v.memory())
 
 
-@query()
+SQL_SHORT = f"list_slice({sql_words('substr(l.content, 1, CAST(4 * room AS BIGINT))')}, 1, room)"
+
+
+@query(f"""{sql_ranked("WHEN tag3 <> 'short' THEN 'tag_filter'")},
+ fold AS (SELECT query_id, id, rank, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS used, '' AS reason FROM live WHERE k = 1
+  UNION ALL SELECT query_id, id, rank, k, tokens, used + CASE WHEN starts_with(reason, 'included') THEN tokens ELSE 0 END, reason FROM (SELECT query_id, id, rank, k, used, CASE WHEN own <= room OR room <= 0 THEN own ELSE len(short) END AS tokens, CASE WHEN own <= room THEN 'included' WHEN room <= 0 THEN 'budget_exhausted' WHEN len(short) = 0 THEN 'summarization_failed_budget' ELSE 'included_summarized' END AS reason
+   FROM (SELECT l.query_id, l.id, l.rank, l.k, l.used, l.tokens AS own, l.room, {SQL_SHORT} AS short FROM (SELECT l.*, f.used, 700 - f.used AS room FROM fold f JOIN live l ON l.query_id = f.query_id AND l.k = f.k + 1) l)))
+ SELECT query_id, id, CAST(rank AS INT) AS rank, starts_with(reason, 'included') AS included, reason, CAST(tokens AS INT) AS tokens FROM fold WHERE k > 0 UNION ALL {SQL_LEFT_OUT}""")
 def p2_task_context(v: Views) -> DataFrame:
     tasks = v.requests().withColumn("include_tags", F.array(F.lit("short")))
-    return pipelines.task_context(v.memory(), tasks, v.feedback(), v.as_of).drop("content")
+    return pipelines.task_context(v.memory(), tasks, v.feedback(), v.as_of).drop("summary")
 
 
-@query()
+SQL_FOUND = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({SQL_HYBRID}, 9) DESC, id) AS place FROM (SELECT p.query_id, p.id, p.s, p.i, p.g, 0.0 AS f, d.text FROM {SQL_PAIRS} p JOIN documents d ON d.doc_id = p.id))"
+
+
+@query(with_views(f"""SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(CASE WHEN total <= 500 THEN tokens ELSE 500 - total + tokens END AS BIGINT) AS taken FROM (SELECT *, sum(CASE WHEN total > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS misses FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total
+ FROM (SELECT query_id, id, len({sql_words('text')}) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY round({SQL_HYBRID}, 9) DESC, id) AS rank FROM (SELECT p.query_id, p.id, p.s, p.i, p.g, p.text, coalesce(a.average, 0) AS f FROM {SQL_FOUND} p LEFT JOIN (SELECT CAST(substr(component_id, 5) AS BIGINT) AS id, sum(score * {SQL_WEIGHT}) / sum({SQL_WEIGHT}) AS average FROM feedback GROUP BY 1) a ON a.id = p.id WHERE place <= 10)))) WHERE misses = 0 OR (misses = 1 AND total > 500 AND 500 - total + tokens > 50)""", feedback=views.FEEDBACK))
 def p3_semantic_context(v: Views) -> DataFrame:
     queries, table = _vectors(v)
     content = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return pipelines.semantic_context(queries.withColumn("token_budget", F.lit(500)), table.drop("feedback_score").join(content, "id"), v.feedback().withColumn("component_id", F.substring_index("component_id", "-", -1).cast("long")), v.as_of)
 
 
-@query()
+SQL_FIRST_WORDS = "array_to_string(list_slice(string_split(query, ' '), 1, 3), ' ')"
+SQL_MISSED = f"NOT list_has_any(terms, {sql_terms(SQL_FIRST_WORDS)})"
+SQL_ALIKE = "len(list_filter(f.sets, lambda s: len(list_intersect(s, l.terms)) > 0 AND len(list_intersect(s, l.terms)) >= 0.88 * len(list_distinct(list_concat(s, l.terms))) - 1e-12)) > 0"
+
+
+@query(f"""{sql_ranked("WHEN tag1 <> 'en' THEN 'tag_filter'", 0.1, required=SQL_MISSED)},
+ fold AS (SELECT query_id, id, rank, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS chosen, CAST([] AS VARCHAR[][]) AS sets, '' AS reason FROM live WHERE k = 1
+  UNION ALL SELECT query_id, id, rank, k, tokens, used + CASE WHEN reason = 'included' THEN tokens ELSE 0 END, chosen + CASE WHEN reason = 'included' THEN 1 ELSE 0 END, CASE WHEN reason = 'included' THEN list_append(sets, terms) ELSE sets END, reason
+   FROM (SELECT l.query_id, l.id, l.rank, l.k, l.tokens, l.terms, f.used, f.chosen, f.sets, CASE WHEN {SQL_ALIKE} THEN 'redundant' WHEN f.chosen >= 20 THEN 'max_components' WHEN l.tokens <= l.token_budget - f.used THEN 'included' WHEN f.used >= l.token_budget THEN 'budget_exhausted' ELSE 'over_budget' END AS reason FROM fold f JOIN live l ON l.query_id = f.query_id AND l.k = f.k + 1))
+ SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold WHERE k > 0 UNION ALL {SQL_LEFT_OUT}""")
 def p9_memory_trace(v: Views) -> DataFrame:
     asked = v.requests().withColumn("include_tags", F.array(F.lit("en"))).withColumn("required_terms", F.array(F.substring_index("query", " ", 3)))
-    return pipelines.memory_trace(v.memory(), asked, v.feedback(), v.as_of).drop("content")
+    return pipelines.memory_trace(v.memory(), asked, v.feedback(), v.as_of).drop("summary")
 
 
-@query()
+SECTIONS = {"goals": ("en", "long"), "tasks": ("en", "short"), "learnings": ("fr",)}
+SQL_SECTIONS = "SELECT item_id || '/' || section AS query_id, item_id, section, wanted, text AS query, CAST(floor((200 + 50 * (item_id % 5)) / 3) AS INT) AS token_budget FROM {benchmark}, (VALUES " + ", ".join(f"('{name}', {list(tags)})" for name, tags in SECTIONS.items()) + ") AS s(section, wanted)"
+
+
+@query(f"{sql_ranked('WHEN NOT list_has_all([tag1, tag2, tag3], wanted) THEN ' + repr('tag_filter'), requests=SQL_SECTIONS)}, {sql_fold('live')} SELECT l.item_id AS query_id, l.section, f.id, CAST(f.rank AS INT) AS rank, CAST(f.tokens AS INT) AS tokens FROM fold f JOIN live l ON l.query_id = f.query_id AND l.id = f.id WHERE f.reason = 'included'")
 def w6_agent_sections(v: Views) -> DataFrame:
-    sections = {"goals": ("en", "long"), "tasks": ("en", "short"), "learnings": ("fr",)}
-    return pipelines.agent_context(v.memory(), v.requests(), v.feedback(), v.as_of, sections).where("included").select("query_id", "section", "id", "rank", "tokens")
+    return pipelines.agent_context(v.memory(), v.requests(), v.feedback(), v.as_of, SECTIONS).where("included").select("query_id", "section", "id", "rank", "tokens")
 
 
 @query(with_views(f"SELECT phase, metric, round(avg(effect), 5) AS mean_effect, count(*) AS repetitions FROM {SQL_TRAJECTORIES} GROUP BY 1, 2", task_metrics=views.TASK_METRICS))
@@ -446,11 +481,17 @@ def p7_paired_report(v: Views) -> DataFrame:
     return report.summaries(report.trajectories(report.paired_effects(longer, "static_policy", "adaptive_policy"))).select("phase", "metric", F.round("mean_effect", 5).alias("mean_effect"), "repetitions")
 
 
-@query()
+SQL_CHOSEN = "(SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, tokens FROM fold WHERE reason = 'included')"
+
+
+@query(f"""WITH RECURSIVE memory AS ({views.duck(views.MEMORY)}), requests AS ({views.duck(views.REQUESTS)}), eval_labels AS ({views.duck(views.EVAL_LABELS)}),
+ live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM (SELECT query_id, id, rank, relevance, token_budget, len({sql_words('content')}) AS tokens FROM {SQL_RANKED}) WHERE relevance >= 0.05), {sql_fold('live')}
+ SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in METRICS)}, 1.0::DOUBLE AS stability FROM ({sql_metrics(SQL_CHOSEN)})""")
 def p4_evaluate(v: Views) -> DataFrame:
     requests = v.requests()
     excluded = requests.select("query_id", (F.col("query_id") % 97).alias("k")).join(v.memory().select("id", (F.col("seq") % 97).alias("k")), "k").drop("k")
-    return pipelines.evaluate_retrieval(packed(v), v.sql(views.EVAL_LABELS), excluded, requests)
+    m = pipelines.evaluate_retrieval(packed(v), v.sql(views.EVAL_LABELS), excluded, requests)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
 @query()

@@ -335,8 +335,8 @@ def w1_rank_top_k(v: Views) -> DataFrame:
 def packed(v: Views) -> DataFrame:
     """The flagship: for each passage, which documents go into its budget, and why not the others."""
     asked = v.requests().select("query_id", "token_budget")
-    content = v.memory().select("id", "content", text.token_count(F.col("content")).alias("tokens"))
-    ready = _ranked(v).join(asked, "query_id").join(content, "id").withColumn("min_relevance", F.lit(0.05)).withColumn("required_miss", F.lit(False)).withColumn("terms", F.array().cast("array<string>"))
+    tokens = v.memory().select("id", text.token_count(F.col("content")).alias("tokens"))
+    ready = _ranked(v).join(asked, "query_id").join(tokens, "id").withColumn("min_relevance", F.lit(0.05)).withColumn("required_miss", F.lit(False))
     return rank.pack(ready)
 
 
@@ -348,7 +348,7 @@ def packed(v: Views) -> DataFrame:
  SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold
  UNION ALL SELECT query_id, id, CAST(rank AS INT), false, 'below_relevance_threshold', CAST(tokens AS INT) FROM ranked WHERE relevance < 0.05""")
 def w2_pack_budget(v: Views) -> DataFrame:
-    return packed(v).drop("content")
+    return packed(v).drop("summary")
 
 
 @query(with_views(f"""SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(CASE WHEN total <= token_budget THEN tokens ELSE token_budget - total + tokens END AS BIGINT) AS taken FROM (SELECT *, sum(CASE WHEN total > token_budget THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS misses FROM (SELECT query_id, id, rank, token_budget, tokens, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, len({sql_words('content')}) AS tokens FROM {SQL_RANKED}))) WHERE misses = 0 OR (misses = 1 AND total > token_budget AND token_budget - total + tokens > 50)""", memory=views.MEMORY, requests=views.REQUESTS))
@@ -407,11 +407,15 @@ def e2_stale_vectors(v: Views) -> DataFrame:
 # consolidation
 
 
-@query(with_views("SELECT 'merged-' || type AS new_id, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content FROM memory GROUP BY type", memory=views.MEMORY))
+SQL_GROUPS = "(SELECT *, CAST(seq // 10 AS BIGINT) AS g FROM memory)"
+
+
+@query(with_views(f"SELECT 'merged-' || g AS new_id, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content FROM {SQL_GROUPS} GROUP BY g", memory=views.MEMORY))
 def c2_merge(v: Views) -> DataFrame:
+    """Every ten memories in a row are merged: a command's sources are a list that someone wrote, so a small group."""
     m = v.memory()
     ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x.id)
-    commands = m.groupBy("type").agg(ids.alias("source_ids")).select(F.concat(F.lit("merged-"), "type").alias("new_id"), F.lit(None).cast("string").alias("content"), "source_ids", F.lit(True).alias("supersede"))
+    commands = m.groupBy(F.floor(F.col("seq") / 10).alias("g")).agg(ids.alias("source_ids")).select(F.concat(F.lit("merged-"), F.col("g").cast("string")).alias("new_id"), F.lit(None).cast("string").alias("content"), "source_ids", F.lit(True).alias("supersede"))
     return consolidate.derive(m, commands)[0].select("new_id", "content")
 
 
@@ -438,9 +442,9 @@ def c6_active_view(v: Views) -> DataFrame:
     return consolidate.active_view(v.memory(), v.as_of).select("id")
 
 
-@query("SELECT lang AS project, string_agg(substr(text, 1, 40), chr(10) || chr(10) ORDER BY doc_id) AS content, min((doc_id % 10) / 10.0)::DOUBLE AS confidence, count(*) AS n_claims FROM documents GROUP BY 1")
+@query("SELECT lang AS project, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS pos, text AS content, min((doc_id % 10) / 10.0) OVER (PARTITION BY lang)::DOUBLE AS confidence, count(*) OVER (PARTITION BY lang) AS n_claims FROM documents")
 def c7_synthesis(v: Views) -> DataFrame:
-    rows = v.table("documents").select(F.col("lang").alias("project"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
+    rows = v.table("documents").select(F.col("lang").alias("project"), F.col("doc_id").alias("seq"), "text", (F.col("doc_id") % 10 / 10.0).alias("confidence"))
     return consolidate.synthesis(rows)
 
 
@@ -474,11 +478,19 @@ SQL_TOP = f"(SELECT query_id, id, rank, len({sql_words('content')}) AS tokens FR
 SQL_EXCLUDED = "(SELECT r.query_id, m.id FROM requests r JOIN memory m ON m.seq % 97 = r.query_id % 97)"
 
 
-@query(with_views(f"""SELECT q.query_id, CASE WHEN n > 0 THEN round(hits / n, 6) ELSE 0 END AS precision, round(CASE WHEN rel > 0 THEN coalesce(hits, 0) / rel ELSE 1 END, 6) AS recall, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS mrr, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 1 END, 6) AS ndcg, round(CASE WHEN coalesce(tokens, 0) > 0 THEN hit_tokens / tokens ELSE 0 END, 6) AS token_efficiency, round(CASE WHEN exc > 0 THEN (exc - coalesce(bad, 0)) / exc ELSE 1 END, 6) AS exclusion_accuracy
- FROM requests q LEFT JOIN (SELECT t.query_id, count(*) AS n, count(e.gain) AS hits, min(CASE WHEN e.gain IS NOT NULL THEN rank END) AS first, sum(coalesce(e.gain, 0) / log2(rank + 1)) AS dcg, sum(tokens) AS tokens, sum(CASE WHEN e.gain IS NOT NULL THEN tokens ELSE 0 END) AS hit_tokens, count(x.id) AS bad FROM {SQL_TOP} t LEFT JOIN eval_labels e ON e.query_id = t.query_id AND e.id = t.id LEFT JOIN {SQL_EXCLUDED} x ON x.query_id = t.query_id AND x.id = t.id GROUP BY 1) p ON p.query_id = q.query_id
+def sql_metrics(top: str) -> str:
+    """The six metrics a query of results `top` (query_id, id, rank, tokens)."""
+    return f"""SELECT q.query_id, CASE WHEN n > 0 THEN hits / n ELSE 0 END AS precision, CASE WHEN rel > 0 THEN coalesce(hits, 0) / rel ELSE 1 END AS recall, coalesce(1.0 / first, 0)::DOUBLE AS mrr, CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 1 END AS ndcg, CASE WHEN coalesce(tokens, 0) > 0 THEN hit_tokens / tokens ELSE 0 END AS token_efficiency, CASE WHEN exc > 0 THEN (exc - coalesce(bad, 0)) / exc ELSE 1 END AS exclusion_accuracy
+ FROM requests q LEFT JOIN (SELECT t.query_id, count(*) AS n, count(e.gain) AS hits, min(CASE WHEN e.gain IS NOT NULL THEN rank END) AS first, sum(coalesce(e.gain, 0) / log2(rank + 1)) AS dcg, sum(tokens) AS tokens, sum(CASE WHEN e.gain IS NOT NULL THEN tokens ELSE 0 END) AS hit_tokens, count(x.id) AS bad FROM {top} t LEFT JOIN eval_labels e ON e.query_id = t.query_id AND e.id = t.id LEFT JOIN {SQL_EXCLUDED} x ON x.query_id = t.query_id AND x.id = t.id GROUP BY 1) p ON p.query_id = q.query_id
  LEFT JOIN (SELECT query_id, count(*) AS rel FROM eval_labels GROUP BY 1) r ON r.query_id = q.query_id
- LEFT JOIN (SELECT e.query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM eval_labels) e JOIN (SELECT query_id, count(*) AS n FROM {SQL_TOP} GROUP BY 1) c ON c.query_id = e.query_id AND k <= n GROUP BY 1) i ON i.query_id = q.query_id
- LEFT JOIN (SELECT query_id, count(*) AS exc FROM {SQL_EXCLUDED} GROUP BY 1) z ON z.query_id = q.query_id""", memory=views.MEMORY, requests=views.REQUESTS, eval_labels=views.EVAL_LABELS))
+ LEFT JOIN (SELECT e.query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM eval_labels) e JOIN (SELECT query_id, count(*) AS n FROM {top} GROUP BY 1) c ON c.query_id = e.query_id AND k <= n GROUP BY 1) i ON i.query_id = q.query_id
+ LEFT JOIN (SELECT query_id, count(*) AS exc FROM {SQL_EXCLUDED} GROUP BY 1) z ON z.query_id = q.query_id"""
+
+
+METRICS = ("precision", "recall", "mrr", "ndcg", "token_efficiency", "exclusion_accuracy")
+
+
+@query(with_views(f"SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in METRICS)} FROM ({sql_metrics(SQL_TOP)})", memory=views.MEMORY, requests=views.REQUESTS, eval_labels=views.EVAL_LABELS))
 def a4_ranking_metrics(v: Views) -> DataFrame:
     m = _metrics(v)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
@@ -498,9 +510,10 @@ def a5_stability(v: Views) -> DataFrame:
     return evaluate.stability(runs).withColumn("stability", F.round("stability", 6))
 
 
-@query()
+@query(with_views(f"SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)}, count(*) AS cases, round(avg((recall + ndcg + exclusion_accuracy) / 3), 6) AS utility FROM ({sql_metrics(SQL_TOP)})", memory=views.MEMORY, requests=views.REQUESTS, eval_labels=views.EVAL_LABELS))
 def a6_dataset_averages(v: Views) -> DataFrame:
-    return evaluate.averages(_metrics(v))
+    out = evaluate.averages(_metrics(v), utility=(F.col("recall") + F.col("ndcg") + F.col("exclusion_accuracy")) / 3)
+    return out.select("cases", *[F.round(c, 6).alias(c) for c in (*METRICS, "utility")])
 
 
 # learning
@@ -626,13 +639,19 @@ def n2_permutation_p(v: Views) -> DataFrame:
     return stats.permutation_p(_units(v), ["l_orderkey"]).withColumn("p", F.round("p", 9))
 
 
-@query()
+SQL_DIGITS = "list_transform(string_split(sha256('bootstrap|' || user_id || '|' || draw || '|' || position), ''), lambda x: CAST(strpos('0123456789abcdef', x) - 1 AS BIGINT))"
+
+
+@query(f"""WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value FROM events), s AS (SELECT user_id, count(*) AS n FROM v GROUP BY 1 HAVING count(*) > 1),
+ g AS (SELECT user_id, n, draw, unnest(range(n)) AS position FROM (SELECT user_id, n, unnest(range(20)) AS draw FROM s)),
+ p AS (SELECT user_id, draw, list_reduce({SQL_DIGITS}, lambda a, d: (a * 16 + d) % n) AS i FROM g)
+ SELECT user_id, round(max(mean), 6) AS percentile FROM (SELECT p.user_id, draw, avg(value) AS mean FROM p JOIN v ON v.user_id = p.user_id AND v.i = p.i GROUP BY 1, 2) GROUP BY 1""")
 def n1_bootstrap(v: Views) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     values = v.table("events").select("user_id", place.alias("index"), "value")
-    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975)
+    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975).withColumn("percentile", F.round("percentile", 6))
 
 
 def sql_sums(most: int) -> str:
