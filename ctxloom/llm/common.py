@@ -37,6 +37,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete the folder of a frame that materialise() made and that nothing reads any more."""
+    spark = frame.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_fold(column, modulus: int):
     """crc32 of a value's text, modulo a number of folds."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % modulus

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, materialise, mix, shingles, slices
+from .common import TextBlock, discard, materialise, mix, shingles, slices
 
 SIMILARITY, WIDTH = 0.8, 5
 RECALL = 0.9999
@@ -131,7 +131,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     while not stars(now):
-        now = materialise(small_star(large_star(now)), name)
+        before, now = now, materialise(small_star(large_star(now)), name)
+        discard(before)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
