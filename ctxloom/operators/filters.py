@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def tag_match(tags: Column, include: Column, mode: Column) -> Column:
     """Any or all of the wanted tags; no wanted tags match all. A mode other than `any` and `all` is an error."""
@@ -22,6 +24,12 @@ def task_match(kind: Column, id_: Column, task: Column) -> Column:
     return task.isNull() | (kind != "TaskSummaryComponent") | (id_ == task)
 
 
+def required_miss(terms: Column, required: Column) -> Column:
+    """Whether none of the required texts' terms is among `terms`; no required text misses nothing, texts without a term are always missed."""
+    wanted = F.flatten(F.transform(required, text.terms))
+    return (F.coalesce(F.size(required), F.lit(0)) > 0) & ~F.arrays_overlap(terms, wanted)
+
+
 def expired(expires: Column, as_of: Column) -> Column:
     return F.coalesce(expires <= as_of, F.lit(False))
 

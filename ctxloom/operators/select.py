@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import confidence_bin
 from . import audit, lexical, rank
+from .learn import MIN_EVIDENCE, PRIOR_MEAN, PRIOR_WEIGHT
 
 APPROVED = ("control_attributes", "format", "learning_attributes")
 
@@ -37,10 +38,21 @@ def static_scores(candidates: DataFrame, weights: Mapping[str, float]) -> DataFr
 
 
 def adaptive_scores(candidates: DataFrame, utilities: DataFrame, weight: float = 1.0) -> DataFrame:
-    """raw more the active utilities of the family's features; one join with the utility table."""
-    known = utilities.where("active").select("family_id", F.col("target").alias("feature"), "utility")
-    learned = candidates.select("case_id", "item_id", "family_id", F.explode("features").alias("feature")).join(known, ["family_id", "feature"]).groupBy("case_id", "item_id").agg(F.sum("utility").alias("_u"))
-    return candidates.join(learned, ["case_id", "item_id"], "left").withColumn("raw", F.col("raw") + weight * F.coalesce("_u", F.lit(0.0))).drop("_u")
+    """raw more the utilities of its features: those of the family (family_id, target, utility, active) or of the case (case_id, feature, utility)."""
+    if "case_id" in utilities.columns:
+        known, keys = utilities, ["case_id", "feature"]
+    else:
+        known, keys = utilities.where("active").select("family_id", F.col("target").alias("feature"), "utility"), ["family_id", "feature"]
+    learned = candidates.select("case_id", "item_id", "family_id", F.explode("features").alias("feature")).join(known, keys).groupBy("case_id", "item_id").agg(F.sum("utility").alias("_u"))
+    return candidates.join(learned, ["case_id", "item_id"], "left").withColumn("raw", F.round(F.col("raw") + weight * F.coalesce("_u", F.lit(0.0)), 12)).drop("_u")
+
+
+def prefix_utilities(cases: DataFrame, rewards: DataFrame, prior: float = PRIOR_MEAN, weight: float = PRIOR_WEIGHT, least: int = MIN_EVIDENCE) -> DataFrame:
+    """case_id, feature, utility: what each case (case_id, family_id, ordinal) may know, from events of its family with smaller ordinals alone."""
+    seen = rewards.select("family_id", F.col("target").alias("feature"), F.col("ordinal").alias("_before"), "reward")
+    known = cases.select("case_id", "family_id", "ordinal").join(seen, "family_id").where(F.col("_before") < F.col("ordinal"))
+    n = F.count("*")
+    return known.groupBy("case_id", "feature").agg(((prior * weight + F.sum("reward")) / (weight + n)).alias("utility"), n.alias("n")).where(F.col("n") >= least).drop("n")
 
 
 def select(cases: DataFrame, candidates: DataFrame, mode: str, *, weights: Mapping[str, float] | None = None, utilities: DataFrame | None = None, k: int = 5, relevance_weight: float = 0.7, importance_weight: float = 0.3) -> DataFrame:

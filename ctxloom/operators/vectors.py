@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine, hybrid
+from .filters import active
 from .rank import top_k
 
 
@@ -21,6 +22,14 @@ def similar(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(q, F.lit(True)).where(F.col("id") != F.col("query_id")).withColumn("similarity", F.coalesce(cosine(F.col("_q"), F.col("embedding")), F.lit(0.0))).drop("_q", "embedding")
 
 
+def searchable(table: DataFrame, as_of: Column, types: Sequence[str] = (), tags: Sequence[str] = (), include_inactive: bool = False) -> DataFrame:
+    """The rows that a search may find: of one of the types, with all tags, and active. Filter before similar(), so that scans prune."""
+    out = table.where(F.col("type").isin(*types)) if types else table
+    for tag in tags:
+        out = out.where(F.array_contains("tags", tag))
+    return out if include_inactive else out.where(active(F.col("status"), F.col("expires"), as_of))
+
+
 def hybrid_top(queries: DataFrame, vectors: DataFrame, n: int, as_of: Column) -> DataFrame:
     """Cut to n after the hybrid score (full scan)."""
     scored = similar(queries, vectors).withColumn("hybrid_score", F.round(hybrid(F.col("similarity"), F.col("score"), F.col("ts"), F.col("feedback_score"), as_of), 9))

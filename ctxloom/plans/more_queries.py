@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import audit, consolidate, filters, learn, rank, report, research, scoring, select, stats, vectors
-from ..sources import tables
+from ..operators import audit, consolidate, filters, learn, lexical, rank, report, research, scoring, select, stats, vectors
+from ..sources import bundles, tables
 from . import pipelines, views
-from .queries import METRICS, ORACLES, QUERIES, SQL_HOST, SQL_HYBRID, SQL_PAIRS, SQL_RANKED, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_WEIGHT, _log, _rewards, _vectors, packed, query, sql_class, sql_metrics, sql_terms, sql_words
+from .queries import METRICS, ORACLES, QUERIES, SQL_HOST, SQL_HYBRID, SQL_PAIRS, SQL_RANKED, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_UNITS, SQL_WEIGHT, _log, _rewards, _units, _vectors, packed, query, sql_class, sql_metrics, sql_terms, sql_words
 from .views import AS_OF_S, Views, with_views
 
 # research
@@ -349,17 +349,22 @@ def sql_pack(live: str, rest: str) -> str:
     return f"{sql_fold(live)} SELECT query_id, id, CAST(rank AS INT) AS rank, reason = 'included' AS included, reason, CAST(tokens AS INT) AS tokens FROM fold UNION ALL {rest}"
 
 
+#: Every document is a candidate of one case.
+SQL_CASES = "(SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark)"
+
+
 def _bundle(v: Views) -> tuple[DataFrame, DataFrame]:
     d = v.table("documents")
-    cases = v.table("benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("f"), F.col("item_id") % 4).alias("family_id"), F.col("text").alias("prompt"), F.lit(400).alias("token_budget"))
+    cases = v.table("benchmark").select(F.col("item_id").alias("case_id"), F.col("item_id").alias("ordinal"), F.concat(F.lit("f"), F.col("item_id") % 4).alias("family_id"), F.col("text").alias("prompt"), F.lit(400).alias("token_budget"))
     item = F.concat(F.lit("x"), F.col("doc_id").cast("string"))
     scope = F.when(F.col("doc_id") % 3 == 0, "scope:bounded").when(F.col("doc_id") % 3 == 1, "scope:global").otherwise("scope:local")
     shape = F.when(F.col("n_chars") > 1000, "format:runbook").otherwise("format:note")
-    made = d.select(item.alias("item_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), text.token_count(F.col("text")).alias("token_count"), (F.col("doc_id") % 10 / 10).alias("confidence"), F.create_map(F.lit("format"), F.array(shape), F.lit("learning_attributes"), F.array(F.when(F.col("doc_id") % 31 == 0, "tag:gold").otherwise(scope))).alias("metadata"), (F.col("doc_id") % 40).alias("_k"))
-    return cases, made.join(cases.select("case_id", (F.col("case_id") % 40).alias("_k")), "_k").drop("_k")
+    made = d.select(item.alias("item_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), text.token_count(F.col("text")).alias("token_count"), (F.col("doc_id") % 10 / 10).alias("confidence"), F.create_map(F.lit("format"), F.array(shape), F.lit("learning_attributes"), F.array(F.when(F.col("doc_id") % 31 == 0, "tag:gold").otherwise(scope))).alias("metadata"), (F.col("doc_id") % v.table("benchmark").count()).alias("_k"))
+    places = cases.select("case_id", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("long").alias("_k"))
+    return cases, made.join(places, "_k").drop("_k")
 
 
-SQL_BUNDLE = f"(SELECT *, CASE WHEN len(q) = 0 OR len(m) = 0 THEN 0 ELSE least(1.0, len(list_intersect(q, m)) / sqrt(len(q) * len(m)) + CASE WHEN contains(lower(text), lower(prompt)) THEN 0.15 ELSE 0 END) END AS relevance FROM (SELECT b.item_id AS query_id, 'x' || d.doc_id AS id, d.doc_id AS pos, d.text, b.text AS prompt, len({sql_words('d.text')}) AS tokens, 400 AS token_budget, {sql_terms('b.text')} AS q, {sql_terms('d.text')} AS m FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40))"
+SQL_BUNDLE = f"(SELECT *, CASE WHEN len(q) = 0 OR len(m) = 0 THEN 0 ELSE least(1.0, len(list_intersect(q, m)) / sqrt(len(q) * len(m)) + CASE WHEN contains(lower(text), lower(prompt)) THEN 0.15 ELSE 0 END) END AS relevance FROM (SELECT b.item_id AS query_id, 'x' || d.doc_id AS id, d.doc_id AS pos, d.text, b.text AS prompt, len({sql_words('d.text')}) AS tokens, 400 AS token_budget, {sql_terms('b.text')} AS q, {sql_terms('d.text')} AS m FROM {SQL_CASES} b JOIN documents d ON d.doc_id % b.n = b.k))"
 
 
 def sql_decisions(ranked: str, rest: str) -> str:
@@ -381,14 +386,7 @@ def p5_static_policy(v: Views) -> DataFrame:
     return select.select(*_bundle(v), "static_policy", weights={"confidence": 1.0, "scope:bounded": 0.5})
 
 
-@query()
-def p6_adaptive_policy(v: Views) -> DataFrame:
-    items = v.sql(views.FB_ITEMS).withColumn("features", F.array("f1", "f2")).withColumn("family_id", F.concat(F.lit("f"), F.col("ordinal") % 4))
-    known = learn.utilities(learn.event_rewards(items, "features"))
-    return select.select(*_bundle(v), "adaptive_policy", weights={"confidence": 1.0}, utilities=known)
-
-
-@query(f"""WITH RECURSIVE c AS (SELECT b.item_id AS case_id, 'x' || d.doc_id AS item_id, len({sql_words('d.text')}) AS t, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS k FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+@query(f"""WITH RECURSIVE c AS (SELECT b.item_id AS case_id, 'x' || d.doc_id AS item_id, len({sql_words('d.text')}) AS t, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS k FROM {SQL_CASES} b JOIN documents d ON d.doc_id % b.n = b.k),
  f AS (SELECT case_id, item_id, k, t, CASE WHEN t <= 400 THEN t ELSE 0 END AS used, CASE WHEN t <= 400 THEN 'included' ELSE 'over_budget' END AS reason FROM c WHERE k = 1
  UNION ALL SELECT c.case_id, c.item_id, c.k, c.t, f.used + CASE WHEN c.t <= 400 - f.used THEN c.t ELSE 0 END, CASE WHEN c.t <= 400 - f.used THEN 'included' WHEN f.used >= 400 THEN 'budget_exhausted' ELSE 'over_budget' END FROM f JOIN c ON c.case_id = f.case_id AND c.k = f.k + 1)
  SELECT case_id, item_id, reason = 'included' AS included, reason, CAST(t AS INT) AS tokens FROM f""")
@@ -396,6 +394,42 @@ def p5_full_context(v: Views) -> DataFrame:
     return select.select(*_bundle(v), "full_context")
 
 
+SQL_KNOWN = """(SELECT b.item_id AS query_id, target, sum(reward) / (2 + count(*)) AS u FROM benchmark b JOIN (SELECT 'f' || (ordinal % 4) AS family_id, case_id, ordinal, target, avg(reward) AS reward FROM (SELECT case_id, ordinal, f1 AS target, reward FROM fb UNION ALL SELECT case_id, ordinal, f2, reward FROM fb) WHERE reward IS NOT NULL GROUP BY 1, 2, 3, 4) r ON r.family_id = 'f' || (b.item_id % 4) AND r.ordinal < b.item_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+SQL_FEATURES = "[CASE WHEN length(text) > 1000 THEN 'format:runbook' ELSE 'format:note' END, CASE pos % 3 WHEN 0 THEN 'scope:bounded' WHEN 1 THEN 'scope:global' ELSE 'scope:local' END]"
+SQL_RAW = f"(SELECT p.*, round((p.pos % 10) / 10 + coalesce(l.u, 0), 12) AS raw FROM {SQL_BUNDLE} p LEFT JOIN (SELECT query_id, id, sum(u) AS u FROM (SELECT query_id, id, unnest({SQL_FEATURES}) AS target FROM {SQL_BUNDLE}) x JOIN {SQL_KNOWN} USING (query_id, target) GROUP BY 1, 2) l USING (query_id, id) WHERE pos % 31 > 0)"
+SQL_ADAPTIVE = f"(SELECT *, CASE WHEN most = 1 THEN 0.5 ELSE (d - 1) / (most - 1) END AS importance FROM (SELECT *, max(d) OVER (PARTITION BY query_id) AS most FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY raw) AS d FROM {SQL_RAW})))"
+SQL_ARMS = {
+    "full_context": ORACLES["p5_full_context"],
+    "similarity_top_k": ORACLES["p5_similarity_top_k"],
+    "static_policy": ORACLES["p5_static_policy"],
+    "adaptive_policy": sql_decisions(f"SELECT *, rank AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round((relevance * 0.7 + importance * 0.3) / 1.0, 12) DESC, pos) AS rank FROM {SQL_ADAPTIVE})", f"SELECT query_id, id, false, 'processing_error', CAST(tokens AS INT) FROM {SQL_BUNDLE} WHERE pos % 31 = 0").replace("WITH RECURSIVE ", f"WITH RECURSIVE fb AS ({views.duck(views.FB_ITEMS)}), "),
+}
+
+
+def _experiment(v: Views) -> tuple[DataFrame, DataFrame]:
+    items = v.sql(views.FB_ITEMS).withColumn("features", F.array("f1", "f2")).withColumn("family_id", F.concat(F.lit("f"), (F.col("ordinal") % 4).cast("string")))
+    return pipelines.experiment(*_bundle(v), learn.event_rewards(items, "features"), {"confidence": 1.0, "scope:bounded": 0.5}, 2)
+
+
+@query(SQL_ARMS["adaptive_policy"])
+def p6_adaptive_policy(v: Views) -> DataFrame:
+    items = v.sql(views.FB_ITEMS).withColumn("features", F.array("f1", "f2")).withColumn("family_id", F.concat(F.lit("f"), (F.col("ordinal") % 4).cast("string")))
+    cases, candidates = _bundle(v)
+    known = select.prefix_utilities(cases, learn.event_rewards(items, "features"))
+    return select.select(cases, candidates, "adaptive_policy", weights={"confidence": 1.0}, utilities=known)
+
+
+@query(" UNION ALL ".join(f"SELECT '{arm}' AS arm_id, CAST(r AS INT) AS repetition, x.* FROM ({SQL_ARMS[arm]}) x, (VALUES (1), (2)) AS t(r)" for arm in ("full_context", "similarity_top_k", "static_policy")))
+def p6_experiment(v: Views) -> DataFrame:
+    """The arms without learning; p6_adaptive_policy holds the fourth against SQL."""
+    return _experiment(v)[0].where("arm_id <> 'adaptive_policy'")
+
+
+@query("SELECT item_id AS case_id, 'x' AS rule FROM benchmark WHERE false")
+def p6_fairness(v: Views) -> DataFrame:
+    return _experiment(v)[1]
+
+
 # composites
 
 
@@ -494,23 +528,147 @@ def p4_evaluate(v: Views) -> DataFrame:
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
-@query()
+SQL_LABEL = "CASE pos % 4 WHEN 0 THEN 'required' WHEN 1 THEN 'useful' WHEN 2 THEN 'misleading' ELSE 'irrelevant' END"
+SQL_ATTRIBUTE = "CASE WHEN pos % 31 = 0 THEN 'tag:gold' WHEN pos % 3 = 0 THEN 'scope:bounded' WHEN pos % 3 = 1 THEN 'scope:global' ELSE 'scope:local' END"
+SQL_REGEX_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[./:-][\p{L}\p{N}_]+)*')"
+SQL_SECRET = " OR ".join("regexp_matches(text, '{}')".format(p.replace("'", "''")) for p in text.SECRET_PATTERNS)
+SQL_HASH = r"sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')))"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT query_id AS case_id, id AS item_id, pos, text, tokens, {SQL_LABEL} AS label, {SQL_ATTRIBUTE} AS attribute, pos % 23 > 0 AS labelled, source FROM (SELECT x.*, d.source FROM {SQL_BUNDLE} x JOIN documents d ON d.doc_id = x.pos))
+ SELECT case_id, item_id, 'unlabelled' AS rule FROM c WHERE NOT labelled
+ UNION ALL SELECT case_id, item_id, 'token_count' FROM c WHERE len({SQL_REGEX_TOKENS}) <> tokens
+ UNION ALL SELECT case_id, item_id, 'secret' FROM c WHERE {SQL_SECRET}
+ UNION ALL SELECT case_id, item_id, 'split_leakage' FROM c WHERE {SQL_HASH} IN (SELECT {SQL_HASH} FROM c GROUP BY 1 HAVING count(DISTINCT case_id % 2) > 1)
+ UNION ALL SELECT case_id, item_id, 'gold_leak' FROM c WHERE case_id % 3 = 0 AND pos % 37 = 0
+ UNION ALL SELECT NULL, attribute, 'shortcut_attribute' FROM c WHERE labelled GROUP BY 2 HAVING count(*) > 1 AND count(DISTINCT label) = 1
+ UNION ALL SELECT NULL, source, 'shortcut_source' FROM c WHERE labelled GROUP BY 2 HAVING count(*) > 1 AND count(DISTINCT label) = 1
+ UNION ALL SELECT case_id, attribute, 'ambiguous_attribute' FROM c WHERE labelled GROUP BY 1, 2 HAVING count_if(label IN ('required', 'useful')) > 0 AND count_if(label = 'misleading') > 0""")
 def p10_dataset_audit(v: Views) -> DataFrame:
     cases, candidates = _bundle(v)
     r = F.col("pos") % 4
     labels = candidates.where("pos % 23 > 0").select("case_id", "item_id", F.when(r == 0, "required").when(r == 1, "useful").when(r == 2, "misleading").otherwise("irrelevant").alias("label"))
-    return pipelines.dataset_audit(cases.withColumn("split", F.col("case_id") % 2), candidates, labels)
+    gold = F.when(F.col("case_id") % 3 == 0, F.concat(F.lit("Gold answer no. "), F.col("case_id").cast("string"), F.lit(" zq")))
+    cases = cases.withColumn("split", F.col("case_id") % 2).withColumn("gold", gold)
+    source = v.table("documents").select(F.col("doc_id").alias("pos"), "source")
+    told = F.when(F.col("pos") % 37 == 0, F.concat("content", F.lit("\nGOLD  answer no. "), F.col("case_id").cast("string"), F.lit(" zq"))).otherwise(F.col("content"))
+    seen = candidates.join(source, "pos").withColumn("told", told)
+    # the answer is planted in what the gold rule reads, not in what the others count
+    planted = pipelines.dataset_audit(cases, seen.withColumn("content", F.col("told")), labels).where("rule = 'gold_leak'")
+    return pipelines.dataset_audit(cases, seen, labels).where("rule <> 'gold_leak'").unionByName(planted)
 
 
-@query()
-def p11_replication(v: Views) -> DataFrame:
+def _trial(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = F.col("l_linenumber") % 3
     alias = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     li = v.table("lineitem").withColumn("alias", alias)
-    units = li.select(F.col("alias").alias("unit_id"), "alias", F.col("l_orderkey").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), F.lit(True).alias("valid"))
+    units = li.select(F.col("alias").alias("unit_id"), "alias", F.col("l_orderkey").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), (F.col("l_quantity") > 3).alias("valid"))
     status = F.when(F.col("l_returnflag") == "N", "met").when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")
-    marks = li.select("alias", F.lit(1).alias("criterion_id"), status.alias("status"), F.lit(False).alias("critical"))
-    return pipelines.replication(marks, marks.select("criterion_id").distinct().withColumn("weight", F.lit(1.0)), units, planned=1)
+    marks = li.select("alias", F.lit(1).alias("criterion_id"), status.alias("status"), ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 48)).alias("critical"))
+    return marks, marks.select("criterion_id").distinct().withColumn("weight", F.lit(1.0)), units
+
+
+SQL_TRIAL = "(SELECT l_orderkey AS family, l_linenumber % 3 AS arm, CASE WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 0.0 WHEN l_returnflag = 'N' THEN 1.0 WHEN l_returnflag = 'R' THEN 0.5 ELSE 0.0 END AS score, l_returnflag = 'A' AND l_quantity > 48 AS critical FROM lineitem WHERE l_quantity > 3)"
+
+
+@query(f"SELECT family, round(avg(score) FILTER (arm = 0) - avg(score) FILTER (arm = 1), 6) AS observed_withheld, round(avg(score) FILTER (arm = 0) - avg(score) FILTER (arm = 2), 6) AS observed_stale, coalesce(bool_or(critical) FILTER (arm = 0), false) AS critical FROM {SQL_TRIAL} GROUP BY 1")
+def p11_families(v: Views) -> DataFrame:
+    found = pipelines.replication_families(*_trial(v), planned=1)
+    return found.select("family", F.round("observed_withheld", 6).alias("observed_withheld"), F.round("observed_stale", 6).alias("observed_stale"), "critical")
+
+
+@query()
+def p11_replication(v: Views) -> DataFrame:
+    return pipelines.replication(*_trial(v), planned=1)
+
+
+# stores, once more: records as they are kept
+
+
+@query(with_views("SELECT id, type, content, score FROM memory", memory=views.MEMORY))
+def s1_load_memory(v: Views) -> DataFrame:
+    """Records as JSON texts, read again with the fixed schema."""
+    records = bundles.encode(v.memory(), ["seq"])
+    return tables.parse_memory(records).where("error is null").select("id", "type", "content", "score")
+
+
+@query(with_views("SELECT id, content, tag2 AS tag, seq FROM memory", memory=views.MEMORY))
+def s7_encode_record(v: Views) -> DataFrame:
+    record = F.col("record")
+    made = bundles.encode(v.memory(), ["seq"]).select(*[F.get_json_object(record, path).alias(name) for name, path in (("id", "$.id"), ("content", "$.content"), ("tag", "$.tags[1]"), ("data", "$.component_data"))])
+    return made.select("id", "content", "tag", F.get_json_object("data", "$.seq").cast("long").alias("seq"))
+
+
+@query(with_views("SELECT component_id, CASE WHEN event_id % 4 = 0 THEN 'Unknown' ELSE component_type END AS component_type, round(score, 6) AS score, event_id % 4 > 0 AS dated FROM feedback", feedback=views.FEEDBACK))
+def s8_feedback_log(v: Views) -> DataFrame:
+    """Entries as a log keeps them, every fourth a bare number."""
+    entry = F.when(F.col("event_id") % 4 == 0, F.col("score").cast("string")).otherwise(F.to_json(F.struct("score", "component_type", F.col("ts").cast("string").alias("timestamp"))))
+    logs = v.feedback().groupBy("component_id").agg(F.concat(F.lit('{"'), F.col("component_id"), F.lit('": ['), F.array_join(F.collect_list(entry), ", "), F.lit("]}")).alias("value"))
+    return tables.parse_feedback(logs).select("component_id", "component_type", F.round("score", 6).alias("score"), F.col("ts").isNotNull().alias("dated"))
+
+
+@query("SELECT item_id AS query_id, 'doc-' || d AS id, CASE WHEN d % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS gain, d % 3 > 0 AS relevant FROM (SELECT item_id, unnest(range(item_id, item_id + 4)) AS d FROM benchmark) WHERE d % 2 = 0 OR d % 3 > 0")
+def s9_evaluation_set(v: Views) -> DataFrame:
+    ids = F.sequence(F.col("item_id"), F.col("item_id") + 3)
+
+    def name(d):
+        return F.concat(F.lit("doc-"), d.cast("string"))
+
+    grades = F.map_from_entries(F.transform(F.filter(ids, lambda d: d % 2 == 0), lambda d: F.struct(name(d), F.lit(2.0))))
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.transform(F.filter(ids, lambda d: d % 3 > 0), name).alias("relevant_ids"), F.array(name(F.col("item_id") + 9)).alias("excluded_ids"), grades.alias("relevance"))
+    labels = bundles.evaluation_tables(v.table("benchmark").select(F.array(case).alias("cases")))[1]
+    return labels.select(F.col("query_id").cast("long").alias("query_id"), "id", "gain", "relevant")
+
+
+@query(f"SELECT b.item_id AS case_id, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS INT) AS pos, 'x' || d.doc_id AS item_id, len({sql_words('d.text')}) AS token_count FROM {SQL_CASES} b JOIN documents d ON d.doc_id % b.n = b.k")
+def s10_bundle(v: Views) -> DataFrame:
+    """Bundles of one case each, from nested rows to candidates with their places."""
+    cases, candidates = _bundle(v)
+    item = F.struct(F.col("item_id").alias("context_item_id"), "content", F.col("token_count").cast("int").alias("token_count"), F.lit(None).cast("string").alias("source"), "confidence", F.lit(None).cast("string").alias("created_timestamp"), "metadata")
+    nested = candidates.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item"))), lambda a, b: F.signum(a["pos"] - b["pos"]).cast("int")), lambda x: x["item"]).alias("candidates"))
+    none = F.array().cast("array<string>")
+    case = F.struct(F.col("case_id").cast("string").alias("case_id"), "family_id", F.lit("adaptation").alias("split"), F.col("ordinal").cast("int").alias("ordinal"), "prompt", "token_budget", "candidates", F.struct(*[none.alias(x) for x in ("required", "useful", "misleading", "irrelevant")]).alias("labels"))
+    raw = cases.join(nested, "case_id").select(F.lit("3").alias("schema_version"), F.array(case).alias("cases"))
+    return bundles.bundle_tables(raw)[1].select(F.col("case_id").cast("long").alias("case_id"), "pos", "item_id", F.col("token_count").cast("long").alias("token_count"))
+
+
+@query(with_views(f"SELECT x.query_id, x.id, {SQL_MISSED} AS required_miss FROM (SELECT query_id, id, {sql_terms('content')} AS terms FROM {SQL_RELEVANCE}) x JOIN requests r ON r.query_id = x.query_id", memory=views.MEMORY, requests=views.REQUESTS))
+def f6_required_terms(v: Views) -> DataFrame:
+    asked = v.requests().select("query_id", F.array(F.substring_index("query", " ", 3)).alias("required"))
+    near = lexical.relevance(v.requests(), v.memory()).select("query_id", "id").join(asked, "query_id")
+    return near.join(v.memory().select("id", text.terms(F.col("content")).alias("terms")), "id").select("query_id", "id", filters.required_miss(F.col("terms"), F.col("required")).alias("required_miss"))
+
+
+@query(with_views(f"SELECT query_id, id, CAST(rank AS INT) AS rank FROM (SELECT query_id, p.id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, p.id) AS rank FROM {SQL_PAIRS} p JOIN memory m ON m.seq = p.id WHERE m.type IN ('LongTermMemoryComponent', 'TaskSummaryComponent') AND m.tag1 = 'en' AND m.tag3 = 'long' AND m.status = 'active' AND NOT coalesce(m.expires_s <= {AS_OF_S}, false)) WHERE rank <= 5", memory=views.MEMORY))
+def f9_filtered_search(v: Views) -> DataFrame:
+    queries, table = _vectors(v)
+    rows = table.join(v.memory().select(F.col("seq").alias("id"), "type", "tags", "status", "expires"), "id")
+    rows = vectors.searchable(rows, v.as_of, ["LongTermMemoryComponent", "TaskSummaryComponent"], ["en", "long"])
+    found = vectors.similar(queries, rows.select("id", "embedding")).withColumn("similarity", F.round("similarity", 9))
+    return rank.top_k(found, 5, ["query_id"], "similarity", "id").select("query_id", "id", "rank")
+
+
+@query("SELECT event_type, min(value) AS percentile FROM (SELECT event_type, value, sum(w) OVER (PARTITION BY event_type ORDER BY value) AS c, sum(w) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, value, sum(event_id % 5 + 1) AS w FROM events GROUP BY 1, 2)) WHERE c >= 0.9 * n - 1e-9 GROUP BY 1")
+def w9_weighted_rank(v: Views) -> DataFrame:
+    e = v.table("events").select("event_type", "value", (F.col("event_id") % 5 + 1).alias("w"))
+    return stats.weighted_nearest_rank(e, ["event_type"], "value", "w", 0.9)
+
+
+def sql_histogram(side: str, most: int) -> str:
+    """Steps to the sums of all resamples of one side."""
+    steps = [f"{side} AS (SELECT l_orderkey, score // 25 AS value FROM {SQL_UNITS} WHERE {'' if side == 'l' else 'NOT '}treated)", f"{side}0 AS (SELECT l_orderkey, count(*) AS n, CAST(0 AS BIGINT) AS total, CAST(1 AS DOUBLE) AS ways FROM {side} GROUP BY 1)"]
+    for k in range(1, most + 1):
+        steps.append(f"{side}{k} AS (SELECT s.l_orderkey, s.n, s.total + u.value AS total, sum(s.ways) AS ways FROM {side}{k - 1} s JOIN {side} u ON u.l_orderkey = s.l_orderkey WHERE s.n >= {k} GROUP BY 1, 2, 3 UNION ALL SELECT * FROM {side}{k - 1} WHERE n < {k})")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {sql_histogram('l', 12)}, {sql_histogram('r', 12)}, d AS (SELECT l_orderkey, l.n * r.n AS scale, l.total * r.n - r.total * l.n AS d, sum(l.ways * r.ways) AS w FROM l12 l JOIN r12 r USING (l_orderkey) GROUP BY 1, 2, 3),
+ c AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey ORDER BY d) / sum(w) OVER (PARTITION BY l_orderkey) AS share FROM d)
+ SELECT l_orderkey, round(min(d / scale) FILTER (share >= 0.025 - 1e-9), 6) AS low, round(min(d / scale) FILTER (share >= 0.975 - 1e-9), 6) AS high FROM c GROUP BY 1""")
+def n3_difference_interval(v: Views) -> DataFrame:
+    values = _units(v).select("l_orderkey", "index", "treated", F.floor(F.col("score") / 25).alias("value"))
+    found = stats.resampled_interval(values.where("treated"), values.where("not treated"), ["l_orderkey"])
+    return found.select("l_orderkey", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 __all__ = ["ORACLES", "QUERIES", "Views", "packed"]

@@ -14,7 +14,12 @@ BUNDLE = f"schema_version string, cases array<struct<{CASE}>>"
 
 def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases, labels, excluded): a relevant id without a grade has gain 1; a graded id counts even if it isn't listed as relevant."""
-    cases = spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*").withColumnRenamed("id", "query_id")
+    return evaluation_tables(spark.read.schema(EVALUATION).option("multiLine", True).json(path))
+
+
+def evaluation_tables(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of evaluation sets in the schema EVALUATION."""
+    cases = sets.select(F.explode("cases").alias("c")).select("c.*").withColumnRenamed("id", "query_id")
     listed = cases.select("query_id", F.explode("relevant_ids").alias("id")).withColumn("listed", F.lit(True))
     graded = cases.select("query_id", F.explode("relevance").alias("id", "grade"))
     labels = listed.join(graded, ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("grade", F.lit(1.0)).alias("gain"), F.coalesce("listed", F.lit(False)).alias("relevant"))
@@ -23,7 +28,11 @@ def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def read_bundle(spark: SparkSession, path: str, version: str = "3") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases, candidates, labels) of an experiment; a candidate's place is kept, and another version is an error."""
-    raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+    return bundle_tables(spark.read.schema(BUNDLE).option("multiLine", True).json(path), version)
+
+
+def bundle_tables(raw: DataFrame, version: str = "3") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of bundles in the schema BUNDLE."""
     if not raw.where(~F.col("schema_version").eqNullSafe(F.lit(version))).isEmpty():
         raise ValueError("unsupported schema version")
     cases = raw.select(F.explode("cases").alias("c")).select("c.*")

@@ -19,13 +19,32 @@ def read_memory(spark: SparkSession, path: str, fmt: str = "json", **options: st
     return spark.read.schema(MEMORY).format(fmt).load(path)
 
 
+def parse_memory(records: DataFrame, value: str = "record") -> DataFrame:
+    """Memory records from a table with one JSON text a row; a broken text gives a row of nulls with an `error`."""
+    parsed = F.from_json(value, MEMORY)
+    whole = F.from_json(value, "map<string, string>").isNotNull()
+    return records.select(F.when(whole, parsed).alias("m"), F.when(~F.coalesce(whole, F.lit(False)), "broken record").alias("error")).select("m.*", "error")
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """A log as {component_id: [entries]}; an entry that is a bare number has no time and type Unknown."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("log"))
-    entries = raw.select(F.explode("log").alias("component_id", "entries")).select("component_id", F.explode("entries").alias("entry"))
+    return parse_feedback(spark.read.text(path, wholetext=True))
+
+
+def parse_feedback(logs: DataFrame, value: str = "value") -> DataFrame:
+    """The entries of logs as texts, by component and place."""
+    raw = logs.select(F.from_json(value, "map<string, array<string>>").alias("log"))
+    entries = raw.select(F.explode("log").alias("component_id", "entries")).select("component_id", F.posexplode("entries").alias("pos", "entry"))
     full = F.from_json("entry", "score double, component_type string, timestamp string")
     bare = F.expr("try_cast(entry as double)")
-    return entries.select("component_id", F.coalesce(full.component_type, F.lit("Unknown")).alias("component_type"), F.coalesce(bare, full.score).alias("score"), F.try_to_timestamp(full.timestamp).alias("ts"))
+    return entries.select("component_id", "pos", F.coalesce(full.component_type, F.lit("Unknown")).alias("component_type"), F.coalesce(bare, full.score).alias("score"), F.try_to_timestamp(full.timestamp).alias("ts"))
+
+
+def append_feedback(entries: DataFrame, path: str) -> None:
+    """Add entries to the log kept as Parquet: an append that keeps what is there. A score beyond [-1, 1], or none, is an error."""
+    if not entries.where(~F.coalesce(F.abs("score") <= 1, F.lit(False))).isEmpty():
+        raise ValueError("a score must be from -1 to 1")
+    entries.select("component_id", "component_type", "score", "ts").write.mode("append").parquet(path)
 
 
 def upsert(table: DataFrame, updates: DataFrame, key: str = "id", version: str = "version") -> DataFrame:

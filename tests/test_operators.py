@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.functions import scores, text
-from ctxloom.operators import audit, consolidate, evaluate, filters, rank, stats, vectors
+from ctxloom.operators import audit, consolidate, evaluate, filters, rank, select, stats, vectors
+from ctxloom.plans import pipelines
 from ctxloom.sources import tables
 
 
@@ -195,3 +196,111 @@ def test_ivf_search_equals_brute_force(spark):
         own = v @ v[ids == q][0]
         true = sorted(own[ids != q], reverse=True)[:10]
         assert np.allclose(sorted((s for s, _ in found), reverse=True), true, atol=1e-6)
+
+
+MEMORY = "id string, seq long, type string, tags array<string>, content string, score double, ts timestamp, status string, expires timestamp"
+
+
+def remembered(spark):
+    from datetime import datetime
+
+    day = datetime(2024, 1, 1)
+    rows = [("a", "copper lanterns by the harbour", "active"), ("b", "copper mines of the north and their many long tunnels", "active"), ("c", "nothing alike", "active"), ("d", "copper copper", "superseded")]
+    return spark.createDataFrame([(i, n, "LongTermMemoryComponent", ["x"], text, 1.0, day, status, None) for n, (i, text, status) in enumerate(rows)], MEMORY)
+
+
+def asked(spark, budget, **more):
+    from datetime import datetime
+
+    log = spark.createDataFrame([], "component_id string, component_type string, score double, ts timestamp")
+    requests = spark.createDataFrame([(1, "copper lanterns", budget)], "query_id long, query string, token_budget int")
+    return pipelines.retrieve(remembered(spark), requests, log, F.lit(datetime(2024, 1, 2)), **more)
+
+
+def test_retrieval_by_another_counter_does_not_cut_summaries(spark):
+    out = {r["id"]: r for r in asked(spark, 40, count=len, summarize=lambda text, room: text[:12]).collect()}
+    assert (out["a"]["reason"], out["a"]["tokens"]) == ("included", 30)
+    assert out["b"]["reason"] == "summarization_failed_budget" and out["c"]["reason"] == "summarization_failed_budget"
+    out = {r["id"]: r for r in asked(spark, 42, count=len, summarize=lambda text, room: text[:12]).collect()}
+    assert (out["b"]["reason"], out["b"]["tokens"], out["b"]["summary"]) == ("included_summarized", 12, "copper mines")
+
+
+def test_retrieval_by_another_scorer_and_a_summary_that_knows_the_query(spark):
+    def scorer(requests, memory):
+        return requests.select("query_id").join(memory.where("id = 'c'").select("id"), F.lit(True)).withColumn("relevance", F.lit(1.0))
+
+    out = {r["id"]: r for r in asked(spark, 2, scorer=scorer, summarize=lambda text, room, query: f"{query} {text}").collect()}
+    assert out["c"]["rank"] == 1 and out["c"]["reason"] == "included"
+    out = {r["id"]: r for r in asked(spark, 3, summarize=lambda text, room, query: f"{query}: {text}").collect()}
+    assert out["a"]["summary"] == "copper lanterns: copper"
+
+
+def test_retrieval_without_rejected_rows_keeps_the_same_decisions(spark):
+    whole = {(r["id"], r["reason"]) for r in asked(spark, 6).collect()}
+    assert ("d", "lifecycle_superseded") in whole
+    assert {(r["id"], r["reason"]) for r in asked(spark, 6, rejected=False).collect()} == {x for x in whole if x[0] != "d"}
+
+
+def test_context_joins_contents_of_included_rows(spark):
+    found = pipelines.context(asked(spark, 8, rejected=False), remembered(spark)).first()
+    assert found["context"].split("\n\n") == ["copper lanterns by the harbour", "nothing alike"] and found["used_tokens"] == 7
+
+
+def test_an_unknown_tag_mode_is_an_error(spark):
+    df = spark.createDataFrame([(["a"], ["a"], "some")], "tags array<string>, wanted array<string>, mode string")
+    with pytest.raises(Exception, match="unknown tag mode"):
+        df.select(filters.tag_match(F.col("tags"), F.col("wanted"), F.col("mode"))).collect()
+
+
+def test_permutations_of_a_larger_group(spark):
+    from itertools import combinations
+    from math import comb
+
+    scores = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    rows = [(1, i, i % 3 == 0, x) for i, x in enumerate(scores)] + [(2, i, i < 20, 1) for i in range(40)]
+    out = {r["g"]: r for r in stats.permutation_p(spark.createDataFrame(rows, "g int, index int, treated boolean, score long"), ["g"]).collect()}
+    seen = sum(x for i, x in enumerate(scores) if i % 3 == 0)
+    assert out[1]["p"] == pytest.approx(sum(sum(c) >= seen for c in combinations(scores, 4)) / comb(12, 4)) and out[1]["combinations"] == comb(12, 4)
+    assert (out[2]["p"], out[2]["combinations"]) == (1.0, comb(40, 20))
+
+
+def test_interval_of_a_difference_equals_all_resamples(spark):
+    from itertools import product
+
+    left, right = [3, 7, 8], [1, 2, 6, 6]
+    values = [spark.createDataFrame([("g", i, x) for i, x in enumerate(side)], "g string, index int, value long") for side in (left, right)]
+    found = stats.resampled_interval(*values, ["g"]).first()
+    every = sorted(sum(a) / 3 - sum(b) / 4 for a in product(left, repeat=3) for b in product(right, repeat=4))
+    n = len(every)
+    assert found["low"] == pytest.approx(every[-(-25 * n // 1000) - 1]) and found["high"] == pytest.approx(every[-(-975 * n // 1000) - 1])
+
+
+def test_numbers_of_a_large_group_are_gapless(spark):
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 20011).alias("at"))
+    out = rank.numbered(df, "g", "at", "n").toPandas()
+    for _, group in out.groupby("g"):
+        assert list(group.sort_values("at").n) == list(range(len(group)))
+
+
+def test_experiment_finds_arms_that_saw_other_items(spark):
+    cases = spark.createDataFrame([(1, "f", 1, "copper", 9), (2, "f", 2, "copper", 9)], "case_id long, family_id string, ordinal long, prompt string, token_budget int")
+    items = spark.createDataFrame([(c, p, f"i{c}{p}", "copper text", 2, 0.5, {"format": ["format:note"]}) for c in (1, 2) for p in (0, 1)], "case_id long, pos long, item_id string, content string, token_count int, confidence double, metadata map<string, array<string>>")
+    rewards = spark.createDataFrame([("f", 0, "format:note", 1.0), ("f", 0, "format:note", 0.5), ("f", 1, "format:note", 1.0)], "family_id string, ordinal long, target string, reward double")
+    known = {(r["case_id"], r["utility"]) for r in select.prefix_utilities(cases, rewards).collect()}
+    assert known == {(1, 1.5 / 4), (2, 2.5 / 5)}
+    selections, violations = pipelines.experiment(cases, items, rewards, {"confidence": 1.0}, 3)
+    assert selections.count() == 4 * 4 * 3 and violations.isEmpty()
+
+
+def test_feedback_is_appended_and_out_of_range_is_an_error(spark, tmp_path):
+    entry = spark.sql("SELECT 'a' AS component_id, 'T' AS component_type, 0.5D AS score, timestamp'2024-01-01' AS ts")
+    for _ in range(2):
+        tables.append_feedback(entry, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    with pytest.raises(ValueError):
+        tables.append_feedback(entry.withColumn("score", F.lit(2.0)), str(tmp_path / "log"))
+
+
+def test_broken_memory_records_are_told(spark):
+    out = tables.parse_memory(spark.createDataFrame([('{"id": "a", "score": 1}',), ("{broken",), (None,)], "record string")).collect()
+    assert [(r["id"], r["error"]) for r in out] == [("a", None), (None, "broken record"), (None, "broken record")]
