@@ -467,7 +467,8 @@ def score(docs: DataFrame) -> DataFrame:
     rated = parts.select("row", "doc_id", "held_out", "codes").mapInArrow(rate, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
     c, zero = F.col("c"), F.lit(0.0)
     rare = parts.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.count_if(c > 0).alias("more"), F.sum(F.log10((c + 0.1) / F.lit(bottom))).alias("more_base"))
-    branches = branch_gains(parts, crown, root, total).withColumnRenamed("gain", "more_gain")
+    # a table of its own, so that the tokens' shuffle is over before that of the rarer words begins
+    branches = materialise(branch_gains(parts, crown, root, total), "gains").withColumnRenamed("gain", "more_gain")
     base_score = F.col("base") + F.coalesce("more_base", zero)
     out = rated.join(rare, "row", "left").join(branches, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain") + F.coalesce("more_gain", zero)).alias("score"))
