@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from inspect import signature
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +97,9 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
     def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used, chosen, sets = None, 0, 0, []
         for frame in frames:
-            column = dict(zip(frame.schema.names, (c.to_pylist() for c in frame.columns), strict=True))
+            open_ = frame.column("early").is_null()
+            live = frame.filter(open_)
+            column = dict(zip(live.schema.names, (c.to_pylist() for c in live.columns), strict=True))
             reasons, sizes, summaries = [], [], []
             for i, (query, tokens, budget, reason) in enumerate(zip(column["query_id"], column["tokens"], column["token_budget"], column["early"], strict=True)):
                 if query != now:
@@ -126,8 +129,10 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
                 reasons.append(reason)
                 sizes.append(tokens)
                 summaries.append(summary if reason == "included_summarized" else None)
-            included = pa.array([x.startswith("included") for x in reasons])
-            yield pa.RecordBatch.from_arrays([*frame.columns[:3], included, pa.array(reasons, pa.string()), pa.array(sizes, pa.int32()), pa.array(summaries, pa.string())], names=["query_id", "id", "rank", "included", "reason", "tokens", "summary"])
+            nothing = (pa.array([False] * len(frame)), frame.column("early"), frame.column("tokens"), pa.nulls(len(frame), pa.string()))
+            found = (pa.array([x.startswith("included") for x in reasons], pa.bool_()), pa.array(reasons, pa.string()), pa.array(sizes, pa.int32()), pa.array(summaries, pa.string()))
+            decided = [pc.replace_with_mask(before, open_, after) for before, after in zip(nothing, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], *decided], names=["query_id", "id", "rank", "included", "reason", "tokens", "summary"])
 
     more = ["terms"] * (redundancy is not None) + ["content"] * (summarize is not None) + ["query"] * asks
     rows = ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early"), *more)
