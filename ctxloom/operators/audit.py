@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize, normalized_hash
 from .filters import overdue
+from .rank import numbered_in_spans
 
 #: The grammar and vocabularies of reusable features.
 FEATURE = r"^[a-z][a-z0-9_-]*:[a-z0-9][a-z0-9_-]*$"
@@ -84,10 +85,12 @@ def hash_schedule(slots: DataFrame, seed: str, by: list[str] = ("case_id",)) ->
 
 
 def aliases(units: DataFrame, seed: str) -> DataFrame:
-    """units with a block-wise random order (blocks by draw) and an opaque alias."""
+    """units with a block-wise random order (blocks by draw) and an opaque alias. Blocks are numbered by spans of the hash."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), "unit_id"), 256)
     alias = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit("alias"), "unit_id"), 256), 1, 32)
-    return units.withColumn("alias", alias).withColumn("position", F.row_number().over(Window.partitionBy("draw").orderBy(order)))
+    ordered = units.withColumn("alias", alias).withColumn("_order", order)
+    placed = numbered_in_spans(ordered, ["draw"], ["_order"], F.substring("_order", 1, 2), "position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int")).drop("_order")
 
 
 def status(units: DataFrame) -> DataFrame:

@@ -34,18 +34,35 @@ def top_k(df: DataFrame, k: int, by: list[str] = ("query_id",), score: str = "sc
 
 
 def numbered(df: DataFrame, by: str, order: str, name: str, span: int = 4096) -> DataFrame:
-    """Numbers from 0 in each group, by a whole number that orders it, however large a group is.
+    """Numbers from 0 in each group, by a whole number that orders it, however large a group is. Rows equal in `order` may swap their numbers."""
+    return numbered_in_spans(df, [by], [order], F.floor(F.col(order) / span), name)
+
+
+def numbered_in_spans(df: DataFrame, by: list[str], order: list[str], span: Column, name: str) -> DataFrame:
+    """Numbers from 0 in each group, or in all rows; `span` must not fall where `order` rises.
 
     Two steps: rows are numbered inside spans of the order, and the spans' sizes are summed ahead of
-    them. Rows equal in `order` may swap their numbers.
+    them, so that a task holds a span and not a group.
     """
-    dealt = df.withColumn("_span", F.floor(F.col(order) / span))
-    sizes = dealt.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_s")).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("_by").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_by", "_s", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_span").orderBy(order)) - 1)
-    found = inside.join(starts, inside[by].eqNullSafe(starts["_by"]) & inside["_span"].eqNullSafe(starts["_s"]))
-    return found.withColumn(name, F.col("_start") + F.col("_i")).drop("_span", "_by", "_s", "_start", "_i")
+    dealt = df.withColumn("_span", span)
+    groups = {f"_by{i}": c for i, c in enumerate(by)}
+    sizes = dealt.groupBy(*[F.col(c).alias(g) for g, c in groups.items()], F.col("_span").alias("_s")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*groups, "_s", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_span").orderBy(*order)) - 1)
+    same = inside["_span"].eqNullSafe(starts["_s"])
+    for g, c in groups.items():
+        same = same & inside[c].eqNullSafe(starts[g])
+    return inside.join(starts, same).withColumn(name, F.col("_start") + F.col("_i")).drop("_span", "_s", "_start", "_i", *groups)
+
+
+def spans(df: DataFrame, order: list[str], n: int = 256) -> Column:
+    """A column that cuts the order of all rows into some n spans of about equal size: how many of n - 1 rows, drawn by hash, come first."""
+    drawn = df.select(*order).orderBy(F.xxhash64(*order)).limit(n - 1).collect()
+    if not drawn:
+        return F.lit(0)
+    marks = F.array(*[F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for row in drawn])
+    return F.size(F.filter(marks, lambda mark: mark <= F.struct(*order)))
 
 
 def pool_rank(df: DataFrame, by: list[str], value: str, name: str = "normalised") -> DataFrame:

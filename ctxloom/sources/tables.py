@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rank import numbered_in_spans, spans
+
 LIFECYCLE = "kind string, status string, provenance_ids array<string>, supersedes_ids array<string>, contradiction_ids array<string>, expires_at timestamp, confidence double"
 MEMORY = f"schema_version int, id string, type string, tags array<string>, content string, score double, component_data string, memory struct<{LIFECYCLE}>"
 FEEDBACK = "component_id string, component_type string, score double, ts timestamp"
@@ -96,10 +98,10 @@ def append_evidence(log: DataFrame, records: DataFrame) -> DataFrame:
     keys = ["record_type", "record_id"]
     if not records.join(log, keys, "left_semi").isEmpty() or not records.groupBy(keys).count().where("count > 1").isEmpty():
         raise ValueError("duplicate record")
-    # new records are numbered by one ordered window: an append is a small batch against the log
     last = log.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last"))
-    rows = records.withColumn("payload_hash", record_hash(F.col("payload_json"))).withColumn("_n", F.row_number().over(Window.orderBy(*keys)))
-    return rows.join(F.broadcast(last)).withColumn("sequence", F.col("last") + F.col("_n")).drop("_n", "last")
+    rows = records.withColumn("payload_hash", record_hash(F.col("payload_json")))
+    rows = numbered_in_spans(rows, [], keys, spans(records, keys), "_n")
+    return rows.join(F.broadcast(last)).withColumn("sequence", F.col("last") + 1 + F.col("_n")).drop("_n", "last")
 
 
 def decode(payload: Column, field: str, default: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -44,18 +44,20 @@ def live_averages(events: DataFrame, half_life_minutes: float = 60.0) -> DataFra
 
 
 def upsert_sink(path: str):
-    """For foreachBatch: each batch makes a new version of the table; a batch that comes again changes nothing."""
+    """For foreachBatch: each batch adds its last writes to the log at `path`; a batch that comes again replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = f"{path}/version={batch_id}"
-        old = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-        rows = upsert(old, batch) if old is not None else upsert(batch.limit(0), batch)
-        rows.write.mode("overwrite").parquet(done)
+        upsert(batch.limit(0), batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that the log of upsert_sink() stands for. Written as batch=-1 of a new path, it is where a shorter log begins."""
+    rows = spark.read.parquet(path).drop("batch")
+    return upsert(rows.limit(0), rows)
+
+
 def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Events without repeats of an id inside the delay, each with the rules that it breaks."""
     rules = F.array_compact(F.array(F.when(F.col("score").isNull(), "score_missing"), F.when(F.abs("score") > 1, "score_range"), F.when(F.col("component_id") == "", "component_missing")))

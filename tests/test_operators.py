@@ -282,6 +282,15 @@ def test_numbers_of_a_large_group_are_gapless(spark):
         assert list(group.sort_values("at").n) == list(range(len(group)))
 
 
+def test_numbers_of_all_rows_follow_the_order_across_spans(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 7 > 0, (F.col("id") * 7 % 3001).cast("string")).alias("k"), "id")
+    span = rank.spans(df, ["k", "id"], 16)
+    assert 8 < df.select(span).distinct().count() <= 16
+    found = [(r["k"], r["id"]) for r in sorted(rank.numbered_in_spans(df, [], ["k", "id"], span, "n").collect(), key=lambda r: r["n"])]
+    assert found == sorted(found, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert rank.numbered_in_spans(df.limit(0), [], ["k"], rank.spans(df.limit(0), ["k"]), "n").count() == 0
+
+
 def test_experiment_finds_arms_that_saw_other_items(spark):
     cases = spark.createDataFrame([(1, "f", 1, "copper", 9), (2, "f", 2, "copper", 9)], "case_id long, family_id string, ordinal long, prompt string, token_budget int")
     items = spark.createDataFrame([(c, p, f"i{c}{p}", "copper text", 2, 0.5, {"format": ["format:note"]}) for c in (1, 2) for p in (0, 1)], "case_id long, pos long, item_id string, content string, token_count int, confidence double, metadata map<string, array<string>>")

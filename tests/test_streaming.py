@@ -35,7 +35,10 @@ def test_upserts_are_idempotent(spark, folder):
     two = spark.createDataFrame([("a", 5, 2)], one.schema)
     for batch, id_ in ((one, 0), (two, 1), (two, 1)):
         sink(batch, id_)
-    assert {tuple(r) for r in spark.read.parquet(str(folder / "table/version=1")).collect()} == {("a", 1, 2), ("b", 2, 1)}
+    assert {tuple(r) for r in live.upserted(spark, str(folder / "table")).collect()} == {("a", 1, 2), ("b", 2, 1)}
+    live.upserted(spark, str(folder / "table")).write.parquet(str(folder / "short/batch=-1"))
+    live.upsert_sink(str(folder / "short"))(spark.createDataFrame([("b", 9, 3)], one.schema), 2)
+    assert {tuple(r) for r in live.upserted(spark, str(folder / "short")).collect()} == {("a", 1, 2), ("b", 2, 3)}
 
 
 def test_repeated_events_are_dropped(spark, folder):
