@@ -81,8 +81,9 @@ def task_metrics(labelled: DataFrame, outcomes: DataFrame, keys: list[str], thre
     """keys, metric, value, reason in long form.
 
     labelled (keys, item_id, label, selected, tokens) has every candidate; outcomes (keys, quality,
-    success, scored, critical, severe, corrections, input_tokens, output_tokens, latency_ms). A
-    task that failed or wasn't scored has quality 0; a ratio without denominator has a reason.
+    success, scored, critical, severe, corrections, input_tokens, output_tokens, latency_ms,
+    selector_ms, and cost where tokens have prices). A task that failed or wasn't scored has quality
+    0; a ratio without denominator, and a cost without prices, has a reason.
     """
     chosen = F.col("selected")
     sums = [F.count_if(chosen).alias("n_selected"), F.sum(F.when(chosen, F.col("tokens")).otherwise(0)).alias("selected_context_tokens")]
@@ -106,13 +107,15 @@ def task_metrics(labelled: DataFrame, outcomes: DataFrame, keys: list[str], thre
         "provider_input_tokens": F.col("input_tokens"),
         "provider_output_tokens": F.col("output_tokens"),
         "provider_latency_ms": F.col("latency_ms"),
+        "selector_latency_ms": F.col("selector_ms"),
+        "estimated_cost": F.col("cost") if "cost" in outcomes.columns else F.lit(None),
         "pass": F.col("scored") & (quality >= threshold) & ~F.col("critical") if threshold is not None else F.lit(None),
     }
     for name, labels, bottom in RATIOS:
         top = sum((F.col(f"s_{label}") for label in labels[1:]), F.col(f"s_{labels[0]}"))
         values[name] = F.when(below[bottom] > 0, top / below[bottom])
     wide = x.select(*keys, *[v.cast("double").alias(n) for n, v in values.items()])
-    reason = F.when(F.col("value").isNull(), F.when(F.col("metric") == "pass", "pass_threshold_not_supplied").otherwise("undefined_zero_denominator"))
+    reason = F.when(F.col("value").isNull(), F.when(F.col("metric") == "pass", "pass_threshold_not_supplied").when(F.col("metric") == "estimated_cost", "pricing_not_supplied").otherwise("undefined_zero_denominator"))
     return wide.unpivot(keys, list(values), "metric", "value").withColumn("reason", reason)
 
 

@@ -2,36 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import numbered_in_spans, spans
 
 #: Counts of resamples, and the largest n whose n^n they hold.
 WAYS, MOST_RESAMPLED = "decimal(38,0)", 26
 
 
-def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = ()) -> DataFrame:
-    """tests (name, p) with Holm's adjusted p and rejection, which stops at the first failure."""
-    order = Window.partitionBy(*by).orderBy("p", "name")
-    m = F.count("*").over(Window.partitionBy(*by))
-    ranked = tests.withColumn("r", F.row_number().over(order)).withColumn("m", m)
-    scaled = F.least(F.lit(1.0), (F.col("m") - F.col("r") + 1) * F.col("p"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.when(F.col("p") <= alpha / (F.col("m") - F.col("r") + 1), 1).otherwise(0)
-    return ranked.select(*by, "name", "p", "r", F.max(scaled).over(running).alias("adjusted"), (F.min(ok).over(running) == 1).alias("rejected"))
-
+def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = (), few: bool = False) -> DataFrame:
+    """tests (name, p) with Holm's adjusted p and rejection, which stops at the first failure.
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
+    Tests are ranked and their running figures taken by spans of (p, name), so that a task holds a
+    span and not a group. `few`: a group's tests are few by nature, and one window does.
+    """
+    by, order = list(by), ["p", "name"]
+    if few:
+        whole = Window.partitionBy(*by)
+        running = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = tests.withColumn("r", F.row_number().over(whole.orderBy(*order))).withColumn("_left", F.count("*").over(whole) - F.col("r") + 1)
+        failed = F.when(F.col("p") <= alpha / F.col("_left"), 0).otherwise(1)
+        return ranked.select(*by, "name", "p", "r", F.max(F.least(F.lit(1.0), F.col("_left") * F.col("p"))).over(running).alias("adjusted"), (F.max(failed).over(running) == 0).alias("rejected"))
+    ranked = numbered_in_spans(tests.withColumn("_at", spans(tests, order)), by, order, F.col("_at"), "_n").withColumn("r", (F.col("_n") + 1).cast("int"))
+    ranked = _beside(ranked, ranked.groupBy(*by).agg(F.count("*").alias("m")), by)
+    left = F.col("m") - F.col("r") + 1
+    ranked = ranked.withColumn("_scaled", F.least(F.lit(1.0), left * F.col("p"))).withColumn("_ok", F.when(F.col("p") <= alpha / left, 1).otherwise(0))
+    ahead = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranked.groupBy(*by, "_at").agg(F.max("_scaled").alias("_most"), F.min("_ok").alias("_all"))
+    parts = parts.select(*by, "_at", F.max("_most").over(ahead).alias("_most"), F.min("_all").over(ahead).alias("_all"))
+    running = Window.partitionBy(*by, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = _beside(ranked, parts, [*by, "_at"])
+    adjusted = F.greatest(F.max("_scaled").over(running), "_most")
+    return both.select(*by, "name", "p", "r", adjusted.alias("adjusted"), (F.least(F.min("_ok").over(running), "_all") == 1).alias("rejected"))
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their group; nulls are a group."""
+    if not by:
+        return rows.join(F.broadcast(groups))  # one row
+    renamed = groups.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(by)})
+    same = reduce(Column.__and__, (rows[c].eqNullSafe(renamed[f"_of_{i}"]) for i, c in enumerate(by)))
+    return rows.join(renamed, same).drop(*(f"_of_{i}" for i in range(len(by))))
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, p: float, few: bool = False) -> DataFrame:
     """The ceil(p n)-th smallest value of each group; values are counted before they meet."""
-    return weighted_nearest_rank(df.withColumn("_w", F.lit(1)), by, value, "_w", p, 1e-12)
+    return weighted_nearest_rank(df.withColumn("_w", F.lit(1)), by, value, "_w", p, 1e-12, few)
 
 
-def weighted_nearest_rank(df: DataFrame, by: list[str], value: str, weight: str, p: float, slack: float = 1e-9) -> DataFrame:
-    """The least value up to which a share of p of the group's weight lies; null values are left out."""
+def weighted_nearest_rank(df: DataFrame, by: list[str], value: str, weight: str, p: float, slack: float = 1e-9, few: bool = False) -> DataFrame:
+    """The least value up to which a share of p of the group's weight lies; null values are left out.
+
+    The span of values in which a group's percentile lies is found from the weights of spans, and
+    only its values are summed up one by one. `few`: a group's values are few by nature, and one
+    window does.
+    """
+    by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sums = counts.withColumn("_c", F.sum("_w").over(order)).withColumn("_n", F.sum("_w").over(Window.partitionBy(*by)))
-    return sums.where(F.col("_c") >= p * F.col("_n") - slack).groupBy(*by).agg(F.min(value).alias("percentile"))
+    if few:
+        running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        sums = counts.withColumn("_c", F.sum("_w").over(running)).withColumn("_need", p * F.sum("_w").over(Window.partitionBy(*by)) - slack)
+        return sums.where(F.col("_c") >= F.col("_need")).groupBy(*by).agg(F.min(value).alias("percentile"))
+    counts = counts.withColumn("_at", spans(counts, [value]))
+    ahead = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*by, "_at").agg(F.sum("_w").alias("_part"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_part").over(ahead), F.lit(0))).withColumn("_need", p * F.sum("_part").over(Window.partitionBy(*by)) - slack)
+    reached = parts.where(F.col("_before") + F.col("_part") >= F.col("_need"))
+    first = reached.groupBy(*by).agg(F.min(F.struct("_at", "_before", "_need")).alias("_f")).select(*by, "_f.*")
+    inside = Window.partitionBy(*by, "_at").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sums = _beside(counts, first, [*by, "_at"]).withColumn("_c", F.col("_before") + F.sum("_w").over(inside))
+    return sums.where(F.col("_c") >= F.col("_need")).groupBy(*by).agg(F.min(value).alias("percentile"))
 
 
 def hex_mod(digest: Column, n: Column) -> Column:
@@ -103,7 +146,7 @@ def resampled_interval(left: DataFrame, right: DataFrame, by: list[str], low: fl
     difference = F.col("tl") * F.col("nr") - F.col("tr") * F.col("nl")
     spread = both.groupBy(*by, (F.col("nl") * F.col("nr")).alias("_scale"), difference.alias("_d")).agg(F.sum(F.col("wl") * F.col("wr")).alias("_w"))
     share = spread.withColumn("_w", F.col("_w") / F.sum("_w").over(Window.partitionBy(*by)))
-    ends = [weighted_nearest_rank(share, by, "_d", "_w", p).withColumnRenamed("percentile", name) for name, p in (("low", low), ("high", high))]
+    ends = [weighted_nearest_rank(share, by, "_d", "_w", p, few=True).withColumnRenamed("percentile", name) for name, p in (("low", low), ("high", high))]
     scale = spread.groupBy(*by).agg(F.first("_scale").alias("_scale"))
     return ends[0].join(ends[1], by).join(scale, by).select(*by, (F.col("low") / F.col("_scale")).alias("low"), (F.col("high") / F.col("_scale")).alias("high"))
 

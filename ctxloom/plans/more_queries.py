@@ -231,22 +231,24 @@ def _task_metrics(v: Views) -> DataFrame:
     items = v.table("lineitem").join(v.table("orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", label.alias("label"), (F.col("l_returnflag") == "R").alias("selected"), F.col("l_quantity").cast("long").alias("tokens"))
     o = v.table("orders")
     key = F.col("o_orderkey")
-    outcomes = o.select("o_orderkey", (key % 100 / 100.0).alias("quality"), (key % 10 > 0).alias("success"), (key % 7 > 0).alias("scored"), (key % 13 == 0).alias("critical"), (key % 17 == 0).alias("severe"), (key % 3).alias("corrections"), (key % 1000).alias("input_tokens"), (key % 100).alias("output_tokens"), (key % 50).cast("double").alias("latency_ms"))
+    outcomes = o.select("o_orderkey", (key % 100 / 100.0).alias("quality"), (key % 10 > 0).alias("success"), (key % 7 > 0).alias("scored"), (key % 13 == 0).alias("critical"), (key % 17 == 0).alias("severe"), (key % 3).alias("corrections"), (key % 1000).alias("input_tokens"), (key % 100).alias("output_tokens"), (key % 50).cast("double").alias("latency_ms"), (key % 20).alias("selector_ms"), (key % 1000 / 1000.0).alias("cost"))
     return report.task_metrics(items, outcomes, ["o_orderkey"], 0.5)
 
 
-@query(f"""WITH x AS (SELECT o_orderkey AS k, count_if(selected) AS n, sum(CASE WHEN selected THEN tokens ELSE 0 END) AS t, count_if(label = 'required') AS nr, count_if(label = 'useful') AS nu, count_if(selected AND label = 'required') AS sr, count_if(selected AND label = 'useful') AS su, count_if(selected AND label = 'misleading') AS sm, count_if(selected AND label = 'irrelevant') AS si FROM {SQL_ITEM} GROUP BY 1)
- SELECT k AS o_orderkey, metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'undefined_zero_denominator' END AS reason FROM (
- SELECT k, unnest(['task_quality','execution_success','scored_outcome','critical_scoring_failure','severe_scoring_failure','correction_count','correction_required','selected_context_tokens','misleading_selected_count','irrelevant_selected_count','provider_input_tokens','provider_output_tokens','provider_latency_ms','pass','context_precision','context_recall','required_context_recall','misleading_selected_rate','irrelevant_selected_rate']) AS metric,
- unnest([q, CAST(k % 10 > 0 AS DOUBLE), CAST(k % 7 > 0 AS DOUBLE), CAST(k % 13 = 0 AS DOUBLE), CAST(k % 17 = 0 AS DOUBLE), k % 3, CAST(k % 3 > 0 AS DOUBLE), t, sm, si, k % 1000, k % 100, k % 50, CAST(k % 7 > 0 AND q >= 0.5 AND k % 13 > 0 AS DOUBLE), CASE WHEN n > 0 THEN (sr + su) / n END, CASE WHEN nr + nu > 0 THEN (sr + su) / (nr + nu) END, CASE WHEN nr > 0 THEN sr / nr END, CASE WHEN n > 0 THEN sm / n END, CASE WHEN n > 0 THEN si / n END]::DOUBLE[]) AS value
- FROM (SELECT *, CASE WHEN k % 10 > 0 AND k % 7 > 0 THEN (k % 100) / 100.0 ELSE 0 END AS q FROM x))""")
+SQL_TASKS = f"""WITH x AS (SELECT o_orderkey AS k, count_if(selected) AS n, sum(CASE WHEN selected THEN tokens ELSE 0 END) AS t, count_if(label = 'required') AS nr, count_if(label = 'useful') AS nu, count_if(selected AND label = 'required') AS sr, count_if(selected AND label = 'useful') AS su, count_if(selected AND label = 'misleading') AS sm, count_if(selected AND label = 'irrelevant') AS si FROM {SQL_ITEM} GROUP BY 1), tasks AS (
+ SELECT k, unnest(['task_quality','execution_success','scored_outcome','critical_scoring_failure','severe_scoring_failure','correction_count','correction_required','selected_context_tokens','misleading_selected_count','irrelevant_selected_count','provider_input_tokens','provider_output_tokens','provider_latency_ms','selector_latency_ms','estimated_cost','pass','context_precision','context_recall','required_context_recall','misleading_selected_rate','irrelevant_selected_rate']) AS metric,
+ unnest([q, CAST(k % 10 > 0 AS DOUBLE), CAST(k % 7 > 0 AS DOUBLE), CAST(k % 13 = 0 AS DOUBLE), CAST(k % 17 = 0 AS DOUBLE), k % 3, CAST(k % 3 > 0 AS DOUBLE), t, sm, si, k % 1000, k % 100, k % 50, k % 20, k % 1000 / 1000.0, CAST(k % 7 > 0 AND q >= 0.5 AND k % 13 > 0 AS DOUBLE), CASE WHEN n > 0 THEN (sr + su) / n END, CASE WHEN nr + nu > 0 THEN (sr + su) / (nr + nu) END, CASE WHEN nr > 0 THEN sr / nr END, CASE WHEN n > 0 THEN sm / n END, CASE WHEN n > 0 THEN si / n END]::DOUBLE[]) AS value
+ FROM (SELECT *, CASE WHEN k % 10 > 0 AND k % 7 > 0 THEN (k % 100) / 100.0 ELSE 0 END AS q FROM x))"""
+
+
+@query(f"{SQL_TASKS} SELECT k AS o_orderkey, metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'undefined_zero_denominator' END AS reason FROM tasks")
 def a11_task_metrics(v: Views) -> DataFrame:
     return _task_metrics(v).withColumn("value", F.round("value", 6))
 
 
-@query(f"SELECT metric, value FROM (SELECT 'context_precision' AS metric, CAST(NULL AS DOUBLE) AS value) WHERE EXISTS (SELECT 1 FROM (SELECT o_orderkey, count_if(selected) AS n FROM {SQL_ITEM} GROUP BY 1) WHERE n = 0) UNION ALL SELECT 'provider_output_tokens', round(avg(o_orderkey % 100), 6) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@query(f"{SQL_TASKS} SELECT metric, CASE WHEN count(value) = count(*) THEN round(avg(value), 6) END AS value FROM tasks GROUP BY 1")
 def a12_strict_mean(v: Views) -> DataFrame:
-    return _task_metrics(v).where(F.col("metric").isin("context_precision", "provider_output_tokens")).groupBy("metric").agg(F.round(report.strict_mean(), 6).alias("value"))
+    return _task_metrics(v).groupBy("metric").agg(F.round(report.strict_mean(), 6).alias("value"))
 
 
 @query(with_views(f"SELECT 'a' AS arm_id, 1 AS repetition, family_id, CAST(sum(n) AS BIGINT) AS events, CAST(count_if(n >= 2) AS BIGINT) AS active, CAST(count_if(n < 2) AS BIGINT) AS inactive FROM (SELECT family_id, target, count(*) AS n FROM {SQL_REWARDS} GROUP BY 1, 2) GROUP BY 3", fb_items=views.FB_ITEMS))

@@ -651,7 +651,7 @@ def n1_bootstrap(v: Views) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     values = v.table("events").select("user_id", place.alias("index"), "value")
-    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975).withColumn("percentile", F.round("percentile", 6))
+    return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975, few=True).withColumn("percentile", F.round("percentile", 6))
 
 
 def sql_sums(most: int) -> str:

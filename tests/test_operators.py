@@ -129,6 +129,23 @@ def test_holm_stops_at_the_first_failure(spark):
     assert out["b"]["adjusted"] == pytest.approx(0.06)
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_spans_of_the_order_give_the_same_ranks(spark, by):
+    rows = [(None if i % 5 == 0 else f"g{i % 2}", f"n{i}", (i * 37 % 101) / 4000, i % 7) for i in range(300)]
+    tests = spark.createDataFrame(rows, "g string, name string, p double, v int")
+    plain = {r["name"]: tuple(r) for r in stats.holm(tests, by=by, few=True).collect()}
+    assert {r["name"]: tuple(r) for r in stats.holm(tests, by=by).collect()} == plain and len(plain) == 300
+    assert {x[-1] for x in plain.values()} == {True, False}
+    groups = {}
+    for g, _, p, v in rows:
+        groups.setdefault(g if by else None, []).append((p, v))
+    for share in (0.0, 0.9):
+        found = {r["g"] if by else None: r["percentile"] for r in stats.weighted_nearest_rank(tests, by, "p", "v", share).collect()}
+        for g, own in groups.items():
+            own.sort()
+            assert found[g] == next(p for i, (p, _) in enumerate(own) if sum(v for q, v in own if q <= p) >= share * sum(v for _, v in own) - 1e-9)
+
+
 def test_features(spark):
     made = spark.createDataFrame([("scope:local",), ("tag:gold",), ("x:y",), ("Tag:y",), ("tag:a-id",)], "f string").select("f", audit.feature_reason(F.col("f")).alias("r"))
     assert {r["f"]: r["r"] for r in made.collect()} == {"scope:local": None, "tag:gold": "reserved_vocabulary", "x:y": "namespace", "Tag:y": "grammar", "tag:a-id": "identity_vocabulary"}
