@@ -13,12 +13,16 @@ from ..sources.tables import upsert
 
 
 class DecayedAverage(StatefulProcessor):
-    """State: the weighted sums as of the newest event; the ratio doesn't depend on when it is read."""
+    """State: the weighted sums as of the newest event; the ratio doesn't depend on when it is read.
 
-    def __init__(self, half_life_minutes: float = 60.0) -> None:
-        self.half_life = half_life_minutes * 60.0
+    With `forget_seconds`, a component is forgotten once the watermark is so far beyond its newest event.
+    """
+
+    def __init__(self, half_life_minutes: float = 60.0, forget_seconds: float | None = None) -> None:
+        self.half_life, self.forget = half_life_minutes * 60.0, forget_seconds
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("sums", "weighted double, weight double, entries long, anchor double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -32,15 +36,34 @@ class DecayedAverage(StatefulProcessor):
             own = 0.5 ** ((newest - at) / self.half_life)
             weighted, weight, entries, anchor = weighted + float((own * frame["score"]).sum()), weight + float(own.sum()), entries + len(frame), newest
         self.state.update((weighted, weight, entries, anchor))
+        if self.forget is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # a batch of late events alone must not set a timer that is over already
+            self.handle.registerTimer(max(int((anchor + self.forget) * 1000), timer_values.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame({"component_id": [key[0]], "average": [weighted / weight if weight > 0 else 0.0], "entries": [entries]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"component_id": [key[0]], "average": [None], "entries": [0]}).astype({"average": "float64"})
+
     def close(self) -> None:
         pass
 
 
-def live_averages(events: DataFrame, half_life_minutes: float = 60.0) -> DataFrame:
-    """A stream of (component_id, average, entries) after each batch; late events only weigh less."""
-    return events.groupBy("component_id").transformWithStateInPandas(statefulProcessor=DecayedAverage(half_life_minutes), outputStructType="component_id string, average double, entries long", outputMode="Update", timeMode="None")
+def live_averages(events: DataFrame, half_life_minutes: float = 60.0, forget_after_minutes: float | None = None, delay: str = "1 hour") -> DataFrame:
+    """A stream of (component_id, average, entries) after each batch.
+
+    Without `forget_after_minutes` late events only weigh less, and every component stays. With it,
+    a component is forgotten when the watermark (`delay` behind the newest event of all) is so many
+    minutes beyond its own newest event; it then gives a row with a null average and no entries, and
+    events later than the watermark are left out.
+    """
+    out = {"outputStructType": "component_id string, average double, entries long", "outputMode": "Update"}
+    if forget_after_minutes is None:
+        return events.groupBy("component_id").transformWithStateInPandas(statefulProcessor=DecayedAverage(half_life_minutes), timeMode="None", **out)
+    forgetful = DecayedAverage(half_life_minutes, forget_after_minutes * 60.0)
+    return events.withWatermark("ts", delay).groupBy("component_id").transformWithStateInPandas(statefulProcessor=forgetful, timeMode="EventTime", **out)
 
 
 def upsert_sink(path: str):

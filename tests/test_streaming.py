@@ -59,3 +59,15 @@ def test_live_averages_equal_the_batch(spark, folder):
     batch = decayed_average(spark.read.parquet(str(folder / "in")), "component_id", F.lit("2024-01-02").cast("timestamp"))
     for r in batch.collect():
         assert last[r["component_id"]] == (r["entries"], pytest.approx(r["average"]))
+
+
+def test_silent_components_are_forgotten(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = datetime(2024, 1, 1)
+    for hour, name in ((0, "a"), (1, "b"), (30, "b"), (31, "b"), (32, "a")):
+        spark.createDataFrame([(hour, name, 0.5, start + timedelta(hours=hour))], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = live.live_averages(stream(spark, tmp_path), forget_after_minutes=120, delay="1 minute").writeStream.format("memory").queryName("forgetful").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    finish(query)
+    seen = [(r["component_id"], r["entries"], r["average"]) for r in spark.table("forgetful").collect()]
+    assert ("a", 0, None) in seen  # forgotten in the meantime, and known again since
+    assert seen.count(("a", 1, 0.5)) == 2 and ("a", 2, 0.5) not in seen
