@@ -601,6 +601,17 @@ def s7_encode_record(v: Views) -> DataFrame:
     return made.select("id", "content", "tag", F.get_json_object("data", "$.seq").cast("long").alias("seq"))
 
 
+@query(with_views("SELECT id, CASE WHEN seq % 4 = 0 THEN content WHEN type = 'TaskSummaryComponent' THEN 'Task ' || seq || ': ' || content WHEN type = 'UserProfileComponent' THEN tag1 || ' profile' ELSE content END AS content, CASE WHEN seq % 4 = 0 THEN score WHEN type = 'TaskSummaryComponent' THEN seq / 8.0 WHEN type = 'UserProfileComponent' THEN 1.0 ELSE score END::DOUBLE AS score FROM memory", memory=views.MEMORY))
+def s7_typed_codecs(v: Views) -> DataFrame:
+    """Records by the codecs of two types; every fourth payload is broken."""
+    records = tables.parse_memory(bundles.encode(v.memory(), ["seq", "content", "tag1"]))
+    broken = F.substring_index("id", "-", -1).cast("long") % 4 == 0
+    records = records.withColumn("component_data", F.when(broken, "{broken").otherwise(F.col("component_data")))
+    task = bundles.Codec("seq long, content string", lambda p: F.concat(F.lit("Task "), p.seq.cast("string"), F.lit(": "), p.content), lambda p: p.seq / 8.0)
+    profile = bundles.Codec("tag1 string", lambda p: F.concat(p.tag1, F.lit(" profile")), lambda p: F.when(p.tag1.isNotNull(), 1.0))
+    return bundles.typed(records, {"TaskSummaryComponent": task, "UserProfileComponent": profile}).select("id", "content", "score")
+
+
 @query(with_views("SELECT component_id, CASE WHEN event_id % 4 = 0 THEN 'Unknown' ELSE component_type END AS component_type, round(score, 6) AS score, event_id % 4 > 0 AS dated FROM feedback", feedback=views.FEEDBACK))
 def s8_feedback_log(v: Views) -> DataFrame:
     """Entries as a log keeps them, every fourth a bare number."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVALUATION = "name string, cases array<struct<id: string, query: string, relevant_ids: array<string>, excluded_ids: array<string>, relevance: map<string, double>>>"
@@ -47,3 +50,26 @@ def encode(memory: DataFrame, payload: list[str]) -> DataFrame:
     """Memory records as JSON lines: fixed fields and the type's own as a payload."""
     fields = [F.lit(1).alias("schema_version"), "id", "type", "tags", "content", "score", F.to_json(F.struct(*payload)).alias("component_data")]
     return memory.select("id", F.to_json(F.struct(*fields)).alias("record"))
+
+
+@dataclass(frozen=True)
+class Codec:
+    """How records of one type are read from their payload: its schema, and columns made of it."""
+
+    schema: str
+    content: Callable[[Column], Column]
+    score: Callable[[Column], Column]
+
+
+def typed(records: DataFrame, codecs: dict[str, Codec]) -> DataFrame:
+    """Records (type, content, score, component_data) with content and score by the codec of their type.
+
+    Types without a codec keep theirs, as do records whose payload is missing or broken.
+    """
+    if not all(codecs):
+        raise ValueError("a codec needs the name of a type")
+    content, score = F.col("content"), F.col("score")
+    for name, codec in codecs.items():
+        payload = F.when(F.col("type") == name, F.from_json("component_data", codec.schema))
+        content, score = F.coalesce(codec.content(payload), content), F.coalesce(codec.score(payload), score)
+    return records.withColumns({"content": content, "score": score})

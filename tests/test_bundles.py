@@ -31,3 +31,11 @@ def test_records(spark):
     rows = spark.createDataFrame([("a", "T", ["t"], "c", 1.0, "s")], "id string, type string, tags array<string>, content string, score double, source string")
     record = json.loads(bundles.encode(rows, ["source"]).first()["record"])
     assert record["id"] == "a" and json.loads(record["component_data"]) == {"source": "s"}
+
+
+def test_codecs_leave_broken_payloads_and_other_types(spark):
+    rows = spark.createDataFrame([("T", "c", 1.0, '{"n": 4}'), ("T", "c", 1.0, "{no"), ("T", "c", 1.0, None), ("U", "c", 1.0, '{"n": 4}')], "type string, content string, score double, component_data string")
+    codec = bundles.Codec("n int", lambda p: p.n.cast("string"), lambda p: p.n * 0.5)
+    assert [(r["content"], r["score"]) for r in bundles.typed(rows, {"T": codec}).collect()] == [("4", 2.0), ("c", 1.0), ("c", 1.0), ("c", 1.0)]
+    with pytest.raises(ValueError):
+        bundles.typed(rows, {"": codec})
