@@ -1,4 +1,4 @@
-"""Exact small-sample statistics, enumerated by Spark."""
+"""Corrections for many tests, percentiles, bootstraps and the gates of an experiment."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from .rank import numbered_in_spans, spans
 
-#: Counts of resamples, and the largest n whose n^n they hold.
-WAYS, MOST_RESAMPLED = "decimal(38,0)", 26
-
 
 def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = (), few: bool = False) -> DataFrame:
     """tests (name, p) with Holm's adjusted p and rejection, which stops at the first failure.
@@ -91,94 +88,46 @@ def bootstrap(values: DataFrame, by: list[str], draws: int, domain: str = "boots
     return picked.join(values.withColumn("index", F.col("index").cast("long")), [*by, "index"]).groupBy(*by, "draw").agg(F.avg("value").alias("mean"))
 
 
-def permutation_p(values: DataFrame, by: list[str]) -> DataFrame:
-    """Exact one-sided p of a difference of means for groups (by, index, treated, score as an integer); ties are extreme.
+def validity_gate(units: DataFrame, least_valid: int | None = None, least_per_cell: int | None = None, by: list[str] = (), most_missing: int = 3) -> DataFrame:
+    """valid units in all, the fewest of a cell, and whether scores may be looked at; one row, or one for each group of `by`.
 
-    Ways to choose are counted by (chosen so far, their sum), one value at a time, so that rows grow
-    with distinct sums and not with 2^n. A group of more than 120 rows is an error: its counts can
-    have more than 38 digits.
-    """
-    sizes = values.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("treated").cast("int")).alias("k"), F.sum(F.when(F.col("treated"), F.col("score")).otherwise(0)).alias("seen"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    if most > 120:
-        raise OverflowError(f"a group of {most} rows has more choices than 38 digits count; at most 120 rows")
-    now = sizes.select(*by, "k", "seen", F.lit(0).alias("taken"), F.lit(0).cast("long").alias("total"), F.lit(1).cast(WAYS).alias("ways"))
-    for step in range(most):
-        here = values.where(F.col("index") == step).select(*by, F.col("score").cast("long").alias("score"))
-        both = now.join(here, by, "left").withColumn("_more", F.explode(F.when(F.col("score").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-        taken, total = F.col("taken") + F.col("_more"), F.col("total") + F.coalesce("score", F.lit(0)) * F.col("_more")
-        now = both.where(taken <= F.col("k")).groupBy(*by, "k", "seen", taken.alias("_taken"), total.alias("_total")).agg(F.sum("ways").cast(WAYS).alias("ways")).withColumnRenamed("_taken", "taken").withColumnRenamed("_total", "total")
-    done = now.where(F.col("taken") == F.col("k")).groupBy(*by)
-    extreme = F.sum(F.when(F.col("total") >= F.col("seen"), F.col("ways")).otherwise(0))
-    return done.agg((extreme.cast("double") / F.sum("ways").cast("double")).alias("p"), F.sum("ways").cast("long").alias("combinations"))
-
-
-def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
-    """Histogram of the sums of all n^n resamples of each group (by, index, value): by, total, ways.
-
-    Sums are added one draw at a time, so that rows grow with distinct sums and not with n^n. ways
-    has 38 digits; a group of more than MOST_RESAMPLED rows has more ways than that and is an error.
-    """
-    sizes = values.groupBy(*by).agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    if most > MOST_RESAMPLED:
-        raise OverflowError(f"a group of {most} rows has more resamples than 38 digits count; at most {MOST_RESAMPLED} rows")
-    now = sizes.select(*by, "n", F.lit(0).cast("long").alias("total"), F.lit(1).cast(WAYS).alias("ways"))
-    own = values.join(sizes, by).select(*by, "n", F.col("value").cast("long").alias("value"))
-    none = sizes.select(*by, "n", F.lit(0).cast("long").alias("value"))
-    for step in range(most):  # a group that has had its draws adds nothing, so that each step stands once in the plan
-        drawn = own.where(F.col("n") > step).unionByName(none.where(F.col("n") <= step)).drop("n")
-        now = now.join(drawn, by).groupBy(*by, "n", (F.col("total") + F.col("value")).alias("sum")).agg(F.sum("ways").cast(WAYS).alias("ways")).withColumnRenamed("sum", "total")
-    return now
-
-
-def resampled_interval(left: DataFrame, right: DataFrame, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """by, low, high: percentiles of the difference of means (left - right) over all pairs of resamples of both groups.
-
-    left and right are values (by, index, value as an integer). Histograms of sums meet, not resamples;
-    a group without rows on one side gives none.
+    units (by, cell_id, valid). Without `least_valid` all but `most_missing` units must be valid, and
+    without `least_per_cell` all but one of each cell.
     """
-    sums = []
-    for side, values in (("l", left), ("r", right)):
-        sums.append(resampled_means(values, by).select(*by, F.col("n").alias(f"n{side}"), F.col("total").alias(f"t{side}"), F.col("ways").cast("double").alias(f"w{side}")))
-    both = sums[0].join(sums[1], by)
-    # the difference on a whole-number scale, so that equal ones are one value
-    difference = F.col("tl") * F.col("nr") - F.col("tr") * F.col("nl")
-    spread = both.groupBy(*by, (F.col("nl") * F.col("nr")).alias("_scale"), difference.alias("_d")).agg(F.sum(F.col("wl") * F.col("wr")).alias("_w"))
-    share = spread.withColumn("_w", F.col("_w") / F.sum("_w").over(Window.partitionBy(*by)))
-    ends = [weighted_nearest_rank(share, by, "_d", "_w", p, few=True).withColumnRenamed("percentile", name) for name, p in (("low", low), ("high", high))]
-    scale = spread.groupBy(*by).agg(F.first("_scale").alias("_scale"))
-    return ends[0].join(ends[1], by).join(scale, by).select(*by, (F.col("low") / F.col("_scale")).alias("low"), (F.col("high") / F.col("_scale")).alias("high"))
+    cells = units.groupBy(*by, "cell_id").agg(F.count_if("valid").alias("v"), F.count("*").alias("n"))
+    whole = F.sum("v") >= (F.sum("n") - most_missing if least_valid is None else F.lit(least_valid))
+    full = F.bool_and(F.col("v") >= F.col("n") - 1) if least_per_cell is None else F.min("v") >= least_per_cell
+    return cells.groupBy(*by).agg(F.sum("v").alias("valid"), F.min("v").alias("fewest"), (whole & full).alias("execution_valid"))
 
 
-def validity_gate(units: DataFrame, least_valid: int, least_per_cell: int) -> DataFrame:
-    """One row: valid units in all, the fewest of a cell, and whether scores may be looked at."""
-    cells = units.groupBy("cell_id").agg(F.count_if("valid").alias("v"))
-    return cells.agg(F.sum("v").alias("valid"), F.min("v").alias("fewest"), ((F.sum("v") >= least_valid) & (F.min("v") >= least_per_cell)).alias("execution_valid"))
+COMPARATORS = ("withheld", "stale")
 
 
-def family_effects(values: DataFrame, planned: int, threshold: float) -> DataFrame:
-    """family, observed and worst-case deltas to both comparators, and material_pass, of values (family, arm, score).
+def family_effects(values: DataFrame, planned: int | None = None, threshold: float = 0.2, by: list[str] = ()) -> DataFrame:
+    """by, family, observed and worst-case deltas to both comparators, and material_pass, of values (by, family, arm, score).
 
-    In the worst case a missing draw of the correct arm scores 0 and one of a comparator 1.
+    In the worst case a missing draw of the correct arm scores 0 and one of a comparator 1. `planned`
+    draws of each arm, or as many as it has rows: a row without a score is then a missing draw. An arm
+    without scores has no deltas, and its family no pass.
     """
-    arms = {}
-    for arm in ("correct", "withheld", "stale"):
+    sides = []
+    for arm in ("correct", *COMPARATORS):
         own = F.when(F.col("arm") == arm, F.col("score"))
-        arms[arm] = (F.sum(own), F.count(own), F.avg(own))
-    per = values.groupBy("family").agg(*[c.alias(f"{n}_{arm}") for arm, cs in arms.items() for n, c in zip(("sum", "n", "mean"), cs, strict=True)])
-    out = per
-    for arm in ("withheld", "stale"):
+        n = F.count(F.when(F.col("arm") == arm, 1)) if planned is None else F.lit(planned)
+        sides += [F.sum(own).alias(f"sum_{arm}"), F.count(own).alias(f"n_{arm}"), F.avg(own).alias(f"mean_{arm}"), n.alias(f"planned_{arm}")]
+    out = values.groupBy(*by, "family").agg(*sides)
+    enough = F.col("n_correct") == F.col("planned_correct")
+    for arm in COMPARATORS:
         out = out.withColumn(f"observed_{arm}", F.col("mean_correct") - F.col(f"mean_{arm}"))
-        out = out.withColumn(f"worst_{arm}", (F.col("sum_correct") - F.col(f"sum_{arm}") - (planned - F.col(f"n_{arm}"))) / planned)
-    enough = F.col("n_correct") == planned
-    for name in ("observed_withheld", "observed_stale", "worst_withheld", "worst_stale"):
+        most = F.col(f"sum_{arm}") + F.col(f"planned_{arm}") - F.col(f"n_{arm}")
+        out = out.withColumn(f"worst_{arm}", F.try_divide("sum_correct", "planned_correct") - F.try_divide(most, F.col(f"planned_{arm}")))
+    for name in (f"{kind}_{arm}" for kind in ("observed", "worst") for arm in COMPARATORS):
         enough = enough & (F.col(name) >= threshold - 1e-9)
-    return out.select("family", "observed_withheld", "observed_stale", "worst_withheld", "worst_stale", enough.alias("material_pass"))
+    return out.select(*by, "family", *(f"{kind}_{arm}" for kind in ("observed", "worst") for arm in COMPARATORS), F.coalesce(enough, F.lit(False)).alias("material_pass"))
 
 
-def verdict(families: DataFrame) -> DataFrame:
-    """One row from families (passes, critical): how many pass, and what follows."""
+def verdict(families: DataFrame, by: list[str] = ()) -> DataFrame:
+    """From families (by, passes, critical): how many pass, and what follows; one row, or one for each group of `by`."""
     n, stop = F.count_if("passes"), F.bool_or("critical")
     what = F.when(stop, "stop_or_redesign_once").when(n >= 2, "continue").when(n == 1, "narrow").otherwise("stop_or_redesign_once")
-    return families.agg(n.alias("passing"), stop.alias("safety_stop"), what.alias("verdict"))
+    return families.groupBy(*by).agg(n.alias("passing"), stop.alias("safety_stop"), what.alias("verdict"))

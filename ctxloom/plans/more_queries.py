@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import audit, consolidate, filters, learn, lexical, rank, report, research, scoring, select, stats, vectors
+from ..operators import audit, consolidate, exact, filters, learn, lexical, rank, report, research, scoring, select, stats, vectors
 from ..sources import bundles, tables
 from . import pipelines, views
-from .queries import METRICS, ORACLES, QUERIES, SQL_HOST, SQL_HYBRID, SQL_PAIRS, SQL_RANKED, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_UNITS, SQL_WEIGHT, _log, _rewards, _units, _vectors, packed, query, sql_class, sql_metrics, sql_terms, sql_words
+from .queries import METRICS, ORACLES, QUERIES, SQL_HOST, SQL_HYBRID, SQL_PAIRS, SQL_RANKED, SQL_RELEVANCE, SQL_REWARDS, SQL_TRAJECTORIES, SQL_UNITS, SQL_WEIGHT, _log, _rewards, _units, _vectors, long, packed, query, sql_class, sql_metrics, sql_sums, sql_terms, sql_words
 from .views import AS_OF_S, Views, with_views
 
 # research
@@ -561,27 +561,89 @@ def p10_dataset_audit(v: Views) -> DataFrame:
 
 
 def _trial(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = F.col("l_linenumber") % 3
+    """A part's lines as a contract of three families and arms; parts of even number have an effect."""
+    r, even = F.col("l_linenumber") % 3, F.col("l_partkey") % 2 == 0
+    arm = F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale")
     alias = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     li = v.table("lineitem").withColumn("alias", alias)
-    units = li.select(F.col("alias").alias("unit_id"), "alias", F.col("l_orderkey").alias("family"), F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale").alias("arm"), (F.col("l_quantity") > 3).alias("valid"))
-    status = F.when(F.col("l_returnflag") == "N", "met").when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")
+    units = li.select(F.col("l_partkey").alias("contract"), F.col("alias").alias("unit_id"), "alias", long(F.col("l_quantity") % 3, "family"), arm.alias("arm"), ((F.col("l_suppkey") + F.col("l_orderkey")) % 11 > 0).alias("valid"))
+    flag = F.when(F.col("l_returnflag") == "N", "met").when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")
+    status = F.when(even & (r == 0) & (F.col("l_discount") < 0.095), "met").when(even & (r > 0), F.when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")).otherwise(flag)
     marks = li.select("alias", F.lit(1).alias("criterion_id"), status.alias("status"), ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 48)).alias("critical"))
     return marks, marks.select("criterion_id").distinct().withColumn("weight", F.lit(1.0)), units
 
 
-SQL_TRIAL = "(SELECT l_orderkey AS family, l_linenumber % 3 AS arm, CASE WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 0.0 WHEN l_returnflag = 'N' THEN 1.0 WHEN l_returnflag = 'R' THEN 0.5 ELSE 0.0 END AS score, l_returnflag = 'A' AND l_quantity > 48 AS critical FROM lineitem WHERE l_quantity > 3)"
+#: Units in tenths of a point, which are 0, 2, 5 and 10; NULL where a unit isn't valid.
+SQL_TRIAL = """(SELECT contract, family, arm, valid, critical AND valid AS critical, CASE WHEN NOT valid THEN NULL WHEN critical THEN least(raw, 2) ELSE raw END AS score FROM (
+ SELECT l_partkey AS contract, CAST(l_quantity AS BIGINT) % 3 AS family, l_linenumber % 3 AS arm, (l_suppkey + l_orderkey) % 11 > 0 AS valid, l_returnflag = 'A' AND l_quantity > 48 AS critical,
+ CASE WHEN l_partkey % 2 = 0 AND l_linenumber % 3 = 0 AND l_discount < 0.095 THEN 10 WHEN l_partkey % 2 = 0 AND l_linenumber % 3 > 0 THEN CASE l_returnflag WHEN 'R' THEN 5 ELSE 0 END WHEN l_returnflag = 'N' THEN 10 WHEN l_returnflag = 'R' THEN 5 ELSE 0 END AS raw FROM lineitem))"""
+TENTHS = (0, 2, 5, 10)
+
+
+def sql_choices(name: str, side: int, done: bool) -> str:
+    """contract, family, p of the correct arm against another one, from how often each score is chosen; with missing units at the ends of the scale if `done`."""
+    filled = "coalesce(score, CASE arm WHEN 0 THEN 0 ELSE 10 END)" if done else "score"
+    counts = ", ".join(f"count(*) FILTER (s = {x}) AS m{x}" for x in TENTHS)
+    sizes = f"SELECT contract, family, count(*) FILTER (arm = 0) AS k, count(*) AS n, coalesce(sum(s) FILTER (arm = 0), 0) AS seen, {counts} FROM (SELECT contract, family, arm, {filled} AS s FROM trial WHERE arm IN (0, {side}) {'' if done else 'AND valid'}) GROUP BY 1, 2"
+    sizes = f"SELECT f.contract, f.family, coalesce(k, 0) AS k, coalesce(n, 0) AS n, coalesce(seen, 0) AS seen, {', '.join(f'coalesce(m{x}, 0) AS m{x}' for x in TENTHS)} FROM (SELECT DISTINCT contract, family FROM trial) f LEFT JOIN ({sizes}) z ON z.contract = f.contract AND z.family = f.family"
+    drawn = f"SELECT *, k - a2 - a5 - a10 AS a0 FROM (SELECT *, unnest(range(m10 + 1)) AS a10 FROM (SELECT *, unnest(range(m5 + 1)) AS a5 FROM (SELECT *, unnest(range(m2 + 1)) AS a2 FROM ({sizes}))))"
+    choose = "factorial(CAST({0} AS INT)) // (factorial(CAST({1} AS INT)) * factorial(CAST({0} - {1} AS INT)))"
+    ways = " * ".join(f"({choose.format(f'm{x}', f'a{x}')})" for x in TENTHS)
+    p = f"CAST(sum({ways}) FILTER (2 * a2 + 5 * a5 + 10 * a10 >= seen) AS DOUBLE) / CAST(any_value({choose.format('n', 'k')}) AS DOUBLE)"
+    return f"{name} AS (SELECT contract, family, {p if done else f'CASE WHEN any_value(k) > 0 AND any_value(n) > any_value(k) THEN {p} END'} AS p FROM ({drawn}) WHERE a0 >= 0 AND a0 <= m0 GROUP BY 1, 2)"
+
+
+def sql_resamples(name: str, side: int) -> str:
+    """contract, family, n, total, ways of all resamples of an arm's scores."""
+    counts = ", ".join(f"count(*) FILTER (score = {x}) AS m{x}" for x in TENTHS)
+    drawn = f"SELECT *, n - a2 - a5 - a10 AS a0 FROM (SELECT *, unnest(range(CASE m10 WHEN 0 THEN 1 ELSE n + 1 END)) AS a10 FROM (SELECT *, unnest(range(CASE m5 WHEN 0 THEN 1 ELSE n + 1 END)) AS a5 FROM (SELECT *, unnest(range(CASE m2 WHEN 0 THEN 1 ELSE n + 1 END)) AS a2 FROM (SELECT contract, family, count(*) AS n, {counts} FROM trial WHERE valid AND arm = {side} GROUP BY 1, 2))))"
+    ways = "CAST(factorial(CAST(n AS INT)) AS DOUBLE) / CAST(" + " * ".join(f"factorial(CAST(a{x} AS INT))" for x in TENTHS) + " AS DOUBLE)" + "".join(f" * pow(m{x}, a{x})" for x in TENTHS)
+    return f"{name} AS (SELECT contract, family, n, 2 * a2 + 5 * a5 + 10 * a10 AS total, sum({ways}) AS ways FROM ({drawn}) WHERE a0 >= 0 AND (m0 > 0 OR a0 = 0) GROUP BY 1, 2, 3, 4)"
+
+
+def sql_interval(name: str, side: str) -> str:
+    """contract, family, low, high of the difference of means over all pairs of resamples."""
+    both = f"SELECT contract, family, c.n * o.n * 10 AS scale, c.total * o.n - o.total * c.n AS d, sum(c.ways * o.ways) AS w FROM c JOIN {side} o USING (contract, family) GROUP BY 1, 2, 3, 4"
+    share = f"SELECT *, sum(w) OVER (PARTITION BY contract, family ORDER BY d) / sum(w) OVER (PARTITION BY contract, family) AS share FROM ({both})"
+    return f"{name} AS (SELECT contract, family, min(d / scale) FILTER (share >= 0.025 - 1e-12) AS low, min(d / scale) FILTER (share >= 0.975 - 1e-12) AS high FROM ({share}) GROUP BY 1, 2)"
 
 
-@query(f"SELECT family, round(avg(score) FILTER (arm = 0) - avg(score) FILTER (arm = 1), 6) AS observed_withheld, round(avg(score) FILTER (arm = 0) - avg(score) FILTER (arm = 2), 6) AS observed_stale, coalesce(bool_or(critical) FILTER (arm = 0), false) AS critical FROM {SQL_TRIAL} GROUP BY 1")
+_ARM = {"correct": 0, "withheld": 1, "stale": 2}
+_TRIAL_SIDES = ", ".join(f"sum(score) FILTER (arm = {i}) / 10.0 AS s{i}, count(score) FILTER (arm = {i}) AS n{i}, count(*) FILTER (arm = {i}) AS p{i}, avg(score) FILTER (arm = {i}) / 10.0 AS m{i}" for i in _ARM.values())
+SQL_FAMILIES = f"""trial AS {SQL_TRIAL}, {sql_choices('pw', 1, True)}, {sql_choices('ps', 2, True)}, {sql_choices('ow', 1, False)}, {sql_choices('os', 2, False)}, {sql_resamples('c', 0)}, {sql_resamples('w', 1)}, {sql_resamples('s', 2)}, {sql_interval('iw', 'w')}, {sql_interval('i_s', 's')},
+ effect AS (SELECT contract, family, m0 - m1 AS observed_withheld, m0 - m2 AS observed_stale, s0 / p0 - (s1 + p1 - n1) / p1 AS worst_withheld, s0 / p0 - (s2 + p2 - n2) / p2 AS worst_stale, n0 = p0 AS whole, critical FROM (SELECT contract, family, {_TRIAL_SIDES}, coalesce(bool_or(critical) FILTER (arm = 0), false) AS critical FROM trial GROUP BY 1, 2)),
+ tested AS (SELECT e.*, coalesce(whole AND least(observed_withheld, observed_stale, worst_withheld, worst_stale) >= 0.2 - 1e-9 AND observed_withheld IS NOT NULL AND observed_stale IS NOT NULL AND worst_withheld IS NOT NULL AND worst_stale IS NOT NULL, false) AS material_pass, ow.p AS observed_p_withheld, pw.p AS p_withheld, iw.low AS low_withheld, iw.high AS high_withheld, os.p AS observed_p_stale, ps.p AS p_stale, i_s.low AS low_stale, i_s.high AS high_stale, greatest(pw.p, ps.p) AS p
+ FROM effect e JOIN pw USING (contract, family) JOIN ps USING (contract, family) JOIN ow USING (contract, family) JOIN os USING (contract, family) LEFT JOIN iw USING (contract, family) LEFT JOIN i_s USING (contract, family)),
+ placed AS (SELECT *, count(*) OVER (PARTITION BY contract) - row_number() OVER (PARTITION BY contract ORDER BY p, family) + 1 AS to_go FROM tested),
+ held AS (SELECT *, max(least(1.0, to_go * p)) OVER o AS adjusted_p, bool_and(p <= 0.05 / to_go) OVER o AS rejected FROM placed WINDOW o AS (PARTITION BY contract ORDER BY p, family)),
+ families AS (SELECT *, material_pass AND rejected AND NOT critical AS passes FROM held)"""
+FAMILY_FIGURES = "observed_withheld observed_stale worst_withheld worst_stale observed_p_withheld p_withheld low_withheld high_withheld observed_p_stale p_stale low_stale high_stale p adjusted_p".split()
+
+
+@query(f"WITH {SQL_FAMILIES} SELECT contract, family, {', '.join(f'round({c}, 6) AS {c}' for c in FAMILY_FIGURES)}, material_pass, critical, rejected, passes FROM families")
 def p11_families(v: Views) -> DataFrame:
-    found = pipelines.replication_families(*_trial(v), planned=1)
-    return found.select("family", F.round("observed_withheld", 6).alias("observed_withheld"), F.round("observed_stale", 6).alias("observed_stale"), "critical")
+    found = pipelines.replication_families(*_trial(v), planned=None, by=["contract"])
+    return found.select("contract", "family", *[F.round(c, 6).alias(c) for c in FAMILY_FIGURES], "material_pass", "critical", "rejected", "passes")
 
 
-@query()
+@query(f"""WITH {SQL_FAMILIES}, cell AS (SELECT contract, family, arm, count_if(valid) AS v, count(*) AS n FROM trial GROUP BY 1, 2, 3),
+ gate AS (SELECT contract, sum(v) >= sum(n) - 3 AND bool_and(v >= n - 1) AS ok FROM cell GROUP BY 1),
+ judged AS (SELECT contract, count(*) FILTER (passes) AS passing, bool_or(critical) AS stopped FROM families GROUP BY 1)
+ SELECT contract, ok AS execution_valid, CASE WHEN ok THEN passing END AS passing, CASE WHEN ok THEN stopped END AS safety_stop, CASE WHEN NOT ok THEN 'invalid_execution' WHEN stopped THEN 'stop_or_redesign_once' WHEN passing >= 2 THEN 'continue' WHEN passing = 1 THEN 'narrow' ELSE 'stop_or_redesign_once' END AS verdict FROM gate JOIN judged USING (contract)""")
 def p11_replication(v: Views) -> DataFrame:
-    return pipelines.replication(*_trial(v), planned=1)
+    return pipelines.replication(*_trial(v), planned=None, by=["contract"])
+
+
+@query(f"WITH trial AS {SQL_TRIAL}, {sql_choices('pw', 1, True)}, {sql_choices('ow', 1, False)} SELECT contract, family, round(ow.p, 9) AS observed_p, round(pw.p, 9) AS p FROM pw JOIN ow USING (contract, family)")
+def n2_completed_p(v: Views) -> DataFrame:
+    """Tests of groups with missing draws: as they are, and at worst."""
+    marks, weights, units = _trial(v)
+    keys, pair = ["contract", "family"], units.where("arm <> 'stale'").withColumn("treated", F.col("arm") == "correct")
+    scored = scoring.annotations(marks.withColumnRenamed("alias", "unit_id"), weights).join(pair.where("valid"), "unit_id")
+    planned = pair.groupBy(*keys, "treated").agg(F.count("*").alias("planned"))
+    alone = units.select(*keys).distinct().select(*keys, F.lit(True).alias("treated"), F.lit(0).cast("long").alias("planned"))
+    found = exact.completed_p(scored.select(*keys, "treated", long(F.round(F.col("score") * 10), "score")), keys, planned.unionByName(alone), 10)
+    return found.select(*keys, F.round("observed_p", 9).alias("observed_p"), F.round("p", 9).alias("p"))
 
 
 # stores, once more: records as they are kept
@@ -667,20 +729,12 @@ def w9_weighted_rank(v: Views) -> DataFrame:
     return stats.weighted_nearest_rank(e, ["event_type"], "value", "w", 0.9)
 
 
-def sql_histogram(side: str, most: int) -> str:
-    """Steps to the sums of all resamples of one side."""
-    steps = [f"{side} AS (SELECT l_orderkey, score // 25 AS value FROM {SQL_UNITS} WHERE {'' if side == 'l' else 'NOT '}treated)", f"{side}0 AS (SELECT l_orderkey, count(*) AS n, CAST(0 AS BIGINT) AS total, CAST(1 AS DOUBLE) AS ways FROM {side} GROUP BY 1)"]
-    for k in range(1, most + 1):
-        steps.append(f"{side}{k} AS (SELECT s.l_orderkey, s.n, s.total + u.value AS total, sum(s.ways) AS ways FROM {side}{k - 1} s JOIN {side} u ON u.l_orderkey = s.l_orderkey WHERE s.n >= {k} GROUP BY 1, 2, 3 UNION ALL SELECT * FROM {side}{k - 1} WHERE n < {k})")
-    return ", ".join(steps)
-
-
-@query(f"""WITH {sql_histogram('l', 12)}, {sql_histogram('r', 12)}, d AS (SELECT l_orderkey, l.n * r.n AS scale, l.total * r.n - r.total * l.n AS d, sum(l.ways * r.ways) AS w FROM l12 l JOIN r12 r USING (l_orderkey) GROUP BY 1, 2, 3),
+@query(f"""WITH l AS ({sql_sums("treated")}), r AS ({sql_sums("NOT treated")}), d AS (SELECT l_orderkey, l.n * r.n AS scale, l.total * r.n - r.total * l.n AS d, sum(CAST(l.ways AS DOUBLE) * CAST(r.ways AS DOUBLE)) AS w FROM l JOIN r USING (l_orderkey) GROUP BY 1, 2, 3),
  c AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey ORDER BY d) / sum(w) OVER (PARTITION BY l_orderkey) AS share FROM d)
- SELECT l_orderkey, round(min(d / scale) FILTER (share >= 0.025 - 1e-9), 6) AS low, round(min(d / scale) FILTER (share >= 0.975 - 1e-9), 6) AS high FROM c GROUP BY 1""")
+ SELECT l_orderkey, round(min(d / scale) FILTER (share >= 0.025 - 1e-12), 6) AS low, round(min(d / scale) FILTER (share >= 0.975 - 1e-12), 6) AS high FROM c GROUP BY 1""")
 def n3_difference_interval(v: Views) -> DataFrame:
     values = _units(v).select("l_orderkey", "index", "treated", F.floor(F.col("score") / 25).alias("value"))
-    found = stats.resampled_interval(values.where("treated"), values.where("not treated"), ["l_orderkey"])
+    found = exact.resampled_interval(values.where("treated"), values.where("not treated"), ["l_orderkey"])
     return found.select("l_orderkey", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

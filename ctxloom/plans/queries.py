@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import audit, consolidate, evaluate, feedback, filters, learn, lexical, rank, report, scoring, stats, vectors
+from ..operators import audit, consolidate, evaluate, exact, feedback, filters, learn, lexical, rank, report, scoring, stats, vectors
 from ..sources import tables
 from . import views
 from .views import AS_OF_S, Views, with_views
@@ -636,7 +636,7 @@ def _units(v: Views) -> DataFrame:
 
 @query(f"SELECT l_orderkey, round(count(*) FILTER (total >= seen) / count(*), 9) AS p, count(*) AS combinations FROM (SELECT g.l_orderkey, g.seen, g.mask, sum(CASE WHEN (g.mask >> u.i) & 1 = 1 THEN u.score ELSE 0 END) AS total FROM (SELECT l_orderkey, n, k, seen, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM (SELECT l_orderkey, count(*) AS n, sum(CAST(treated AS INT)) AS k, sum(CASE WHEN treated THEN score ELSE 0 END) AS seen FROM {SQL_UNITS} GROUP BY 1)) g JOIN {SQL_UNITS} u ON u.l_orderkey = g.l_orderkey WHERE bit_count(g.mask) = g.k GROUP BY 1, 2, 3) GROUP BY 1")
 def n2_permutation_p(v: Views) -> DataFrame:
-    return stats.permutation_p(_units(v), ["l_orderkey"]).withColumn("p", F.round("p", 9))
+    return exact.permutation_p(_units(v), ["l_orderkey"]).select("l_orderkey", F.round("p", 9).alias("p"), long(F.col("combinations"), "combinations"))
 
 
 SQL_DIGITS = "list_transform(string_split(sha256('bootstrap|' || user_id || '|' || draw || '|' || position), ''), lambda x: CAST(strpos('0123456789abcdef', x) - 1 AS BIGINT))"
@@ -654,18 +654,19 @@ def n1_bootstrap(v: Views) -> DataFrame:
     return stats.nearest_rank(stats.bootstrap(values, ["user_id"], 20), ["user_id"], "mean", 0.975, few=True).withColumn("percentile", F.round("percentile", 6))
 
 
-def sql_sums(most: int) -> str:
-    """Sums of resamples, one draw at a time, for groups of up to `most`."""
-    steps = [f"u AS (SELECT l_orderkey, i, score // 25 AS value FROM {SQL_UNITS})", "s0 AS (SELECT l_orderkey, count(*) AS n, CAST(0 AS BIGINT) AS total, CAST(1 AS HUGEINT) AS ways FROM u GROUP BY 1)"]
-    for k in range(1, most + 1):
-        steps.append(f"s{k} AS (SELECT s.l_orderkey, s.n, s.total + u.value AS total, sum(s.ways) AS ways FROM s{k - 1} s JOIN u ON u.l_orderkey = s.l_orderkey WHERE s.n >= {k} GROUP BY 1, 2, 3 UNION ALL SELECT * FROM s{k - 1} WHERE n < {k})")
-    return "WITH " + ", ".join(steps) + f" SELECT l_orderkey, CAST(total AS BIGINT) AS total, CAST(ways AS BIGINT) AS ways FROM s{most} WHERE n <= {most}"
+def sql_sums(where: str = "true") -> str:
+    """Sums of all resamples of values 0, 1 and 2, from how often each is drawn: ways n! / (a! b! c!) n0^a n1^b n2^c."""
+    power = "list_reduce(list_prepend(CAST(1 AS HUGEINT), [CAST({0} AS HUGEINT) FOR i IN range({1})]), lambda p, q: p * q)"
+    ways = "factorial(CAST(n AS INT)) // (factorial(CAST(a AS INT)) * factorial(CAST(b AS INT)) * factorial(CAST(n - a - b AS INT)))" + "".join(" * " + power.format(x, y) for x, y in (("n0", "n - a - b"), ("n1", "a"), ("n2", "b")))
+    sizes = f"SELECT l_orderkey, count(*) AS n, count_if(score // 25 = 0) AS n0, count_if(score // 25 = 1) AS n1, count_if(score // 25 = 2) AS n2 FROM {SQL_UNITS} WHERE {where} GROUP BY 1"
+    drawn = f"SELECT *, unnest(range(n - a + 1)) AS b FROM (SELECT *, unnest(range(n + 1)) AS a FROM ({sizes}))"
+    return f"SELECT l_orderkey, n, a + 2 * b AS total, sum({ways}) AS ways FROM ({drawn}) WHERE (n0 > 0 OR n = a + b) AND (n1 > 0 OR a = 0) AND (n2 > 0 OR b = 0) GROUP BY 1, 2, 3"
 
 
-@query(sql_sums(15))
+@query(f"SELECT l_orderkey, CAST(total AS BIGINT) AS total, CAST(ways AS DECIMAL(38,0)) AS ways FROM ({sql_sums()})")
 def n3_resampled_means(v: Views) -> DataFrame:
     values = _units(v).select("l_orderkey", "index", F.floor(F.col("score") / 25).alias("value"))
-    return stats.resampled_means(values, ["l_orderkey"]).select("l_orderkey", "total", "ways")
+    return exact.resampled_means(values, ["l_orderkey"]).select("l_orderkey", "total", "ways")
 
 
 # audits

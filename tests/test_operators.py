@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.functions import scores, text
-from ctxloom.operators import audit, consolidate, evaluate, filters, rank, select, stats, vectors
+from ctxloom.operators import audit, consolidate, evaluate, exact, filters, rank, select, stats, vectors
 from ctxloom.plans import pipelines
 from ctxloom.sources import tables
 
@@ -171,11 +171,9 @@ def test_text_edges(spark):
 def test_resampled_means_of_groups_beyond_a_long(spark):
     from collections import Counter
 
-    from ctxloom.operators import stats
-
     groups = {1: [0, 1, 3], 2: [k % 3 for k in range(18)]}
     rows = [(g, i, x) for g, own in groups.items() for i, x in enumerate(own)]
-    out = stats.resampled_means(spark.createDataFrame(rows, "g long, index long, value long"), ["g"]).collect()
+    out = exact.resampled_means(spark.createDataFrame(rows, "g long, index long, value long"), ["g"]).collect()
     for g, own in groups.items():
         sums = Counter({0: 1})
         for _ in own:
@@ -186,7 +184,7 @@ def test_resampled_means_of_groups_beyond_a_long(spark):
             sums = new
         assert {r["total"]: int(r["ways"]) for r in out if r["g"] == g} == sums
     with pytest.raises(OverflowError):
-        stats.resampled_means(spark.createDataFrame([(1, i, 0) for i in range(27)], "g long, index long, value long"), ["g"])
+        exact.resampled_means(spark.createDataFrame([(1, i, 0) for i in range(27)], "g long, index long, value long"), ["g"])
 
 
 def test_resampled_means_query_keeps_large_orders(spark, monkeypatch):
@@ -275,7 +273,7 @@ def test_permutations_of_a_larger_group(spark):
 
     scores = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
     rows = [(1, i, i % 3 == 0, x) for i, x in enumerate(scores)] + [(2, i, i < 20, 1) for i in range(40)]
-    out = {r["g"]: r for r in stats.permutation_p(spark.createDataFrame(rows, "g int, index int, treated boolean, score long"), ["g"]).collect()}
+    out = {r["g"]: r for r in exact.permutation_p(spark.createDataFrame(rows, "g int, index int, treated boolean, score long"), ["g"]).collect()}
     seen = sum(x for i, x in enumerate(scores) if i % 3 == 0)
     assert out[1]["p"] == pytest.approx(sum(sum(c) >= seen for c in combinations(scores, 4)) / comb(12, 4)) and out[1]["combinations"] == comb(12, 4)
     assert (out[2]["p"], out[2]["combinations"]) == (1.0, comb(40, 20))
@@ -286,7 +284,7 @@ def test_interval_of_a_difference_equals_all_resamples(spark):
 
     left, right = [3, 7, 8], [1, 2, 6, 6]
     values = [spark.createDataFrame([("g", i, x) for i, x in enumerate(side)], "g string, index int, value long") for side in (left, right)]
-    found = stats.resampled_interval(*values, ["g"]).first()
+    found = exact.resampled_interval(*values, ["g"]).first()
     every = sorted(sum(a) / 3 - sum(b) / 4 for a in product(left, repeat=3) for b in product(right, repeat=4))
     n = len(every)
     assert found["low"] == pytest.approx(every[-(-25 * n // 1000) - 1]) and found["high"] == pytest.approx(every[-(-975 * n // 1000) - 1])
