@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from inspect import signature
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 WEIGHTS = {"relevance": 0.70, "importance": 0.25, "recency": 0.05}
 TRUNCATE_ROOM = 50
 
@@ -94,10 +97,11 @@ def prefix_pack(df: DataFrame, budget: Column, tokens: str = "tokens", by: list[
 def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: float | None = None, summarize: Callable[..., str] | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
     """One decision per row of (query_id, id, rank, tokens, token_budget, relevance, min_relevance, required_miss): query_id, id, rank, included, reason, tokens, summary.
 
-    An order-dependent fold: rows of a query stand together by rank and are read as a stream, so
-    that a task holds the state of one query only. Contents don't pass through it: `terms` are read
-    with `redundancy`, `content` and `query` with `summarize`, and `summary` is set where a
-    summary was included. A row that doesn't fit doesn't stop later, smaller ones. Rows that miss a
+    Packing by tokens alone goes by spans of the ranks (_packed_by_spans), so that no task holds a
+    query's rows. With `redundancy` or `summarize` a row's fate depends on the contents of those before
+    it, and the rows of a query are read as a stream by rank in one task, which holds the state of
+    one query only. Contents don't pass through it: `terms` are read with `redundancy`, `content` and `query` with `summarize`, and `summary` is set where a
+    summary was included. query_id must not be null. A row that doesn't fit doesn't stop later, smaller ones. Rows that miss a
     required term or have too little relevance are decided before any state. summarize(content,
     room) or summarize(content, room, query) is cut to its room in words; with `count` it is counted
     by that and not cut.
@@ -151,6 +155,8 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
             decided = [pc.replace_with_mask(before, open_, after) for before, after in zip(nothing, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*frame.columns[:3], *decided], names=["query_id", "id", "rank", "included", "reason", "tokens", "summary"])
 
+    if redundancy is None and summarize is None:
+        return _packed_by_spans(ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early")), max_components)
     more = ["terms"] * (redundancy is not None) + ["content"] * (summarize is not None) + ["query"] * asks
     rows = ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early"), *more)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -158,6 +164,78 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
     return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, packed)
 
 
+#: Rows of a query that are folded in one round; Spark limits a window of so many before its shuffle.
+ROUND = 1000
+
+
+def _packed_by_spans(rows: DataFrame, max_components: int | None) -> DataFrame:
+    """pack() by tokens and numbers of rows alone.
+
+    What is left of a budget only shrinks, so a row that is larger than it once is left out for good.
+    A round folds the first ROUND rows of each query that may still fit; what is left then rules out
+    the rest of the ranks but for rows that are small enough, which the next round takes. Every round
+    includes a row of each query that is still open, and one or two settle most. Why a row was left out
+    follows from two ranks of its query: where its budget was spent, and where it had all its rows.
+    """
+    rows = materialise(rows, "ranked")
+    budget = F.col("token_budget")
+    live = rows.where("early is null")
+    # a row that takes nothing from a budget is included, wherever it stands, if rows aren't counted
+    free = budget.isNull() | ((F.col("tokens") <= 0) & (budget >= F.col("tokens"))) if max_components is None else F.lit(False)
+    fits = (F.col("used") + F.col("tokens") <= budget) | budget.isNull()
+    if max_components is not None:
+        fits &= F.col("chosen") < max_components
+    kind = dict(rows.dtypes)["query_id"]
+
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for frame in frames:
+            out = []
+            column = [frame.column(c).to_pylist() for c in ("query_id", "rank", "tokens", "token_budget", "used", "chosen")]
+            for query, rank_, tokens, most, used, chosen in zip(*column, strict=True):
+                if state is None or state[0] != query:
+                    if state:
+                        out.append((*state, False))
+                    state = [query, rank_, used, chosen]
+                state[1] = rank_
+                if (most is None or state[2] + tokens <= most) and (max_components is None or state[3] < max_components):
+                    state[2], state[3] = state[2] + tokens, state[3] + 1
+                    out.append((*state, True))
+            yield batch(out, frame.schema.field("query_id").type)
+            type_ = frame.schema.field("query_id").type
+        if state:
+            yield batch([(*state, False)], type_)
+
+    def batch(out: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (of, pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["query_id", "rank", "used", "chosen", "included"])
+
+    zero = F.lit(0).cast("long")
+    waiting = live.where(~F.coalesce(free, F.lit(False))).select("query_id", "rank", "tokens", "token_budget", zero.alias("used"), zero.alias("chosen")).where(fits)
+    steps = []
+    while True:
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        taken = waiting.withColumn("_n", first).where(F.col("_n") <= ROUND).drop("_n")
+        step = materialise(taken.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, f"query_id {kind}, rank int, used long, chosen long, included boolean"), "packed")
+        steps.append(step.where("included"))
+        now = step.where("not included").select("query_id", F.col("rank").alias("_last"), "used", "chosen")
+        waiting = materialise(waiting.drop("used", "chosen").join(now, "query_id").where((F.col("rank") > F.col("_last")) & fits).drop("_last"), "waiting")
+        if waiting.isEmpty():
+            break
+    included = reduce(DataFrame.unionByName, steps)
+    most = live.select("query_id", "token_budget").where(budget <= 0).distinct().select("query_id", F.lit(0).alias("_spent"), F.lit(None).cast("int").alias("_full"))
+    ends = included.join(live.select("query_id", "rank", "token_budget"), ["query_id", "rank"]).select("query_id", F.when(F.col("used") >= budget, F.col("rank")).alias("_spent"), F.when(F.col("chosen") >= (F.lit(None) if max_components is None else F.lit(max_components)), F.col("rank")).alias("_full"))
+    ends = ends.unionByName(most).groupBy("query_id").agg(F.min("_spent").alias("_spent"), F.min("_full").alias("_full"))
+    if max_components is not None and max_components <= 0:
+        ends = ends.withColumn("_full", F.lit(0))
+    chosen = included.select("query_id", "rank", F.lit(True).alias("_in"))
+    both = rows.join(chosen, ["query_id", "rank"], "left").join(ends, "query_id", "left")
+    full = F.lit(False) if max_components is None else F.lit(max_components <= 0) | F.coalesce(F.col("rank") > F.col("_full"), F.lit(False))
+    here = F.coalesce(F.col("_in") | free, F.lit(False))
+    reason = F.when(here, "included").when(full, "max_components").when(F.col("rank") > F.col("_spent"), "budget_exhausted").otherwise("over_budget")
+    return both.select("query_id", "id", "rank", (F.col("early").isNull() & here).alias("included"), F.coalesce("early", reason).alias("reason"), "tokens", F.lit(None).cast("string").alias("summary"))
+
+
 def with_content(decisions: DataFrame, contents: DataFrame) -> DataFrame:
     """Decisions with the content, or its summary, of what is included; contents (id, content) join for those rows alone."""
     chosen = decisions.where("included and summary is null").select("query_id", "id").join(contents.select("id", "content"), "id")
