@@ -228,6 +228,8 @@ def _packed_by_spans(rows: DataFrame, max_components: int | None) -> DataFrame:
     ends = ends.unionByName(most).groupBy("query_id").agg(F.min("_spent").alias("_spent"), F.min("_full").alias("_full"))
     if max_components is not None and max_components <= 0:
         ends = ends.withColumn("_full", F.lit(0))
+    # read from a table, so that both sides of the join are shuffled for it and AQE can split a query
+    ends = materialise(ends, "ends")
     chosen = included.select("query_id", "rank", F.lit(True).alias("_in"))
     both = rows.join(chosen, ["query_id", "rank"], "left").join(ends, "query_id", "left")
     full = F.lit(False) if max_components is None else F.lit(max_components <= 0) | F.coalesce(F.col("rank") > F.col("_full"), F.lit(False))

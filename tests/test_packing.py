@@ -50,14 +50,14 @@ def most_read(spark, work):
 
     def tasks(stage):
         try:
-            found = store.taskList(stage, 0, 100_000)
+            found = store.taskList(stage, store.lastStageAttempt(stage).attemptId(), 100_000)
         except Py4JJavaError:
             return None  # no such stage
         return [found.apply(i) for i in range(found.size())]
 
     def last():
         n = 0
-        while any(tasks(i) is not None for i in range(n, n + 50)):
+        while n < 20_000 and any(tasks(i) is not None for i in range(n, n + 50)):
             n += 50
         return n
 
@@ -76,8 +76,10 @@ def test_no_task_holds_a_query_of_a_million_rows(spark):
     n = 1_000_000
     table = spark.range(0, n, 1, 16).select(F.lit(1).alias("query_id"), F.concat(F.lit("i"), "id").alias("id"), (F.col("id") + 1).cast("int").alias("rank"), (1 + F.col("id") * 7919 % 97 + F.when(F.col("id") < 500_000, 50).otherwise(0)).cast("int").alias("tokens"), F.lit(20_000).alias("token_budget"), F.lit(0.9).alias("relevance"), F.lit(0.1).alias("min_relevance"), F.lit(False).alias("required_miss"))
     out = {}
-    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in conf}
+    # as on large tables: nothing is broadcast, and AQE splits what is skewed
+    skew = "spark.sql.adaptive.skewJoin.skewedPartition"
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", f"{skew}ThresholdInBytes": "4k", f"{skew}Factor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
@@ -85,10 +87,11 @@ def test_no_task_holds_a_query_of_a_million_rows(spark):
             packed = rank.pack(table)
             out.update((r["reason"], (r["n"], r["t"])) for r in packed.groupBy("reason").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect())
 
-        assert rank.ROUND <= most_read(spark, work) <= 40 * rank.ROUND
+        # AQE can split a key down to what one of the 4 tasks before the shuffle wrote
+        assert rank.ROUND <= most_read(spark, work) <= n // 4 + rank.ROUND
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     used, counts = 0, {"included": 0, "over_budget": 0, "budget_exhausted": 0}
     for i in range(n):
         tokens = 1 + i * 7919 % 97 + (50 if i < 500_000 else 0)
