@@ -1,4 +1,4 @@
-"""Shared helpers: the shared scratch folder and vectorised views of Arrow text.
+"""Shared helpers: vectorised views of Arrow text.
 
 A *word* is a maximal run of bytes other than space and 0x09-0x0D.
 """
@@ -6,12 +6,11 @@ A *word* is a maximal run of bytes other than space and 0x09-0x0D.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -19,32 +18,6 @@ CHUNK_BYTES = 1 << 20
 LONG_RANGE = 256
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Where it is unset, as in tests, a folder under the warehouse is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back, which cuts the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(frame: DataFrame) -> None:
-    """Delete the folder of a frame that materialise() made and that nothing reads any more."""
-    spark = frame.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_fold(column, modulus: int):
     """crc32 of a value's text, modulo a number of folds."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % modulus

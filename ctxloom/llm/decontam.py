@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialise, slices
+from ..scratch import materialise
+from .common import keep_rows, slices
 
 K1, B = 1.2, 0.75
 #: Least BM25 score, as a share of the item's own; least overlaps of question and answer.

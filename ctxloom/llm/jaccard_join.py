@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, discard, materialise, mix, shingles, slices
+from ..scratch import discard, materialise
+from .common import TextBlock, mix, shingles, slices
 
 SIMILARITY, WIDTH = 0.8, 5
 RECALL = 0.9999
@@ -94,7 +95,9 @@ def _candidates(sketches: DataFrame, similarity: float) -> DataFrame:
     own = sketches.where("bands is not null").select("key", "bands", "signature").dropDuplicates(["key"])
     hashed = own.select("key", F.posexplode("bands").alias("band", "hash"))
     buckets = hashed.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(hashed.join(buckets, ["band", "hash"]).select("key", "band", "hash", "b", "n"), "members")
+    # another key than the aggregate's, so that AQE can split a bucket of very many texts
+    bucket = F.xxhash64("band", "hash").alias("bucket")
+    members = materialise(hashed.withColumn("bucket", bucket).join(buckets.withColumn("bucket", bucket), ["bucket", "band", "hash"]).select("key", "band", "hash", "b", "n"), "members")
     large = members.where((F.col("n") > SMALL) & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
     # at most SMALL texts meet in a row
     small = members.where(F.col("n") <= SMALL).select("key", "band", "hash").join(own.select("key", "signature"), "key")

@@ -172,7 +172,7 @@ def identify(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language:
     """doc_id, held_out, lang_pred and score of every row.
 
     Only text decides a prediction. Null texts and texts without a letter are `und` with score 0;
-    if no row has a language to learn from, all are. Repeated rows are predicted each for itself.
+    if no row has a language to learn from, all are. A null doc_id is not held out. Repeated rows are predicted each for itself.
     Of classes that tie the first in alphabetical order is taken.
     """
     spark = docs.sparkSession
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language:
             langs, score = model.value.predict(part.column(2))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

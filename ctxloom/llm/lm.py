@@ -33,7 +33,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_fold, materialise, mix, range_hashes, slices
+from ..scratch import materialise
+from .common import chunks, crc_fold, mix, range_hashes, slices
 
 FOLDS = 10
 DEPTH = 3

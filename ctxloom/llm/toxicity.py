@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, crc_fold, materialise, shingles, slices
+from ..scratch import materialise
+from .common import TextBlock, crc_fold, shingles, slices
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows of either class that are learned from, about; a bound, whatever the tables' size.
@@ -265,7 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     """doc_id, held_out, score and predicted of every text; more columns hold the weighed hits.
 
     Null and empty texts have no hit and the model's lowest score. Labels of unknown documents and
-    null labels are ignored; a document with several is toxic if one says so.
+    null labels are ignored; a document with several is toxic if one says so. A null doc_id is not held out.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(docs, labels, per_class))
@@ -276,5 +277,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
             score = model.value.score(x)
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *(pa.array(c) for c in x.T)], names=["doc_id", "held_out", "score", "predicted", "exact", "stem", "misspelled", "quoted"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, exact double, stem double, misspelled double, quoted double")

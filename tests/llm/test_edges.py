@@ -94,6 +94,19 @@ def test_stages_keep_columns(spark, stage):
         out.count()
 
 
+def test_the_last_stages_of_odd_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    for docs in (made(spark), empty(spark)):
+        kept = stages.decontamination(spark, docs, folder)
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+        assert {r["doc_id"] for r in stages.packed(spark, docs, folder).select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_a_null_id_is_not_held_out(spark):
+    for out in (langid.identify(made(spark)), toxicity.toxicity(made(spark), labels(spark))):
+        assert {r["held_out"] for r in out.where("doc_id is null").collect()} == {False} and out.where("held_out is null").count() == 0
+
+
 def test_pipeline_equals_its_parts(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
