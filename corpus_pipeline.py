@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ctxloom.llm import stages
-from ctxloom.llm.common import materialise
+from ctxloom.scratch import materialise
 
 STAGES = [
     ("quality rules", stages.quality_rules),
