@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import substring
 
 
 def tag_match(tags: Column, include: Column, mode: Column) -> Column:
@@ -70,15 +71,18 @@ def first_n(df: DataFrame, n: int, by: list[str], order: list) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, memory: DataFrame, limit: int) -> DataFrame:
-    """Memories that hold a word of the query anywhere, in insertion order; the score is 0.5.
+    """query_id, id, seq, rank, score: memories that hold a word of the query anywhere, in insertion order; the score is 0.5.
 
-    A substring search has no key: each query is held against all rows, which suits a stated, small
-    set of queries.
+    Words of queries are found in the vocabulary of the memories, and no word carries more than its
+    first `limit` memories, as no others can be among a query's first.
     """
-    words = F.filter(F.split(F.lower("query"), r"(?U)\s+"), lambda w: w != "")
-    asked = queries.select("query_id", words.alias("_words"))
-    hit = F.exists("_words", lambda w: F.contains(F.lower("content"), w))
-    return first_n(memory.join(asked, hit).select("query_id", "id", "seq"), limit, ["query_id"], ["seq"]).withColumn("score", F.lit(0.5))
+    held = memory.select("id", "seq", F.explode(substring.words(F.lower("content"))).alias("word"))
+    first = first_n(held, limit, ["word"], ["seq", "id"]).drop("rank")
+    asked = queries.select("query_id", F.explode(substring.words(F.lower("query"))).alias("needle"))
+    found = substring.contained(asked.select("needle"), first.select("word")).join(first, "word").select("needle", "id", "seq").distinct()
+    found = first_n(found, limit, ["needle"], ["seq", "id"]).drop("rank")
+    hits = asked.join(found, "needle").select("query_id", "id", "seq").distinct()
+    return first_n(hits, limit, ["query_id"], ["seq", "id"]).withColumn("score", F.lit(0.5))
 
 
 def source_policy(policy: str, source_class: Column) -> Column:

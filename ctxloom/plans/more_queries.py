@@ -526,7 +526,7 @@ SQL_CHOSEN = "(SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORD
 def p4_evaluate(v: Views) -> DataFrame:
     requests = v.requests()
     excluded = requests.select("query_id", (F.col("query_id") % 97).alias("k")).join(v.memory().select("id", (F.col("seq") % 97).alias("k")), "k").drop("k")
-    m = pipelines.evaluate_retrieval(packed(v), v.sql(views.EVAL_LABELS), excluded, requests)
+    m = pipelines.evaluate_retrieval(packed(v), v.eval_labels(), excluded, requests)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 

@@ -501,7 +501,7 @@ def _metrics(v: Views) -> DataFrame:
     top = _ranked(v).where("rank <= 5").join(tokens, "id").select("query_id", "id", "rank", "tokens")
     requests = v.requests()
     excluded = requests.select("query_id", (F.col("query_id") % 97).alias("k")).join(v.memory().select("id", (F.col("seq") % 97).alias("k")), "k").drop("k")
-    return evaluate.ranking_metrics(top, v.sql(views.EVAL_LABELS), excluded, requests, 5)
+    return evaluate.ranking_metrics(top, v.eval_labels(), excluded, requests, 5)
 
 
 @query("SELECT q AS query_id, round(avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6) AS stability FROM (SELECT f.q, f.ids AS a, o.ids AS b FROM (SELECT user_id AS q, list(DISTINCT event_type) AS ids FROM events WHERE event_id % 3 = 0 GROUP BY 1) f JOIN (SELECT user_id AS q, event_id % 3 AS r, list(DISTINCT event_type) AS ids FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2) o ON o.q = f.q) GROUP BY 1")
