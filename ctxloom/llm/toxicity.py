@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def _distinct(sample: DataFrame) -> DataFrame:
-    """One text of those that share their smallest shingle hash, so that copies don't make their words terms."""
+    """The least text of those that share their smallest shingle hash, so that copies don't make their words terms."""
 
     def key(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in slices(frames, 0):
@@ -237,7 +237,7 @@ def _distinct(sample: DataFrame) -> DataFrame:
             np.minimum.at(least, doc, hashes)
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(least.view(np.int64))], names=["text", "toxic", "key"])
 
-    return sample.mapInArrow(key, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).drop("key")
+    return sample.mapInArrow(key, "text string, toxic int, key long").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def choose(support: dict[str, int]) -> Lexicon:
