@@ -564,7 +564,7 @@ def _trial(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A part's lines as a contract of three families and arms; parts of even number have an effect."""
     r, even = F.col("l_linenumber") % 3, F.col("l_partkey") % 2 == 0
     arm = F.when(r == 0, "correct").when(r == 1, "withheld").otherwise("stale")
-    alias = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    alias = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
     li = v.table("lineitem").withColumn("alias", alias)
     units = li.select(F.col("l_partkey").alias("contract"), F.col("alias").alias("unit_id"), "alias", long(F.col("l_quantity") % 3, "family"), arm.alias("arm"), ((F.col("l_suppkey") + F.col("l_orderkey")) % 11 > 0).alias("valid"))
     flag = F.when(F.col("l_returnflag") == "N", "met").when(F.col("l_returnflag") == "R", "partial").otherwise("not_met")
