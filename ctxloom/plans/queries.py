@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import audit, consolidate, evaluate, exact, feedback, filters, learn, lexical, rank, report, scoring, stats, vectors
+from ..operators import audit, best, consolidate, evaluate, exact, feedback, filters, learn, lexical, rank, report, scoring, stats, vectors
 from ..sources import tables
 from . import views
 from .views import AS_OF_S, Views, with_views
@@ -332,6 +332,14 @@ def w1_rank_top_k(v: Views) -> DataFrame:
     return _ranked(v).where("rank <= 20").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(with_views(f"SELECT query_id, id, CAST(rank AS INT) AS rank, round(total, 6) AS score FROM {SQL_RANKED} WHERE rank <= 20", memory=views.MEMORY, requests=views.REQUESTS))
+def w1_best_by_bounds(v: Views) -> DataFrame:
+    """w1_rank_top_k by bounds on postings: a memory that can't be among a query's best isn't scored."""
+    recency = F.when(F.col("type").isin("LongTermMemoryComponent", "AgentSessionComponent"), scores.norm_recency(F.col("ts"), v.as_of)).otherwise(0.0)
+    memory = v.memory().select("id", "seq", "content", F.col("score").alias("importance"), recency.alias("recency"))
+    return best.best(v.requests(), memory, 20).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def packed(v: Views) -> DataFrame:
     """The flagship: for each passage, which documents go into its budget, and why not the others."""
     asked = v.requests().select("query_id", "token_budget")
