@@ -104,9 +104,10 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
     summary was included. query_id must not be null. A row that doesn't fit doesn't stop later, smaller ones. Rows that miss a
     required term or have too little relevance are decided before any state. summarize(content,
     room) or summarize(content, room, query) is cut to its room in words; with `count` it is counted
-    by that and not cut.
+    by that and not cut. A row without a number of tokens, or whose summary can't be made or counted, is left
+    out as a processing_error of 0 tokens and spends nothing.
     """
-    early = F.when(F.col("required_miss"), "required_term_miss").when(F.col("relevance") < F.col("min_relevance"), "below_relevance_threshold")
+    early = F.when(F.col("tokens").isNull(), "processing_error").when(F.col("required_miss"), "required_term_miss").when(F.col("relevance") < F.col("min_relevance"), "below_relevance_threshold")
     asks = summarize is not None and len(signature(summarize).parameters) > 2
 
     def shorter(content: str, room: int, query: str | None) -> tuple[str, int]:
@@ -139,9 +140,11 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
                         elif summarize is None:
                             reason = "over_budget"
                         else:
-                            summary, size = shorter(column["content"][i], left, column["query"][i] if asks else None)
-                            tokens = size
-                            reason = "included_summarized" if summary and size <= left else "summarization_failed_budget"
+                            try:
+                                summary, tokens = shorter(column["content"][i], left, column["query"][i] if asks else None)
+                                reason = "included_summarized" if summary and tokens <= left else "summarization_failed_budget"
+                            except Exception:  # whatever a caller's function raises is this row's error alone
+                                summary, tokens, reason = None, 0, "processing_error"
                     else:
                         reason = "included"
                     if reason.startswith("included"):
@@ -156,9 +159,9 @@ def pack(ranked: DataFrame, *, max_components: int | None = None, redundancy: fl
             yield pa.RecordBatch.from_arrays([*frame.columns[:3], *decided], names=["query_id", "id", "rank", "included", "reason", "tokens", "summary"])
 
     if redundancy is None and summarize is None:
-        return _packed_by_spans(ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early")), max_components)
+        return _packed_by_spans(ranked.select("query_id", "id", F.col("rank").cast("int"), F.coalesce("tokens", F.lit(0)).cast("int").alias("tokens"), "token_budget", early.alias("early")), max_components)
     more = ["terms"] * (redundancy is not None) + ["content"] * (summarize is not None) + ["query"] * asks
-    rows = ranked.select("query_id", "id", F.col("rank").cast("int"), F.col("tokens").cast("int"), "token_budget", early.alias("early"), *more)
+    rows = ranked.select("query_id", "id", F.col("rank").cast("int"), F.coalesce("tokens", F.lit(0)).cast("int").alias("tokens"), "token_budget", early.alias("early"), *more)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     packed = f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, included boolean, reason string, tokens int, summary string"
     return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(fold, packed)

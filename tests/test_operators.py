@@ -240,6 +240,37 @@ def test_retrieval_by_another_counter_does_not_cut_summaries(spark):
     assert (out["b"]["reason"], out["b"]["tokens"], out["b"]["summary"]) == ("included_summarized", 12, "copper mines")
 
 
+def test_a_failing_hook_costs_its_row_alone(spark):
+    def count(text):
+        if "nothing" in text:
+            raise RuntimeError("cannot count")
+        return len(text.split())
+
+    def summarize(text, room):
+        if "mines" in text:
+            raise RuntimeError("cannot shorten")
+        return text
+
+    out = {r["id"]: r for r in asked(spark, 6, count=count, summarize=summarize).collect()}
+    assert {i: (r["reason"], r["included"], r["tokens"]) for i, r in out.items() if i != "d"} == {"a": ("included", True, 5), "b": ("processing_error", False, 0), "c": ("processing_error", False, 0)}
+    out = {r["id"]: r for r in asked(spark, 6, count=count).collect()}
+    assert {i: (r["reason"], r["tokens"]) for i, r in out.items() if i != "d"} == {"a": ("included", 5), "b": ("over_budget", 10), "c": ("processing_error", 0)}
+
+
+def test_a_judge_is_held_to_its_range_and_its_errors_are_no_relevance(spark):
+    def judge(query, content):
+        return {"copper l": 7.0, "copper m": float("nan"), "nothing ": -3.0}[content[:8]] if "mines" not in content else 1 / 0
+
+    out = {r["id"]: r for r in asked(spark, None, judge=judge).collect()}
+    assert [out[i]["rank"] for i in ("a", "b", "c")] == [1, 2, 3] and all(out[i]["reason"] == "included" for i in ("a", "b", "c"))
+
+    def scorer(requests, memory):
+        values = F.create_map(F.lit("a"), F.lit(-5.0), F.lit("b"), F.lit(float("nan")), F.lit("c"), F.lit(9.0), F.lit("d"), F.lit(1.0))
+        return requests.select("query_id").join(memory.select("id"), F.lit(True)).withColumn("relevance", values[F.col("id")])
+
+    assert [r["id"] for r in asked(spark, None, scorer=scorer).where("rank is not null").orderBy("rank").collect()] == ["c", "a", "b"]
+
+
 def test_retrieval_by_another_scorer_and_a_summary_that_knows_the_query(spark):
     def scorer(requests, memory):
         return requests.select("query_id").join(memory.where("id = 'c'").select("id"), F.lit(True)).withColumn("relevance", F.lit(1.0))
