@@ -106,7 +106,10 @@ def best(queries: DataFrame, memory: DataFrame, k: int, table: DataFrame | None
     per = per.where(F.col("_needed").isNull() | (F.col("_needed") <= 1)).where((F.col("need") <= F.col("found")) & (F.col("need") <= F.col("_large")))
     per = per.withColumn("upto", F.col("found") - F.col("need") + 1)
     keys = places.select("query_id", "term", "r").join(per.select("query_id", "block", "upto", "found", "asked", "inner", "least"), "query_id").where("r <= upto").drop("r")
-    hits = postings.join(keys, ["term", "block"]).groupBy("query_id", "id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("size", "base", "found", "upto", "asked", "inner", "least")])
+    # postings that no query asks for are left out before the shuffle, if what is asked for is small enough to be sent to them
+    keys = materialise(keys, "keys")
+    asked_for = postings.join(keys.select("term", "block").distinct(), ["term", "block"], "left_semi")
+    hits = asked_for.join(keys, ["term", "block"]).groupBy("query_id", "id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("size", "base", "found", "upto", "asked", "inner", "least")])
     # terms that were not looked up could all be there
     most = F.least(F.col("size").cast("long"), F.col("_n") + F.col("found") - F.col("upto"))
     possible = hits.where(F.col("least").isNull() | (_mixed(_relevance(most, F.col("asked"), F.col("size"), F.col("inner")), F.col("base"), weights) >= F.col("least") - SLACK))
