@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import audit, best, consolidate, evaluate, exact, feedback, filters, learn, lexical, rank, report, scoring, stats, vectors
+from ..operators import audit, best, consolidate, evaluate, exact, feedback, filters, learn, lexical, quantised, rank, report, scoring, stats, vectors
 from ..sources import tables
 from . import views
 from .views import AS_OF_S, Views, with_views
@@ -405,6 +405,16 @@ def j14_ivf_top(v: Views) -> DataFrame:
     return vectors.ivf_top(*_vectors(v), 10)
 
 
+@query(f"SELECT query_id, id, CAST(rank AS INT) AS rank, s AS similarity FROM (SELECT query_id, id, round(s, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM {SQL_PAIRS}) WHERE rank <= 10")
+def j14_quantised_exact(v: Views) -> DataFrame:
+    return quantised.quantised_top(*_vectors(v), 10).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def j14_quantised_top(v: Views) -> DataFrame:
+    return quantised.quantised_top(*_vectors(v), 10, probes=0.8, rerank=100).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT doc_id, doc_id % 7 = 0 OR doc_id % 11 = 0 AS stale FROM documents")
 def e2_stale_vectors(v: Views) -> DataFrame:
     d = v.table("documents")
