@@ -226,6 +226,8 @@ def candidates(queries: DataFrame, vectors: DataFrame, n: int, parts: int = 32,
     n best rows. The n-th largest least score of the nearest lists is reached by n rows; so lists
     whose radius, and rows whose error, keep them below it are ruled out.
     """
+    # of equal vectors only the n smallest ids can be found, or one more by a query that is among them
+    vectors = vectors.select("id", "embedding").withColumn("_n", F.row_number().over(Window.partitionBy("embedding").orderBy("id"))).where(F.col("_n") <= n + 1).drop("_n")
     model = fit(vectors, parts, lists)
     if model is None:
         return queries.join(vectors, F.lit(False)).select("query_id", "id") if rerank else queries.join(vectors, F.col("id") != F.col("query_id")).select("query_id", "id")
