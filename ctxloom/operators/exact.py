@@ -11,6 +11,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from fractions import Fraction
+from functools import lru_cache
 from itertools import accumulate
 from math import ceil, comb
 
@@ -158,6 +159,24 @@ def completed_choice(treated: Sequence[int], others: Sequence[int], n_treated: i
     return extreme / every if treated and others else None, worst / all_ways
 
 
+#: Pairs of score lists whose figures a Python worker keeps.
+KEPT = 1 << 16
+
+
+@lru_cache(KEPT)
+def _compared(treated: tuple[int, ...], others: tuple[int, ...], n_treated: int, n_others: int, top: int) -> tuple:
+    ends = interval(treated, others) if treated and others else [None, None]
+    return (*completed_choice(treated, others, n_treated, n_others, top), *ends)
+
+
+def compared(treated: Sequence[int], others: Sequence[int], n_treated: int, n_others: int, top: int) -> tuple:
+    """observed_p, p, low, high of two arms: completed_choice() and interval().
+
+    They follow from how often each score occurs, so groups with the same scores are computed once a worker.
+    """
+    return _compared(tuple(sorted(treated)), tuple(sorted(others)), n_treated, n_others, top)
+
+
 def resampled_means(values: DataFrame, by: list[str]) -> DataFrame:
     """Histogram of the sums of all n^n resamples of each group (by, value): by, n, total, ways.
 

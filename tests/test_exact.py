@@ -120,3 +120,11 @@ def test_a_family_without_a_comparator_never_passes(spark):
     assert found[0]["p_stale"] == found[0]["p"] == 1.0 and found[0]["low_stale"] is None and not found[0]["passes"]
     gone = pipelines.replication_families(marks, weights, units.where("family > 0 or arm <> 'stale'"), planned=None).orderBy("family").collect()
     assert gone[0]["p"] == 1.0 and not gone[0]["passes"] and gone[1]["passes"]
+
+
+def test_groups_of_the_same_scores_are_computed_once():
+    exact._compared.cache_clear()
+    some = [exact.compared(left, [1, 0, 2], 4, 3, 2) for left in ([2, 0, 1], [1, 2, 0], [0, 1, 2])]
+    assert len(set(some)) == 1 and exact._compared.cache_info().misses == 1
+    assert some[0] == (*exact.completed_choice([2, 0, 1], [1, 0, 2], 4, 3, 2), *exact.interval([2, 0, 1], [1, 0, 2]))
+    assert exact.compared([], [1], 1, 1, 2) == (None, float(p_of([0], [1])), None, None)
