@@ -101,3 +101,12 @@ def test_no_task_holds_a_query_of_a_million_rows(spark):
             reason = "budget_exhausted" if used >= 20_000 else "over_budget"
         counts[reason] += 1
     assert {k: v[0] for k, v in out.items()} == {k: v for k, v in counts.items() if v} and out["included"][1] == used
+
+
+def test_rows_decided_early_carry_no_terms(spark):
+    rows = spark.range(2000).select(F.lit(1).alias("query_id"), "id", (F.col("id") + 1).alias("rank"), F.lit(5).alias("tokens"), F.lit(20).alias("token_budget"), F.when(F.col("id") % 500 == 0, 1.0).otherwise(0.0).alias("relevance"), F.lit(0.5).alias("min_relevance"), F.lit(False).alias("required_miss"))
+    # terms that must not be read: an error where a row is left out by its relevance
+    terms = F.when(F.col("relevance") > 0, F.array(F.concat(F.lit("w"), F.col("id").cast("string")))).otherwise(F.raise_error(F.lit("read")).cast("array<string>"))
+    found = rank.pack(rows.withColumn("terms", terms), redundancy=0.9)
+    assert {r["id"] for r in found.where("included").collect()} == {0, 500, 1000, 1500}
+    assert found.where("reason = 'below_relevance_threshold'").count() == 1996
