@@ -7,14 +7,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .rank import numbered_in_spans, spans
 
 
+def ordered_mean(df: DataFrame, by: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """by and the mean of `value`, summed up from left to right in a stated order.
+
+    Doubles that are added in the order in which shuffles end differ in their last bits from run to run, and
+    equal groups then no longer tie. A group passes by as a stream; nulls don't count.
+    """
+    order_ = Window.partitionBy(*by).orderBy(*order)
+    running = order_.rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.select(*by, F.row_number().over(order_).alias("_i"), F.sum(value).over(running).alias("_sum"), F.count(value).over(running).alias("_n"))
+    last = sums.groupBy(*by).agg(F.max(F.struct("_i", "_sum", "_n")).alias("_last"))
+    return last.select(*by, F.try_divide("_last._sum", "_last._n").alias(name))
+
+
 def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = (), few: bool = False) -> DataFrame:
     """tests (name, p) with Holm's adjusted p and rejection, which stops at the first failure.
 
     Tests are ranked and their running figures taken by spans of (p, name), so that a task holds a
-    span and not a group. `few`: a group's tests are few by nature, and one window does.
+    span and not a group. They are read several times, so they are written once: figures that differ from one
+    reading to the next would not give ranks. `few`: a group's tests are few by nature, and one window does.
     """
     by, order = list(by), ["p", "name"]
     if few:
@@ -23,6 +38,7 @@ def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] = (), few: bool =
         ranked = tests.withColumn("r", F.row_number().over(whole.orderBy(*order))).withColumn("_left", F.count("*").over(whole) - F.col("r") + 1)
         failed = F.when(F.col("p") <= alpha / F.col("_left"), 0).otherwise(1)
         return ranked.select(*by, "name", "p", "r", F.max(F.least(F.lit(1.0), F.col("_left") * F.col("p"))).over(running).alias("adjusted"), (F.max(failed).over(running) == 0).alias("rejected"))
+    tests = materialise(tests.select(*by, "name", "p"), "tests")
     ranked = numbered_in_spans(tests.withColumn("_at", spans(tests, order)), by, order, F.col("_at"), "_n").withColumn("r", (F.col("_n") + 1).cast("int"))
     ranked = _beside(ranked, ranked.groupBy(*by).agg(F.count("*").alias("m")), by)
     left = F.col("m") - F.col("r") + 1
