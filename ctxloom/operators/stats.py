@@ -91,17 +91,23 @@ def weighted_nearest_rank(df: DataFrame, by: list[str], value: str, weight: str,
 
 
 def hex_mod(digest: Column, n: Column) -> Column:
-    """A hexadecimal digest modulo n, digit by digit."""
-    digits = F.transform(F.split(digest, ""), lambda d: F.coalesce(F.conv(F.when(d == "", "0").otherwise(d), 16, 10).cast("long"), F.lit(0)))
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % n)
+    """A hexadecimal SHA-256 digest modulo n, four digits at a time."""
+    # cut once: inside a lambda the digest itself would be made anew for each of its parts
+    digits = F.transform(F.regexp_extract_all(digest, F.lit(".{4}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("long"))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 65536 + d) % n)
 
 
 def bootstrap(values: DataFrame, by: list[str], draws: int, domain: str = "bootstrap") -> DataFrame:
-    """by, draw, mean of draws with replacement, chosen by hashes: values (by, index from 0, value). Fewer than two values give none."""
+    """by, draw, mean of draws with replacement, chosen by hashes: values (by, index from 0, value). Fewer than two values give none.
+
+    Draws and values are merged, so that no side is gathered by the driver for a broadcast, however small it packs.
+    """
     sizes = values.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("position"))
+    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    # by number, as AQE would put groups of a few bytes, whose draws are many rows, into one task
+    grid = grid.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "draw").select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("position"))
     picked = grid.withColumn("index", hex_mod(F.sha2(F.concat_ws("|", F.lit(domain), *by, "draw", "position"), 256), F.col("n")))
-    return picked.join(values.withColumn("index", F.col("index").cast("long")), [*by, "index"]).groupBy(*by, "draw").agg(F.avg("value").alias("mean"))
+    return picked.join(values.withColumn("index", F.col("index").cast("long")).hint("merge"), [*by, "index"]).groupBy(*by, "draw").agg(F.avg("value").alias("mean"))
 
 
 def validity_gate(units: DataFrame, least_valid: int | None = None, least_per_cell: int | None = None, by: list[str] = (), most_missing: int = 3) -> DataFrame:
