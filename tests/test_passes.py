@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ctxloom.operators import lexical, rank
+from ctxloom.operators import lexical, rank, substring
 from ctxloom.plans import pipelines
 
 WORDS = [f"word{i}" for i in range(30)]
@@ -86,3 +86,15 @@ def test_contents_behind_a_spent_budget_are_not_read(spark, monkeypatch):
     out = rank.pack(rows, summarize=lambda t, n: t)
     assert {r["reason"]: r["count"] for r in out.groupBy("reason").count().collect()} == {"included": 10, "budget_exhausted": 4990}
     assert [df.count() for df in written["packed"]] == [rank.FIRST_ROUND]
+
+
+def test_scanned_finds_what_holding_finds_in_any_number_of_passes(spark, monkeypatch):
+    needles = spark.createDataFrame([(1, "ab c"), (2, "b"), (3, " "), (4, ""), (5, None), (6, "ab c"), (7, "ñ a"), (8, "no")], "needle_id long, needle string")
+    texts = spark.createDataFrame([(1, "xab cd"), (2, "b"), (3, None), (4, ""), (5, "dañ ab c"), (6, "B")], "text_id long, text string")
+    whole = {(1, 1), (6, 1), (2, 1), (2, 2), (1, 5), (6, 5), (2, 5), (7, 5)}
+    assert {tuple(r) for r in substring.holding(needles, texts).collect()} == whole
+    once = substring.scanned(needles, texts)
+    assert [tuple(r) for r in once.collect() if tuple(r) not in whole] == [] and once.count() == len(whole)
+    monkeypatch.setattr(substring, "NEEDLES_PER_PASS", 1)
+    assert {tuple(r) for r in substring.scanned(needles, texts).collect()} == whole
+    assert substring.scanned(needles.limit(0), texts).count() == 0
