@@ -24,6 +24,8 @@ SAMPLE = 16
 VALUES = 256
 #: Rows and queries of a block; a block of each meet as one row of a join.
 ROWS, QUERIES = 1024, 256
+#: Rows (query, list) that leave a task at once.
+ASKED = 4096
 #: Above the rounding of float sums over unit vectors, and of similarities to 9 digits.
 SLACK = 1e-5
 
@@ -163,21 +165,26 @@ def _asked(queries: DataFrame, model: Model, radii: np.ndarray, probes: int | No
     """query_id, unit, least, list: the `probes` lists of the nearest centres, or all that can hold a row of `least` similarity."""
     given = queries.sparkSession.sparkContext.broadcast(model.centres)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for start in range(0, len(frame), QUERIES):
-                some = frame.iloc[start : start + QUERIES]
-                units = _units(some["embedding"], given.value.shape[1])
+                some = frame.slice(start, QUERIES)
+                units = _units(some.column("embedding").to_pandas(), given.value.shape[1])
                 to = units @ given.value.T
                 if probes is None:
-                    which = to + radii * np.linalg.norm(units, axis=1)[:, None] >= some["least"].to_numpy()[:, None] - SLACK
+                    which = to + radii * np.linalg.norm(units, axis=1)[:, None] >= np.asarray(some.column("least"))[:, None] - SLACK
                 else:
                     which = np.zeros(to.shape, bool)
                     np.put_along_axis(which, np.argsort(-to, axis=1, kind="stable")[:, :probes], True, axis=1)
-                i, of = np.nonzero(which)
-                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "unit": list(units[i]), "least": some["least"].to_numpy()[i], "list": of.astype(np.int32)})
-
-    return queries.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, unit array<float>, least double, list int")
+                every, lists = np.nonzero(which)
+                # a query has a row for each list, which are many in a large table, and leaves with its vector in each
+                for first in range(0, len(every), ASKED):
+                    i, of = every[first : first + ASKED], lists[first : first + ASKED]
+                    at = np.arange(len(i) + 1, dtype=np.int32) * units.shape[1]
+                    unit = pa.ListArray.from_arrays(at, pa.array(units[i].ravel()))
+                    yield pa.RecordBatch.from_arrays([some.column("query_id").take(pa.array(i)), unit, some.column("least").take(pa.array(i)), pa.array(of.astype(np.int32))], names=["query_id", "unit", "least", "list"])
+
+    return queries.select("query_id", "embedding", "least").mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, unit array<float>, least double, list int")
 
 
 def _met(asked: DataFrame, index: DataFrame, model: Model, keep: int | None, lower: bool) -> DataFrame:

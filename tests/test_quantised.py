@@ -57,3 +57,14 @@ def test_odd_vectors(spark):
     assert quantised.quantised_top(asked, table.limit(0), 5).count() == 0
     assert quantised.quantised_top(asked.limit(0), table, 5, parts=2).count() == 0
     assert quantised.quantised_top(asked, table.where("id = 40"), 5).count() == 4
+
+
+def test_probes_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    pick = np.random.default_rng(1)
+    rows = [(i, pick.normal(size=4).tolist(), -2.0) for i in range(20)]
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<float>, least double")
+    model = quantised.Model(pick.normal(size=(30, 4)).astype(np.float32), np.zeros((1, 1, 4), np.float32))
+    whole = sorted(map(tuple, quantised._asked(asked, model, None, 7).collect()))
+    assert len(whole) == 20 * 7
+    monkeypatch.setattr(quantised, "ASKED", 3)
+    assert sorted(map(tuple, quantised._asked(asked, model, None, 7).collect())) == whole
